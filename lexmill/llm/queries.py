@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fingerprint, license_scan, quality_rules, secret_scan
+from lexmill.llm import fingerprint, html_extract, license_scan, packing, quality_rules, secret_scan
 from lexmill.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing queries, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -24,6 +31,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stutters", *[c for c in judged.columns if c.startswith("max_")])
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -32,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
     "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
+    "op6_html_extract": op6_html_extract,
     "op10_secret_scan": op10_secret_scan,
 }
 
