@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fingerprint, html_extract, license_scan, packing, quality_rules, secret_scan
+from lexmill.llm import fingerprint, html_extract, license_scan, mixing, packing, quality_rules, secret_scan, toxicity
 from lexmill.llm.common import table
 
 
@@ -39,6 +39,27 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
+#: The chain: faults of quality first, then toxicity with the fault's probability as an input.
+CATEGORIES = (toxicity.Category("low_quality", "quality", 0), toxicity.Category("toxic", "toxic", 1))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+
+
+def domain() -> Column:
+    """Domains are fives of numbered sources: src0 to src4 are d0."""
+    return F.concat(F.lit("d"), F.floor(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") / 5).cast("string"))
+
+
+MIX = mixing.Plan(domains={"d0": 40, "d1": 25, "d2": 20, "d3": 15}, languages={"en": 60, "de": 15, "fr": 15, "es": 10}, budget_percent=80)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"), MIX, domain())
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -49,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op6_html_extract": op6_html_extract,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 
