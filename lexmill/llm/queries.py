@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fingerprint, html_extract, license_scan, mixing, packing, quality_rules, secret_scan, toxicity
+from lexmill.llm import fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, toxicity
 from lexmill.llm.common import table
+from lexmill.llm.oracles import mixing_sql
 
 
 def tokenizer_path() -> str:
@@ -35,6 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint": op2_fingerprint,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_html_extract": op6_html_extract,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
@@ -76,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing_sql(MIX)}
