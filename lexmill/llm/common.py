@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to a Python worker; texts may be long, so batches stay small.
@@ -47,8 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per context, so that a job needs no install on the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_lexmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lexmill-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(made)
+    context._lexmill_shipped = True
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of at most BATCH_ROWS rows."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
@@ -75,10 +89,5 @@ def join_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return salted.join(copies, [*same, F.col("__salt") == F.col("__salt2")], how).drop("__salt", "__salt2", *[f"__k_{k}" for k in keys])
 
 
-def mix64(x: Column) -> Column:
-    """A 64-bit hash of a column, for deals by key."""
-    return F.xxhash64(x)
-
-
 def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")

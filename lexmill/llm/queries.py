@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, toxicity
+from lexmill.llm import fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, suffix_tree, toxicity
 from lexmill.llm.common import table
 from lexmill.llm.oracles import mixing_sql
 
@@ -65,6 +65,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"), MIX, domain())
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extract": op6_html_extract,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_secret_scan": op10_secret_scan,
 }
 
