@@ -1,4 +1,9 @@
-"""A corpus pipeline of the training-data operators; each stage is written as Parquet and read again."""
+"""A corpus pipeline of the training-data operators; each stage is written as Parquet and read again.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents: quality rules
+drop documents, the n-gram Jaccard join keeps one of each group, secret scans blot secrets out, mixing takes documents
+by target weights (some twice), and packing returns pieces of token sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import quality_rules, secret_scan
+from lexmill.llm import jaccard_join, mixing, packing, quality_rules, secret_scan
 from lexmill.llm.common import materialise, table
+from lexmill.llm.queries import MIX, domain, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +21,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the document of the least id of each group of copies and near copies."""
+    return jaccard_join.keep_one(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: every document stays, with its secrets blotted out."""
+    """Secret scans: every document stays, with its secrets blotted out and its length counted anew."""
     return secret_scan.redact_secrets(docs, chars_col="n_chars")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("secrets", secrets)]
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents by the target weights of domains and languages, each as often as it is taken."""
+    return mixing.mix(docs, MIX, domain())
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of sequences of 1024 tokens."""
+    return packing.digest(packing.pack(docs, tokenizer_path()))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_copies),
+    ("secret_scan", secrets),
+    ("mixing", target_mix),
+    ("packing", pack),
+]
 
-#: The packing stage needs a tokenizer, the join shingles of whole texts: tested against brute force instead.
+#: The join and the packing are beyond SQL on whole texts: the pipeline is tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 
