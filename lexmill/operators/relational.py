@@ -56,7 +56,7 @@ def rule_join(df: DataFrame, rules: DataFrame, matches: Column, id_col: str, pri
     if rules.limit(10_001).count() > 10_000:
         raise ValueError("a rule table has at most 10,000 rows")
     joined = df.join(F.broadcast(rules), matches, "left")
-    best = F.min_by(F.struct(rule_id, *columns), F.struct(-F.coalesce(F.col(priority), F.lit(-(2**31))), F.col(rule_id)))
+    best = F.min_by(F.struct(rule_id, *columns), F.struct(-F.coalesce(F.col(priority).cast("long"), F.lit(-(2**40))), F.col(rule_id)))
     picked = joined.groupBy(id_col).agg(best.alias("_b"))
     return picked.select(id_col, F.col(f"_b.{rule_id}").alias(rule_id), *[F.col(f"_b.{c}").alias(c) for c in columns])
 

@@ -1,0 +1,171 @@
+"""People and links: aliases, anchors, resolution, ledgers, co-membership, edge selection, over the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lexmill.functions import hashing, text
+from lexmill.operators import graph, resolve
+from lexmill.session import table
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+SQL_FOLD = "trim(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+SQL_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, octet_length(encode({x})) + 1), lambda i: CAST(('0x' || substr(hex(encode({x})), 2 * i - 1, 2)) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
+
+
+def _fnv_sql(x: str) -> str:
+    return SQL_FNV.format(x=x)
+
+
+@query(f"""
+WITH n AS (SELECT c_custkey AS id, string_split({SQL_FOLD.format(x="c_name")}, ' ') AS t FROM customer),
+a AS (SELECT id, 'full' AS kind, array_to_string(list_sort(list_distinct(t)), ' ') AS signature FROM n UNION ALL SELECT id, 'first_last', t[1] || ' ' || t[-1] FROM n UNION ALL SELECT id, 'initial', t[1][1:1] || ' ' || t[-1] FROM n UNION ALL SELECT id, 'last', t[-1] FROM n)
+SELECT DISTINCT signature, kind, id, {_fnv_sql("signature")} % 1024 AS bucket FROM a WHERE signature <> ''""")
+def alias_signatures(spark, d):
+    return resolve.alias_index(table(spark, d, "customer"), "c_custkey", "c_name")
+
+
+@query(f"SELECT p_partkey, {_fnv_sql('p_name')} AS fnv FROM part")
+def fnv_hash(spark, d):
+    return table(spark, d, "part").select("p_partkey", hashing.fnv1a32(F.col("p_name")).alias("fnv"))
+
+
+@query("""
+SELECT key AS anchor_key, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS representative, min(c_custkey) AS least_id, count(*) AS members FROM (
+  SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'anchor-' || c_nationkey || '-' || c_mktsegment ELSE 'id:' || c_custkey END AS key FROM customer) GROUP BY key""")
+def entity_group_by_anchor(spark, d):
+    anchor = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("anchor-"), F.col("c_nationkey").cast("string"), F.lit("-"), F.col("c_mktsegment")))
+    return resolve.group_by_anchor(table(spark, d, "customer").withColumn("anchor", anchor), "c_custkey", "anchor", "c_acctbal")
+
+
+@query("""
+SELECT user_id, count(DISTINCT json_extract_string(props, '$.k')) AS anchors FROM events WHERE event_type = 'signup' AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY user_id HAVING count(DISTINCT json_extract_string(props, '$.k')) > 1""")
+def anchor_conflicts(spark, d):
+    seen = table(spark, d, "events").filter("event_type = 'signup'").select("user_id", F.get_json_object("props", "$.k").alias("k"))
+    return resolve.anchor_conflicts(seen, "user_id", "k")
+
+
+_SQL_CANDIDATES = """
+SELECT s_suppkey AS mention, c_custkey AS authority, CASE WHEN abs(c_acctbal - s_acctbal) > 4000 THEN 'rejected' WHEN c_custkey % 100 = s_suppkey % 100 AND c_mktsegment = 'BUILDING' THEN 'confirmed'
+  WHEN abs(c_acctbal - s_acctbal) < 300 AND c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN 'probable' ELSE 'unresolved' END AS status
+FROM supplier JOIN customer ON s_nationkey = c_nationkey AND floor(s_acctbal / 5000) = floor(c_acctbal / 5000)"""
+
+
+@query(f"""
+WITH c AS ({_SQL_CANDIDATES}), p AS (SELECT mention, count(*) FILTER (WHERE status = 'confirmed') AS c, count(*) FILTER (WHERE status = 'probable') AS p, count(*) FILTER (WHERE status = 'unresolved') AS u,
+  min(authority) FILTER (WHERE status = 'confirmed') AS ca, min(authority) FILTER (WHERE status = 'probable') AS pa FROM c GROUP BY mention)
+SELECT mention, CASE WHEN c = 1 THEN 'confirmed' WHEN c > 1 THEN 'ambiguous' WHEN p = 1 THEN 'probable' WHEN p + u > 1 THEN 'ambiguous' WHEN u = 1 THEN 'unresolved' ELSE 'rejected' END AS decision, CASE WHEN c = 1 THEN ca WHEN c = 0 AND p = 1 THEN pa END AS authority FROM p""")
+def resolve_mentions(spark, d):
+    """Candidates by two equal block keys, evidence per pair, one decision per mention."""
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    pairs = s.join(c, (s.s_nationkey == c.c_nationkey) & (F.floor(s.s_acctbal / 5000) == F.floor(c.c_acctbal / 5000)))
+    gap = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
+    status = resolve.candidate_status((F.col("c_custkey") % 100 == F.col("s_suppkey") % 100) & (F.col("c_mktsegment") == "BUILDING"), gap > 4000, gap < 300, F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"))
+    return resolve.decide(pairs.select(F.col("s_suppkey").alias("mention"), F.col("c_custkey").alias("authority"), status.alias("status")), "mention", "authority", "status")
+
+
+@query("""
+WITH l AS (SELECT event_id AS id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN event_id - 1 END AS supersedes, ts FROM events)
+SELECT user_id, event_type, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, id DESC) AS r FROM l WHERE id NOT IN (SELECT supersedes FROM l WHERE supersedes IS NOT NULL)) WHERE r = 1""")
+def active_decisions(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.when(F.col("event_id") % 7 == 0, F.col("event_id") - 1).alias("supersedes"), "ts")
+    return resolve.active_decisions(e, ["user_id", "event_type"], "id", "supersedes", "ts").select("user_id", "event_type", "id")
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, o_custkey AS id, count(*) AS works FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT k, id, works, works >= 10 AND works >= 5 * coalesce(next, 0) AS dominant FROM (SELECT *, lead(works) OVER (PARTITION BY k ORDER BY works DESC, id) AS next, row_number() OVER (PARTITION BY k ORDER BY works DESC, id) AS r FROM c) WHERE r = 1""")
+def dominant_candidate(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    works = o.groupBy("o_custkey").agg(F.count("*").alias("works")).join(c, F.col("o_custkey") == c.c_custkey).select(F.col("c_nationkey").alias("k"), F.col("o_custkey").alias("id"), "works")
+    return resolve.dominant(works, "k", "id", "works")
+
+
+@query("""
+WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL""")
+def pair_cooccurrence(spark, d):
+    return graph.co_members(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@query("""
+SELECT o_custkey, o_orderkey AS a, lead(o_orderkey) OVER w AS b, date_diff('day', CAST(o_orderdate AS DATE), CAST(lead(o_orderdate) OVER w AS DATE)) AS days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) QUALIFY b IS NOT NULL""")
+def same_owner_edges(spark, d):
+    """Each work with its owner's next one: a chain says which works share an owner without a square of pairs."""
+    by = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(by).alias("b"), F.datediff(F.lead("o_orderdate").over(by), F.col("o_orderdate")).cast("long").alias("days"))
+    return rows.filter("b is not null")
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS person, o_orderkey AS work, 'owner' AS role, o_orderdate AS d FROM orders UNION ALL SELECT DISTINCT l_suppkey, l_orderkey, 'supplier', o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT person, role, count(DISTINCT work) AS works, min(year(d)) AS first_year, max(year(d)) AS last_year FROM r GROUP BY ALL""")
+def people_index(spark, d):
+    o, x = table(spark, d, "orders"), table(spark, d, "lineitem")
+    owners = o.select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("work"), F.lit("owner").alias("role"), F.col("o_orderdate").alias("d"))
+    suppliers = x.select("l_suppkey", "l_orderkey").distinct().join(o, F.col("l_orderkey") == o.o_orderkey).select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("work"), F.lit("supplier").alias("role"), F.col("o_orderdate").alias("d"))
+    return owners.unionByName(suppliers).groupBy("person", "role").agg(F.countDistinct("work").alias("works"), F.min(F.year("d")).cast("long").alias("first_year"), F.max(F.year("d")).cast("long").alias("last_year"))
+
+
+_SQL_EDGES = "WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, CAST(count(*) AS DOUBLE) AS score FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL)"
+
+
+def _edges(spark, d):
+    return graph.co_members(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey").select("a", "b", F.col("n").cast("double").alias("score"))
+
+
+@query(f"""
+{_SQL_EDGES}, u AS (SELECT a AS n, b AS o, score FROM e UNION ALL SELECT b, a, score FROM e)
+SELECT DISTINCT least(n, o) AS a, greatest(n, o) AS b, score FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, o) AS r FROM u) WHERE r <= 3""")
+def union_topk_edges(spark, d):
+    return graph.top_k_edges(_edges(spark, d), 3)
+
+
+@query(f"""
+{_SQL_EDGES}, k AS (SELECT a, b, score, 'strong' AS kind, 3 AS p FROM e WHERE score >= 8 UNION ALL SELECT a, b, score, 'common' , 2 FROM e WHERE score >= 4 UNION ALL SELECT a, b, score, 'any', 1 FROM e)
+SELECT a, b, arg_max(kind, (p, score)) AS kind, arg_max(score, (p, score)) AS score FROM k GROUP BY a, b""")
+def edge_by_priority(spark, d):
+    e = _edges(spark, d)
+    kinds = e.filter("score >= 8").withColumn("kind", F.lit("strong")).unionByName(e.filter("score >= 4").withColumn("kind", F.lit("common"))).unionByName(e.withColumn("kind", F.lit("any")))
+    return graph.best_edge_per_pair(kinds, F.when(F.col("kind") == "strong", 3).when(F.col("kind") == "common", 2).otherwise(1))
+
+
+@query(f"""
+{_SQL_EDGES} SELECT a, b, score FROM e JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey WHERE x.s_acctbal > 0 AND y.s_acctbal > 0""")
+def induced_subgraph(spark, d):
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
+    return graph.induced(nodes, _edges(spark, d), F.col("s_acctbal") > 0)[1].select("a", "b", "score")
+
+
+@query()
+def degree_capped_edges(spark, d):
+    """Per nation of the first end, greedily with at most four edges a node; tested against a plain loop."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("graph"))
+    return graph.degree_capped(_edges(spark, d).join(s, "a").select("graph", "a", "b", "score"), "graph", 4, 200)
+
+
+@query("""
+SELECT n, sum(score) AS weight, count(*) AS degree FROM (WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT x.l_suppkey AS n, y.l_suppkey AS o, CAST(count(*) AS DOUBLE) AS score FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey <> y.l_suppkey GROUP BY ALL) GROUP BY n""")
+def node_degrees(spark, d):
+    e = _edges(spark, d)
+    ends = e.select(F.col("a").alias("n"), "score").union(e.select("b", "score"))
+    return ends.groupBy("n").agg(F.sum("score").alias("weight"), F.count("*").alias("degree"))
+
+
+@query(f"""
+SELECT s_suppkey, {SQL_FOLD.format(x="s_name")} AS folded, array_to_string(list_sort(list_distinct(string_split({SQL_FOLD.format(x="s_name")}, ' '))), ' ') AS signature FROM supplier""")
+def name_signatures(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", text.fold(F.col("s_name")).alias("folded"), text.name_signature(F.col("s_name")).alias("signature"))
