@@ -99,12 +99,12 @@ def cuts(docs: DataFrame, plan: Plan, domain: Column, id_col: str, lang_col: str
     ends = inside.withColumn("run", run).filter("run <= rest").groupBy(*LEVELS).agg(F.max("mix_key").alias("end"))
     # no document at the edge fits: the prefix ends with the digits before, and "3fa" sorts under any key "3fa..."
     out = edge.join(ends, list(LEVELS), "left").select(*LEVELS, "epochs", F.when(F.col("rest") > 0, F.coalesce("end", "digits")).otherwise("").alias("last_key"))
-    return narrow, materialise(out, "mix-cuts")
+    return narrow, materialise(out.withColumnsRenamed({"epochs": "mix_epochs", "last_key": "mix_last_key"}), "mix-cuts")
 
 
 def copies(key: Column) -> Column:
     """How often a document is taken."""
-    return (F.coalesce(F.col("epochs"), F.lit(0)) + F.when(key <= F.col("last_key"), 1).otherwise(0)).cast("long")
+    return (F.coalesce(F.col("mix_epochs"), F.lit(0)) + F.when(key <= F.col("mix_last_key"), 1).otherwise(0)).cast("long")
 
 
 def plan_mix(docs: DataFrame, plan: Plan, domain: Column, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:

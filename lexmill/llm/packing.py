@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import map_batches
+from lexmill.llm.common import map_batches, ship
 
 #: Fixed value: the pattern by which this vocabulary cuts texts before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -181,6 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         )
 
     kind = dict(docs.dtypes)[id_col]
+    ship(docs.sparkSession)
     return dealt.groupBy("grp").applyInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint")
 
 

@@ -137,11 +137,11 @@ def thresholds(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...] =
     return out.select(*groups, *[F.col(r.name).alias(f"max_{r.name}") for r in rules])
 
 
-def passes(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def passes(m: Column, rules: tuple[Rule, ...] = RULES, prefix: str = "max_") -> Column:
     """No rule over its group's limit; a group without limits (every document failed the base) has none to pass."""
     out = ~base_failed(m)
     for r in rules:
-        out &= rate(m, r) <= F.coalesce(F.col(f"max_{r.name}"), F.lit(r.ceiling))
+        out &= rate(m, r) <= F.coalesce(F.col(f"{prefix}{r.name}"), F.lit(r.ceiling))
     return out
 
 
@@ -158,4 +158,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] =
     """The documents that pass, with their columns. Texts are measured twice rather than shuffled or stored."""
     own = "__lexmill_measures"
     limits = materialise(thresholds(materialise(sketch(measure(docs.select(*groups, text_col), text_col, own), list(groups), rules, own), "sketch"), list(groups), rules), "limits")
-    return join_lookup(measure(docs, text_col, own), limits, list(groups)).filter(passes(F.col(own), rules)).select(*docs.columns)
+    limits = limits.select(*groups, *[F.col(f"max_{r.name}").alias(f"{own}_{r.name}") for r in rules])
+    return join_lookup(measure(docs, text_col, own), limits, list(groups)).filter(passes(F.col(own), rules, f"{own}_")).select(*docs.columns)

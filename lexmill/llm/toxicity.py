@@ -86,11 +86,11 @@ def _top_eigenvalue(x: np.ndarray) -> float:
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of best F1, midway to the next lower probability, within 0.1 to 0.9."""
+    """The cut of best F1, midway to the next lower probability, within 0.1 to 0.9; 1 without positives."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     if not len(y) or hits[-1] == 0:
-        return 0.5
+        return 1.0
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + hits[-1])
     ends = np.append(p[order][1:] < p[order][:-1], True)
     i = int(np.argmax(np.where(ends, f1, 0)))
