@@ -139,7 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...],
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
     marks = [(F.col(c.column) == c.positive).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]
     known = labels.dropna(subset=[id_col, *{c.column for c in categories}])
-    # bounded by max_rows, so it may be broadcast
+    # hashes far above what the sample needs are left out before the sort; the sample is bounded by max_rows
+    n = known.count()
+    if n > 4 * max_rows:
+        known = known.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < int(2**33 * max_rows / n))
     sample = known.select(F.col(id_col).alias("sample_id"), key.alias("key"), *marks).orderBy("key", *[f"y{i}" for i in range(len(marks))]).limit(max_rows)
     fold = F.pmod(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), F.lit(FOLDS)).alias("fold")
     rows = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("text_id") == F.col("sample_id")).select("text", fold, *[f"y{i}" for i in range(len(marks))])
