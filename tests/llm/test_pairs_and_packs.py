@@ -17,17 +17,17 @@ from tests.compare import connect, difference
 from tests.llm.fixtures import DATA, awkward, awkward_rows, empty, plain_docs
 
 
-def brute_sets(texts):
+def brute_sets(texts, size=3):
     out = []
     for t in texts:
         w = (t or "").encode().lower().split()
-        out.append(frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)]) if w else frozenset())
+        out.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
     return out
 
 
-def brute_components(rows):
+def brute_components(rows, percent=90, size=3):
     """rows: (doc_id, text) -> sorted (doc_id, n_shingles, component_id)."""
-    sets = brute_sets(t for _, t in rows)
+    sets = brute_sets((t for _, t in rows), size)
     root = list(range(len(rows)))
 
     def find(i):
@@ -38,7 +38,7 @@ def brute_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -47,8 +47,8 @@ def brute_components(rows):
     return sorted(((d, len(s), d if not s else least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
-def joined(df):
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(df).collect()), key=str)
+def joined(df, *how):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(df, "doc_id", "text", *how).collect()), key=str)
 
 
 def test_join_query(spark):
@@ -76,6 +76,8 @@ def test_join_equals_all_pairs(spark, monkeypatch, seed, sizes, block):
     monkeypatch.setattr(J, "BLOCK", block)
     rows = near_copies(seed, 12 if block > 10 else 4, 14 if block > 10 else 45, list(sizes))
     assert joined(plain_docs(spark, rows)) == brute_components(rows)
+    if seed < 4:
+        assert joined(plain_docs(spark, rows), 80, 5) == brute_components(rows, 80, 5)
 
 
 def test_join_awkward(spark):
@@ -88,18 +90,18 @@ def test_join_awkward(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32))
-def test_sets_that_link_share_a_list(n, less, more, seed):
+@given(st.integers(1, 400), st.integers(0, 80), st.integers(0, 80), st.integers(0, 2**32), st.sampled_from([90, 80]))
+def test_sets_that_link_share_a_list(n, less, more, seed, percent):
     rng = np.random.default_rng(seed)
     pool = np.unique(rng.integers(0, 2**64, n + more, dtype=np.uint64))
     a, b = pool[:n], np.sort(np.concatenate([pool[min(less, n - 1) : n], pool[n:]]))
     shared = len(np.intersect1d(a, b))
-    boundary = J.best_boundary()
-    if 100 * shared >= 90 * (len(a) + len(b) - shared):
-        assert np.intersect1d(J.signatures(a, boundary), J.signatures(b, boundary)).size
+    boundary = J.best_boundary(percent)
+    if 100 * shared >= percent * (len(a) + len(b) - shared):
+        assert np.intersect1d(J.signatures(a, boundary, percent), J.signatures(b, boundary, percent)).size
         x, y = (np.frombuffer(J.parity_sketch(s), np.uint64) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * shared
-        assert shared >= J.needed(len(a), len(b))
+        assert shared >= J.needed(len(a), len(b), percent)
 
 
 def check_packing(rows, docs, path):

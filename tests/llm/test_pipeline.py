@@ -24,7 +24,7 @@ def test_stages(spark):
 
     rows = sorted(map(tuple, good.collect()))
     alone = stages["jaccard_join"](spark, good, DATA)
-    first = {d for d, _, c in brute_components([(r[at["doc_id"]], r[at["text"]]) for r in rows]) if d == c}
+    first = {d for d, _, c in brute_components([(r[at["doc_id"]], r[at["text"]]) for r in rows], 80, 5) if d == c}
     assert alone.columns == columns and sorted(map(tuple, alone.collect())) == [r for r in rows if r[at["doc_id"]] in first]
 
     rows = sorted(map(tuple, alone.collect()))
