@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexmill.plans import documents, evaluation, governance, people, relational, usage, vectors
+from lexmill.plans import documents, evaluation, governance, people, records, relational, usage, vectors
 
-_PLANS = (documents, relational, governance, people, vectors, evaluation, usage)
+_PLANS = (documents, relational, governance, people, vectors, evaluation, usage, records)
 QUERIES = {name: fn for plan in _PLANS for name, fn in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql.strip() for plan in _PLANS for name, sql in plan.ORACLE.items()}

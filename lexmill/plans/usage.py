@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -71,11 +72,14 @@ def streaming_tumbling(spark, d):
     folder = path if len(source.inputFiles()) > 1 else d
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*" if folder == path else "events.parquet").parquet(folder)
     zoned = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"tumbling_{abs(hash(d)) % 10**9}"
-    checkpoint = tempfile.mkdtemp(prefix="lexmill-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/{name}"
+    name = f"tumbling_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    checkpoint = f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lexmill-stream-")
     run = S.stream_tumbling(zoned, "1 day", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    if checkpoint.startswith(tempfile.gettempdir()):
+    if not shared:
         shutil.rmtree(checkpoint, ignore_errors=True)
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
