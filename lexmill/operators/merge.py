@@ -41,7 +41,7 @@ def veto(links: DataFrame, records: DataFrame, id_col: str, anchor: str) -> Data
     """Links without those whose ends have different anchors."""
     known = records.filter(F.col(anchor).isNotNull()).select(F.col(id_col).alias("_i"), F.col(anchor).alias("_x"))
     a, b = known.select(F.col("_i").alias("a"), F.col("_x").alias("_xa")), known.select(F.col("_i").alias("b"), F.col("_x").alias("_xb"))
-    return links.join(a, "a", "left").join(b, "b", "left").filter("_xa is null or _xb is null or _xa = _xb").drop("_xa", "_xb")
+    return links.join(a, "a", "left").join(b, "b", "left").filter("_xa is null or _xb is null or _xa = _xb").select(*links.columns)
 
 
 def staged_match(new: DataFrame, old: DataFrame, new_id: str, old_id: str, keys: Mapping[str, tuple[Column, Column]]) -> DataFrame:
