@@ -170,10 +170,10 @@ def identifiers(spark, d):
 
 
 @query("""
-SELECT p_partkey, doi_w + brand_w + size_w + price_w AS completeness FROM (SELECT p_partkey, CASE WHEN p_name IS NOT NULL THEN 0.35 ELSE 0.0 END AS doi_w, CASE WHEN p_brand LIKE '%1%' THEN 0.2 ELSE 0.0 END AS brand_w, CASE WHEN p_size > 10 THEN 0.1 ELSE 0.0 END AS size_w, CASE WHEN p_retailprice > 1000 THEN 0.2 ELSE 0.0 END AS price_w FROM part) ORDER BY completeness DESC, p_partkey LIMIT 100""")
+SELECT p_partkey, round(CAST(doi_w + brand_w + size_w + price_w AS DOUBLE), 6) AS completeness FROM (SELECT p_partkey, CASE WHEN p_name IS NOT NULL THEN 0.35 ELSE 0.0 END AS doi_w, CASE WHEN p_brand LIKE '%1%' THEN 0.2 ELSE 0.0 END AS brand_w, CASE WHEN p_size > 10 THEN 0.1 ELSE 0.0 END AS size_w, CASE WHEN p_retailprice > 1000 THEN 0.2 ELSE 0.0 END AS price_w FROM part) ORDER BY completeness DESC, p_partkey LIMIT 100""")
 def completeness_top(spark, d):
     score = scoring.completeness({"name": (0.35, F.col("p_name").isNotNull()), "brand": (0.2, F.col("p_brand").contains("1")), "size": (0.1, F.col("p_size") > 10), "price": (0.2, F.col("p_retailprice") > 1000)})
-    return table(spark, d, "part").select("p_partkey", score.alias("completeness")).orderBy(F.desc("completeness"), "p_partkey").limit(100)
+    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("completeness")).orderBy(F.desc("completeness"), "p_partkey").limit(100)
 
 
 @query("""

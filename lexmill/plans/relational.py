@@ -208,11 +208,11 @@ def rollup_counts(spark, d):
 
 
 @query("""
-SELECT o_custkey, o_orderkey, sum(o_totalprice) OVER w AS running, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before
+SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def window_frames(spark, d):
     by = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.sum("o_totalprice").over(by.rowsBetween(-2, 0)).alias("running"), F.lag("o_orderkey").over(by).alias("before"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(by.rowsBetween(-2, 0)), 2).alias("running"), F.lag("o_orderkey").over(by).alias("before"))
 
 
 @query("""
