@@ -108,18 +108,20 @@ def contamination_containment(spark, d):
     n = 5
     first = lambda words: F.array_join(F.slice(words, 1, n), " ")
     items = table(spark, d, "benchmark").select("item_id", text.fold(F.col("text")).alias("passage")).filter("passage <> ''").withColumn("key", first(F.split("passage", " ")))
-    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
+    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("body"))
+    words = docs.select("doc_id", F.split("body", " ").alias("w"))
 
     def starts(k):
         return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, k), " ")))).alias("key")
 
-    keyed = docs.select("doc_id", "body", starts(n))
-    # passages of fewer words are their own key, so a document also gives its shorter starts at each place
+    # only keys and ids meet the passages; the few documents that hold a passage's start bring their text after that
+    keyed = words.select("doc_id", starts(n))
     short = items.select(F.size(F.split("passage", " ")).alias("k")).filter(f"k < {n}").distinct()
     if not short.isEmpty():
         for k in range(1, n):
-            keyed = keyed.union(docs.select("doc_id", "body", starts(k)))
-    found = keyed.join(items, "key").filter(text.has_phrase(F.col("body"), F.col("passage")))
+            keyed = keyed.union(words.select("doc_id", starts(k)))
+    pairs = keyed.join(items, "key").select("doc_id", "item_id", "passage").distinct()
+    found = docs.join(pairs, "doc_id").filter(text.has_phrase(F.col("body"), F.col("passage")))
     return found.select("item_id", "doc_id").distinct()
 
 
