@@ -49,6 +49,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, which go as soon as nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        self.paths[id(out)] = out, out.inputFiles()[0].rpartition("/")[0] if out.inputFiles() else ""
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later plan reads."""
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            if path:
+                spark = df.sparkSession
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop_all(self) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once per context, so that a job needs no install on the executors."""
     context = spark.sparkContext
