@@ -58,12 +58,12 @@ def knn_int8(spark, d):
 
 @query()
 def ivf_recall(spark, d):
-    """Recall at 10 of an inverted file of 16 clusters, 8 of them probed, by query; the tests hold its mean over 0.9."""
+    """Recall at 10 of an inverted file of 16 clusters, 12 of them probed (these vectors hardly cluster), by query; the tests hold its mean over 0.9."""
     base = _base(spark, d).select("id", "v")
     queries = base.filter("id % 20 = 0")
     centres = V.train_centroids(base, 16)
     exact = V.neighbours(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), base, 10)
-    return V.recall(V.ivf_search(queries, base, centres, 10, 8), exact)
+    return V.recall(V.ivf_search(queries, base, centres, 10, 12), exact)
 
 
 @query()
