@@ -127,6 +127,14 @@ def test_model_size_is_bounded(spark):
     assert len(small.logs) < len(large.logs) and small.logs.size <= 4000 * S.DEPTH
 
 
+def test_scores_do_not_depend_on_what_travels(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    whole = {r.doc_id: r.score for r in S.score(docs).collect()}
+    for cells in (200, 20_000):
+        part = {r.doc_id: r.score for r in S.score(docs, cells=cells).collect()}
+        assert part.keys() == whole.keys() and all(math.isclose(part[i], whole[i], rel_tol=1e-5) for i in whole)
+
+
 def test_lm_beats_the_baseline_on_held_out_texts(spark):
     # the baseline pools all unknown words as one; on much smaller corpora that outweighs what the tree knows
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
