@@ -4,8 +4,9 @@ A page is read into containers (body, main, article, section, div, table cells .
 generalised classes (digits become #). Menus, headers outside the article, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out, by tag or by words of their class, id or role. A container's score
 is its remaining text less that of its links; a page votes for its deepest container that holds four fifths of the
-best score. Votes are summed per host and path in Spark, and each page is then read again: the text of the containers
-on its host's winning path, or of its own best container where it has none.
+best score. Votes are summed per host and path in Spark, and each page is then read again: from the containers on its
+host's winning path, or its own best container where it has none, up to the smallest one around them that holds all
+text outside links of the article (the outermost article or main element around them, else the page).
 
 Null html: empty text. Null url: pages without a host vote together. Ties of votes go to the smaller path. Hosts are
 joined without gathering a hot host in one task. Nothing is capped; extra columns are ignored.
@@ -44,20 +45,23 @@ _DIGITS = re.compile(r"\d+")
 class Box:
     """A container: its path, its pieces of text and inner boxes in page order, and its score."""
 
-    __slots__ = ("path", "parts", "chars", "links", "depth")
+    __slots__ = ("path", "parts", "chars", "links", "solid", "depth", "parent")
 
-    def __init__(self, path: str, depth: int):
-        self.path, self.depth, self.parts, self.chars, self.links = path, depth, [], 0, 0
+    def __init__(self, path: str, parent: Box | None = None):
+        self.path, self.parent, self.depth, self.parts = path, parent, parent.depth + 1 if parent else 0, []
+        self.chars = self.links = self.solid = 0
 
     def totals(self) -> None:
-        self.chars, self.links = 0, 0
+        self.chars = self.links = self.solid = 0  # solid: outside links, without space around
         for x in self.parts:
             if isinstance(x, Box):
                 self.chars += x.chars
                 self.links += x.links
+                self.solid += x.solid
             elif x is not None:
                 self.chars += len(x[0])
                 self.links += len(x[0]) * x[1]
+                self.solid += 0 if x[1] else len(x[0].strip())
 
     def text(self) -> str:
         out: list[str] = []
@@ -84,7 +88,7 @@ def _boilerplate(tag: str, marks: dict[str, str], inside: bool) -> bool:
 
 def parse(page: str) -> list[Box]:
     """All containers of a page, outermost first; the first is the page itself."""
-    root = Box("", 0)
+    root = Box("")
     boxes = [root]
     open_tags: list[tuple[str, bool, Box]] = []  # tag, dropped, the box that its text goes to
     raw: re.Pattern | None = None
@@ -143,7 +147,7 @@ def parse(page: str) -> list[Box]:
         drop = dropped > 0 or _boilerplate(tag, marks, articles > 0)
         if tag in CONTAINERS and not drop:
             classes = ".".join(sorted(_DIGITS.sub("#", c) for c in set(marks.get("class", "").lower().split())))
-            inner_box = Box(f"{box.path}/{tag}{'.' + classes if classes else ''}", box.depth + 1)
+            inner_box = Box(f"{box.path}/{tag}{'.' + classes if classes else ''}", box)
             box.parts.append(inner_box)
             boxes.append(inner_box)
             box = inner_box
@@ -164,14 +168,41 @@ def best(boxes: list[Box]) -> Box:
     return max(good, key=lambda x: x.depth) if top > 0 else boxes[0]
 
 
+def article_of(box: Box) -> Box:
+    """The outermost article or main element around a box, or the page."""
+    found = None
+    while box.parent:
+        if box.path.rpartition("/")[2].partition(".")[0] in ("article", "main"):
+            found = box
+        box = box.parent
+    return found or box
+
+
+def whole(found: list[Box]) -> list[Box]:
+    """The boxes, those of an article that hold less than its text outside links by the smallest box that holds it."""
+    articles: dict[int, tuple[Box, list[Box]]] = {}
+    for x in found:
+        article = article_of(x)
+        articles.setdefault(id(article), (article, []))[1].append(x)
+    out: list[Box] = []
+    for article, inside in articles.values():
+        if sum(x.solid for x in inside) < article.solid:
+            box = inside[0]
+            while box.solid < article.solid:
+                box = box.parent
+            inside = [box]
+        out += inside
+    return out
+
+
 def extract_text(page: str | None, path: str | None) -> str:
-    """The text of the containers on a path, in page order, or of the page's best container if it has none."""
+    """The article's text around the containers on a path, in page order, or around the page's best container if it has none."""
     if not page:
         return ""
     boxes = parse(page)
-    found = [x for x in boxes if x.path == path] if path is not None else []
-    texts = [t for x in found if (t := x.text())]
-    return " ".join(texts) if texts else best(boxes).text()
+    found = [x for x in boxes if x.path == path and x.chars] if path is not None else []
+    texts = [t for x in whole(found) if (t := x.text())] if any(x.text() for x in found) else []
+    return " ".join(texts) if texts else " ".join(t for x in whole([best(boxes)]) if (t := x.text()))
 
 
 def host_of(url: Column) -> Column:

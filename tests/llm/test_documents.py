@@ -150,6 +150,19 @@ def test_extraction_of_blocks():
     assert H.extract_text("<div><!-- <p>no</p> --><p title='a > b'>yes</p></div>", None) == "yes"
 
 
+def test_title_and_lead_beside_the_body_stay(spark):
+    body, lead = "body text " * 34, "lead text " * 6
+    page = "<html><body><nav>menu</nav>%s<h1>Title</h1><div class='lead'><p>" + lead + "</p></div>\n<div class='body'><p>" + body + "</p></div><div class='share'>share</div>%s<footer>foot</footer></body></html>"
+    want = " ".join(f"Title {lead} {body}".split())
+    for a, b in (("<article>", "</article>"), ("<div class='post'>", "</div>"), ("<main><article>", "</article></main>")):
+        assert H.best(H.parse(page % (a, b))).path.endswith("/div.body")
+        assert H.extract_text(page % (a, b), None) == want
+    bare = "<html><body><article><div class='body'><p>" + body + "</p></div></article></body></html>"
+    rows = [(i, "https://t.example/x", bare) for i in range(3)] + [(3, "https://t.example/y", page % ("<article>", "</article>"))]
+    out = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == body.strip() and out[3] == want
+
+
 def test_hosts_agree_on_a_path(spark):
     odd = "<html><body class='home'><div><div class='content post-3'><p>short body</p></div><div class='related-x bigger'><p>" + "teaser text " * 30 + "</p></div></div></body></html>"
     rows = [(i, f"https://h.example/{i}", PAGE % (i, i)) for i in range(9)] + [(9, "https://H.example/9", odd), (10, None, "<p>no host</p>"), (11, "https://e.example/", None), (11, "https://e.example/", None)]
