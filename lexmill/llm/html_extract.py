@@ -37,7 +37,8 @@ WORDS = frozenset(
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure address".split())
 SAME_CLOSES = frozenset("p li dt dd tr td th option".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<""", re.S)
+# A quote that never closes opens no value, and its tag ends at the next ">"; each kind of quote fails so once a page.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _DIGITS = re.compile(r"\d+")
 
@@ -109,14 +110,14 @@ def parse(page: str) -> list[Box]:
             continue
         match = _TOKEN.match(page, at)
         at = match.end()
-        name = match[2] or match[5]
+        name = match[2]
         box = open_tags[-1][2] if open_tags else root
         if not name:
             text = match[0]
             if not dropped and (text[0] != "<" or text == "<"):
                 box.parts.append((text, links > 0))
             continue
-        tag, closing, rest = name.lower(), match[1] or match[4], match[3] or match[6] or ""
+        tag, closing, rest = name.lower(), match[1], match[3]
         if closing:
             if any(x[0] == tag for x in open_tags):
                 while open_tags[-1][0] != tag:

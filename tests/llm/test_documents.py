@@ -150,6 +150,14 @@ def test_extraction_of_blocks():
     assert H.extract_text("<div><!-- <p>no</p> --><p title='a > b'>yes</p></div>", None) == "yes"
 
 
+def test_long_attributes_and_open_quotes():
+    for n in (3_000, 5_000, 300_000):
+        for q in "\"'":
+            assert H.extract_text(f"<div><p data-x={q}{'a' * n} > <b>leak</b>{q} id=z>text</p></div>", None) == "text"
+    assert H.extract_text("<p title=\"never closed>text <b>bold</b></p>", None) == "text bold"
+    assert H.extract_text("<p title = 'a > b'>it's <b>5 > 4</b></p>", None) == "it's 5 > 4"
+
+
 def test_title_and_lead_beside_the_body_stay(spark):
     body, lead = "body text " * 34, "lead text " * 6
     page = "<html><body><nav>menu</nav>%s<h1>Title</h1><div class='lead'><p>" + lead + "</p></div>\n<div class='body'><p>" + body + "</p></div><div class='share'>share</div>%s<footer>foot</footer></body></html>"
