@@ -31,7 +31,10 @@ _encodings: dict[str, object] = {}
 
 
 def encoding(path: str):
-    """The byte-level BPE of a tokenizers file, whose ids are its merges' ranks, in the faster of two libraries."""
+    """The byte-level BPE of a tokenizers file, whose ids are its merges' ranks, in the faster of two libraries.
+
+    Its added tokens are taken whole wherever a text has them, as the first library does.
+    """
     if path not in _encodings:
         import tiktoken
 
@@ -39,9 +42,9 @@ def encoding(path: str):
         shown = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         ranks = {bytes(map(shown.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _encodings[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encodings[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encodings[path]
 
 
@@ -133,7 +136,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, length: i
         for batch in batches:
             rows, starts, totals, pieces = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(np.asarray(code.encode_to_numpy(text or "", disallowed_special=())), END_ID).astype(width)
+                ids = np.append(np.asarray(code.encode_to_numpy(text or "", allowed_special="all")), END_ID).astype(width)
                 for start in range(0, len(ids), length):
                     rows.append(row)
                     starts.append(start)

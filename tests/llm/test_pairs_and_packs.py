@@ -204,3 +204,17 @@ def test_mixing_awkward(spark):
     counts = {r.doc_id: r["count"] for r in mixed.filter("doc_id is not null and doc_id <> 7").groupBy("doc_id").count().collect()}
     assert counts == {k: n for k, n in planned.items() if n and k is not None and k != 7}
     assert M.plan_mix(empty(spark), queries.MIX, queries.domain()).count() == 0 and M.mix(empty(spark), queries.MIX, queries.domain()).count() == 0
+
+
+def test_added_tokens_are_taken_whole(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    first = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|>  <|endoftext|>y\n", "<|endoftext|", "<<|endoftext|>>", "it's<|endoftext|>'s"]
+    rows = K.pack(plain_docs(spark, list(enumerate(texts))), path).collect()
+    for i, text in enumerate(texts):
+        want = [*first.encode(text, add_special_tokens=False).ids, K.END_ID]
+        pieces = sorted((r.start, r.ids, r.doc_tokens) for r in rows if r.doc_id == i)
+        assert np.frombuffer(b"".join(x[1] for x in pieces), "<u4").tolist() == want and pieces[0][2] == len(want)
+    assert first.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
