@@ -73,6 +73,16 @@ def _places(data: bytes, piece: bytes) -> Iterator[int]:
         at = data.find(piece, at + 1)
 
 
+def _matches(pattern: regex.Pattern, window: str) -> Iterator[regex.Match]:
+    """The best match, then those of what is left before and after it."""
+    left = [(0, len(window))]
+    while left:
+        a, b = left.pop()
+        if match := pattern.search(window, a, b):
+            yield match
+            left += [(a, match.start()), (match.end(), b)]
+
+
 class Scanner:
     """Compiled notices; scan() gives the spans of one text."""
 
@@ -115,7 +125,7 @@ class Scanner:
                 a = data.rfind(b" ", 0, a) + 1 if a > 0 else 0
                 b = len(data) if (to := data.find(b" ", b)) < 0 else to
                 window = data[a:b].decode("utf-8", "surrogatepass")
-                for match in pattern.finditer(window):
+                for match in _matches(pattern, window):
                     first = data.count(b" ", 0, a) + window.count(" ", 0, match.start())
                     key = x.label, first, first + match[0].count(" ") + 1, False
                     found[key] = min(found.get(key, 99), sum(match.fuzzy_counts))

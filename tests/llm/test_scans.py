@@ -119,3 +119,9 @@ def test_license_edits_and_awkward(spark):
     assert [(s[0], s[1], s[3]) for s in spans] == [("gpl", 2, 2)]
     assert L.digest(L.scan_licenses(awkward(spark))).count() == len(awkward_rows())
     assert L.scan_licenses(empty(spark)).count() == 0
+
+
+def test_a_better_notice_hides_no_other():
+    for text, want in (("mozila public license mozilla public license", [(0, 3, 1), (3, 6, 0)]), ("mozilla public license mozila public license", [(0, 3, 0), (3, 6, 1)]), ("mozila public license mozilla public license mozila public license", [(0, 3, 1), (3, 6, 0), (6, 9, 1)])):
+        spans = L.Scanner((), tuple(x for x in L.NOTICES if x.phrase == "mozilla public license")).scan(text)[1]
+        assert [s[1:4] for s in spans] == want
