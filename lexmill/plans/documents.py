@@ -202,6 +202,15 @@ def title_jaccard_edges(spark, d):
     return edges.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
 
 
+@query()
+def title_lexical_edges(spark, d):
+    """The reference's eligibility: at least 12 % with two shared tokens, or 34 % with one."""
+    tokens = text.tokens(text.title_of(F.col("text")))
+    docs = table(spark, d, "documents")
+    edges = graph.jaccard_edges(docs, "doc_id", tokens, 12).filter("shared >= 2").union(graph.jaccard_edges(docs, "doc_id", tokens, 34)).distinct()
+    return edges.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
+
+
 @query(f"""
 SELECT doc_id, lpad(sha256(CAST(doc_id AS VARCHAR))[1:2], 2, '0') AS shard, source, lang FROM documents""")
 def sha_shards(spark, d):

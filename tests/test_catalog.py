@@ -1,5 +1,8 @@
 """Every query of the catalogue against DuckDB on the same tables."""
 
+import itertools
+import random
+
 import pytest
 
 from lexmill.plans import catalog
@@ -39,3 +42,26 @@ def test_inverted_file_recall(spark):
 def test_clusters_hold_every_vector(spark):
     rows = catalog.QUERIES["cluster_lookup"](spark, DATA).collect()
     assert len({r.id for r in rows}) == len(rows) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+
+
+def titles_of(spark, tmp_path, least):
+    """Documents of few words and all languages, and their title words of at least `least` letters."""
+    rng = random.Random(3)
+    words = [f"{w}{i}" for w in ("stone", "river", "of", "x") for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) + "\nbody text", ("de", "en", None)[i % 3]) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {i: [w for w in t.split("\n")[0].split() if len(w) >= least] for i, t, _ in rows}
+
+
+def test_title_lexical_edges_equal_all_pairs(spark, tmp_path):
+    first = {}
+    for i, words in titles_of(spark, tmp_path, 1).items():
+        first.setdefault(frozenset(words), i)
+    want = set()
+    for x, y in itertools.combinations(first, 2):
+        shared, total = len(x & y), len(x | y)
+        if 100 * shared >= 12 * total and shared >= 2 or 100 * shared >= 34 * total:
+            want.add((*sorted((first[x], first[y])), shared, total))
+    got = list(map(tuple, catalog.QUERIES["title_lexical_edges"](spark, str(tmp_path)).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(100 * s < 60 * n for *_, s, n in want)
