@@ -272,3 +272,8 @@ def tfidf_edges(spark, d):
     return edges.select("a", "b", F.round("score", 6).alias("score"), "shared")
 
 
+@query()
+def tfidf_edges_all(spark, d):
+    """The reference's eligibility on documents of all languages: cosine of at least 0.08 with two shared terms."""
+    edges = graph.cosine_edges(graph.tfidf(table(spark, d, "documents"), "doc_id", text.tokens(text.title_of(F.col("text")), 4)), 0.08)
+    return edges.select("a", "b", F.round("score", 6).alias("score"), "shared")

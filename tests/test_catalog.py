@@ -1,7 +1,9 @@
 """Every query of the catalogue against DuckDB on the same tables."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -65,3 +67,22 @@ def test_title_lexical_edges_equal_all_pairs(spark, tmp_path):
     got = list(map(tuple, catalog.QUERIES["title_lexical_edges"](spark, str(tmp_path)).collect()))
     assert len(got) == len(set(got)) and set(got) == want
     assert any(100 * s < 60 * n for *_, s, n in want)
+
+
+def test_tfidf_edges_of_all_languages_equal_all_pairs(spark, tmp_path):
+    docs = titles_of(spark, tmp_path, 4)
+    df = Counter(w for words in docs.values() for w in set(words))
+    vectors = {}
+    for i, words in docs.items():
+        raw = {w: (1 + math.log(c)) * (math.log((len(docs) + 1) / (df[w] + 1)) + 1) for w, c in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        vectors[i] = {w: x / norm for w, x in raw.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(vectors), 2):
+        both = vectors[a].keys() & vectors[b].keys()
+        score = sum(vectors[a][w] * vectors[b][w] for w in both)
+        if score >= 0.08 and len(both) >= 2:
+            want[a, b] = score, len(both)
+    got = {(r.a, r.b): (r.score, r.shared) for r in catalog.QUERIES["tfidf_edges_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k][0], want[k][0], abs_tol=2e-6) and got[k][1] == want[k][1] for k in want)
+    assert any(score < 0.3 for score, _ in want.values())
