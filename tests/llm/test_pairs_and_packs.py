@@ -80,6 +80,38 @@ def test_join_equals_all_pairs(spark, monkeypatch, seed, sizes, block):
         assert joined(plain_docs(spark, rows), 80, 5) == brute_components(rows, 80, 5)
 
 
+@pytest.mark.parametrize(("percent", "size"), [(90, 3), (80, 5)])
+def test_join_of_large_sets_equals_all_pairs(spark, percent, size):
+    """Sets of 1,500 to 5,000 shingles that share passages: the sketch must tell them apart, and no link is lost."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for _ in range(14):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(rng.choice((1500, 2600, 5000)))]
+        for _ in range(3):
+            words = list(base)
+            for _ in range(rng.randrange(0, len(base) // 30)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(100_000)}"
+            rows.append((len(rows), " ".join(words + passage)))
+    assert joined(plain_docs(spark, rows), percent, size) == brute_components(rows, percent, size)
+    unlike = [J.shingle_hashes(t, J._WordHashes(), size) for _, t in rows[::3]]
+    n = np.array([len(s) for s in unlike])
+    a, b = np.triu_indices(len(unlike), 1)
+    allowed = n[a] + n[b] - 2 * -(-percent * (n[a] + n[b]) // (100 + percent))
+    assert (J.Sketches([J.parity_sketch(s) for s in unlike], n).distances(a, b) > allowed).all()
+
+
+def test_frequent_lists_are_counted_apart(spark, monkeypatch):
+    """One list holds half of all rows, repeated and not."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rows = [(7, sid) for sid in range(900)] * 2 + [(100 + i // 2, i) for i in range(900)] + [(5000 + i, i) for i in range(50)]
+    got = sorted(map(tuple, J._lists(spark.createDataFrame(rows, "key long, sid long")).collect()))
+    assert got == sorted([(7, sid, 900) for sid in range(900)] + [(100 + i // 2, i, 2) for i in range(900)])
+    roots = spark.createDataFrame([(i, 0) for i in range(900) if i != 13], "sid long, root long")
+    mixed = J._mixed(spark.createDataFrame(got, "key long, sid long, size long"), roots).collect()
+    assert {r.key for r in mixed} == {7, 106} and len(mixed) == 902
+
+
 def test_join_awkward(spark):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     assert joined(awkward(spark)) == brute_components(rows)
@@ -99,8 +131,8 @@ def test_sets_that_link_share_a_list(n, less, more, seed, percent):
     boundary = J.best_boundary(percent)
     if 100 * shared >= percent * (len(a) + len(b) - shared):
         assert np.intersect1d(J.signatures(a, boundary, percent), J.signatures(b, boundary, percent)).size
-        x, y = (np.frombuffer(J.parity_sketch(s), np.uint64) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * shared
+        sketches = J.Sketches([J.parity_sketch(a), J.parity_sketch(b)], np.array([len(a), len(b)]))
+        assert sketches.distances(np.array([0]), np.array([1]))[0] <= len(a) + len(b) - 2 * shared
         assert shared >= J.needed(len(a), len(b), percent)
 
 
