@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to a Python worker; texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that goes to a Python worker; a single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rows of a lookup table up to which a broadcast is allowed (a row is about 100 bytes).
 BROADCAST_ROWS = 50_000
 
@@ -85,8 +85,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows."""
+    """mapInArrow with batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
