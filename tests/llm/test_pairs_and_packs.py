@@ -74,6 +74,7 @@ def near_copies(seed, n_bases, n_copies, sizes):
 @pytest.mark.parametrize(("seed", "sizes", "block"), [(1, range(3, 30), 1024), (2, (60, 150, 300), 1024), (3, (18, 22, 25, 40), 8), (4, (80,), 4)])
 def test_join_equals_all_pairs(spark, monkeypatch, seed, sizes, block):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "CELLS", 60 if block < 10 else J.CELLS)
     rows = near_copies(seed, 12 if block > 10 else 4, 14 if block > 10 else 45, list(sizes))
     assert joined(plain_docs(spark, rows)) == brute_components(rows)
     if seed < 4:
@@ -103,7 +104,7 @@ def test_join_of_large_sets_equals_all_pairs(spark, percent, size):
 
 def test_frequent_lists_are_counted_apart(spark, monkeypatch):
     """One list holds half of all rows, repeated and not."""
-    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "LONG", 16)
     rows = [(7, sid) for sid in range(900)] * 2 + [(100 + i // 2, i) for i in range(900)] + [(5000 + i, i) for i in range(50)]
     got = sorted(map(tuple, J._lists(spark.createDataFrame(rows, "key long, sid long")).collect()))
     assert got == sorted([(7, sid, 900) for sid in range(900)] + [(100 + i // 2, i, 2) for i in range(900)])
