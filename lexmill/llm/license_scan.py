@@ -1,18 +1,23 @@
 """Licence scans: exact seeds by the pigeonhole principle locate candidates, bounded-error matching verifies them.
 
 A notice that may have k edits is cut into k + 1 pieces: any match with at most k edits holds one piece unchanged. The
-pieces are searched exactly in the normalised text (lower case words joined by one space); around each hit the regex
-library looks for the notice with at most k edits, between word boundaries, and reports the span and its edits.
-Phrases of the base are notices without edits; they are counted at every place.
-
-Null text: no words, no spans. Rows are independent, so ties and repeats scan alike.
+pieces are searched exactly in the normalised text (lower case words joined by one space); around each hit, in a window no longer
+than the notice and its edits allow, the regex library looks for the notice with at most k edits, between word
+boundaries, and reports span and edits. Of overlapping spans of a notice the one with fewer edits stays, then the
+earlier. Phrases of the base are notices without edits; they are counted at every place.
+
+Null or empty text: no words, no spans. A text of any length is scanned whole, in time linear in its hits. Rows are
+independent, so ties and repeats scan alike. Empty table: no rows. Only the id and the text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -99,36 +104,42 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int, int, bool]]]:
         """Number of words, and (label, first word, end word, edits, base) by first word, then label."""
         data = normalise(text)
-        n_words = data.count(b" ") + 1 if data else 0
+        spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        n_words = len(spaces) + 1 if data else 0
+        word_at = lambda at: int(np.searchsorted(spaces, at))
         found: dict[tuple[str, int, int, bool], int] = {}
         framed = b" " + data + b" "
         for phrase, x in self.base:
             for at in _places(framed, b" " + phrase + b" "):
-                word = framed.count(b" ", 0, at)
+                word = word_at(at)
                 found[x.label, word, word + phrase.count(b" ") + 1, True] = 0
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for piece, uses in self.by_seed.items():
             for at in _places(data, piece):
                 for i, offset in uses:
                     x = self.fuzzy[i][1]
-                    windows.setdefault(i, []).append((at - offset - 2 * x.edits - 1, at - offset + len(x.phrase) + 2 * x.edits + 1))
+                    # an edit is one character of up to four bytes; a match lies between spaces in the window
+                    a, b = at - offset - 4 * x.edits - 1, at - offset + len(x.phrase) + 4 * x.edits + 1
+                    a = 0 if a < 0 else data.find(b" ", a, at + 1) + 1
+                    b = len(data) if b >= len(data) else data.rfind(b" ", at, b)
+                    if b > a and (a or at - offset - 4 * x.edits - 1 < 0):
+                        windows.setdefault(i, set()).add((a, b))
         for i, spans in windows.items():
             pattern, x = self.fuzzy[i]
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                # from word boundary to word boundary, so that neither a word nor a character is cut
-                a = data.rfind(b" ", 0, a) + 1 if a > 0 else 0
-                b = len(data) if (to := data.find(b" ", b)) < 0 else to
+            matches = set()
+            for a, b in spans:
                 window = data[a:b].decode("utf-8", "surrogatepass")
                 for match in _matches(pattern, window):
-                    first = data.count(b" ", 0, a) + window.count(" ", 0, match.start())
-                    key = x.label, first, first + match[0].count(" ") + 1, False
-                    found[key] = min(found.get(key, 99), sum(match.fuzzy_counts))
+                    first = word_at(a) + window.count(" ", 0, match.start())
+                    matches.add((sum(match.fuzzy_counts), first, first + match[0].count(" ") + 1))
+            taken: list[tuple[int, int]] = []
+            for edits, first, end in sorted(matches):
+                place = bisect.bisect(taken, (first, end))
+                if place and taken[place - 1][1] > first or place < len(taken) and taken[place][0] < end:
+                    continue
+                taken.insert(place, (first, end))
+                key = x.label, first, end, False
+                found[key] = min(found.get(key, 99), edits)
         plain = {k[:3] for k in found if k[3]}
         return n_words, sorted((*k[:3], edits, k[3]) for k, edits in found.items() if k[3] or k[:3] not in plain)
 

@@ -125,3 +125,17 @@ def test_a_better_notice_hides_no_other():
     for text, want in (("mozila public license mozilla public license", [(0, 3, 1), (3, 6, 0)]), ("mozilla public license mozila public license", [(0, 3, 0), (3, 6, 1)]), ("mozila public license mozilla public license mozila public license", [(0, 3, 1), (3, 6, 0), (6, 9, 1)])):
         spans = L.Scanner((), tuple(x for x in L.NOTICES if x.phrase == "mozilla public license")).scan(text)[1]
         assert [s[1:4] for s in spans] == want
+
+
+def test_repetitive_texts_are_scanned_in_linear_time():
+    import time
+
+    scanner = L.Scanner()
+    for text, n in (("all rights reservd " * 55_000, 55_000), ("mitlicence" * 100_000, 0), ("gnu generel public license mozila public license " * 10_000, 20_000)):
+        began = time.time()
+        assert len(scanner.scan(text)[1]) == n and time.time() - began < 10
+
+
+def test_every_notice_of_a_text_is_reported():
+    assert [s[:4] for s in L.Scanner().scan("mozila public license words mozilla public license")[1]] == [("mpl", 0, 3, 1), ("mpl", 4, 7, 0)]
+    assert [s[:4] for s in L.Scanner().scan("gnu generel public license then gnu general public license")[1]] == [("gpl", 0, 4, 1), ("gpl", 5, 9, 0)]
