@@ -5,12 +5,16 @@ paragraphs that ends at a blank line, before a heading, or where a paragraph's d
 an insertion moves no boundary but its own. Nothing is dropped between leaves: equal roots mean equal texts. A node's
 digest is the 128-bit xxh3 hash of its children's digests.
 
-The text form is root/sections, sections joined by "." of paragraphs joined by "," of leaf digests of 8 hex digits each.
-Likeness descends only where digests differ: equal roots are 1; else leaves under equal sections, then equal
-paragraphs, then equal leaves count as shared, and likeness is twice their number over all leaves of both.
-
-Null text: as empty, one root for all. In documents that follow each other by id, null ids come first and ties of an
-id are ordered by the text's hash. One document is followed by itself; an empty table gives no rows.
+The text form is root/sections, sections joined by "." and each digest:paragraphs, paragraphs joined by "," and each
+digest=leaves; digests of inner nodes have 16 hex digits, leaves 8 each. Two trees are compared from the roots down, and
+only where digests differ: equal roots are 1; else leaves under equal sections, then equal paragraphs, then equal leaves
+count as shared, and likeness is twice their number over all leaves of both. The branches that differ are the places
+(section.paragraph) of paragraphs whose digests the other tree does not have.
+
+Null text: as empty, one root for all. Very long texts make trees in proportion. In documents that follow each other by
+id, null ids come first and ties of an id are ordered by the text's hash; rows that repeat follow each other. One
+document is followed by itself; an empty table gives no rows. Only id and text are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -32,33 +36,34 @@ _HASH = xxhash.xxh3_128_digest
 
 
 class Tree:
-    """root: hex digest; sections: tuples of paragraphs, each a tuple of leaf digests (4 bytes as hex)."""
+    """root: hex digest; sections: (digest, paragraphs), each paragraph (digest, leaves), all in hex."""
 
     __slots__ = ("root", "sections")
 
-    def __init__(self, root: str, sections: list[tuple[str, ...]]):
+    def __init__(self, root: str, sections: list[tuple[str, tuple[tuple[str, str], ...]]]):
         self.root, self.sections = root, sections
 
     def __str__(self) -> str:
-        return f"{self.root}/{'.'.join(','.join(s) for s in self.sections)}"
+        return f"{self.root}/{'.'.join([d + ':' + ','.join([p + '=' + leaves for p, leaves in inner]) for d, inner in self.sections])}"
 
     @classmethod
     def parse(cls, text: str) -> Tree:
         root, _, rest = text.partition("/")
-        return cls(root, [tuple(s.split(",")) for s in rest.split(".")] if rest else [])
+        sections = [s.partition(":") for s in rest.split(".")] if rest else []
+        return cls(root, [(d, tuple((p[:16], p[17:]) for p in inner.split(","))) for d, _, inner in sections])
 
 
 def build(text: str) -> Tree:
     data = text.encode("utf-8", "surrogatepass")
-    sections: list[tuple[str, ...]] = []
-    open_paragraphs: list[str] = []
+    sections: list[tuple[str, tuple[tuple[str, str], ...]]] = []
+    open_paragraphs: list[tuple[str, str]] = []
     open_digests: list[bytes] = []
     tops: list[bytes] = []
 
     def close() -> None:
         if open_digests:
-            sections.append(tuple(open_paragraphs))
             tops.append(_HASH(b"".join(open_digests)))
+            sections.append((tops[-1][:8].hex(), tuple(open_paragraphs)))
             open_paragraphs.clear()
             open_digests.clear()
 
@@ -67,7 +72,7 @@ def build(text: str) -> Tree:
             close()
         leaves = [_HASH(x) for x in _PIECE.findall(line)]
         digest = _HASH(b"".join(leaves))
-        open_paragraphs.append("".join([x[:4].hex() for x in leaves]))
+        open_paragraphs.append((digest[:8].hex(), b"".join([x[:4] for x in leaves]).hex()))
         open_digests.append(digest)
         if digest[0] < 32 or line.isspace():
             close()
@@ -78,28 +83,26 @@ def build(text: str) -> Tree:
 def likeness(a: Tree, b: Tree) -> float:
     if a.root == b.root:
         return 1.0
-
-    def leaves(paragraph: str) -> list[str]:
-        return [paragraph[i : i + 8] for i in range(0, len(paragraph), 8)]
-
-    size = lambda t: sum(len(p) // 8 for s in t.sections for p in s)
-    shared = 0
+    leaves = lambda paragraphs: sum(len(x) // 8 for _, x in paragraphs)
+    total = sum(leaves(inner) for t in (a, b) for _, inner in t.sections)
     left, right = Counter(a.sections), Counter(b.sections)
     same = left & right
-    shared += sum(len(p) // 8 * n for s, n in same.items() for p in s)
-    left, right = (Counter(p for s, n in (x - same).items() for p in s for _ in range(n)) for x in (left, right))
+    shared = sum(leaves(inner) * n for (_, inner), n in same.items())
+    left, right = (Counter(p for (_, inner), n in (x - same).items() for p in inner for _ in range(n)) for x in (left, right))
     same = left & right
-    shared += sum(len(p) // 8 * n for p, n in same.items())
-    left, right = (Counter(leaf for p, n in (x - same).items() for leaf in leaves(p) * n) for x in (left, right))
+    shared += sum(len(x) // 8 * n for (_, x), n in same.items())
+    left, right = (Counter(x[i : i + 8] for (_, x), n in (y - same).items() for _ in range(n) for i in range(0, len(x), 8)) for y in (left, right))
     shared += sum((left & right).values())
-    total = size(a) + size(b)
     return 2 * shared / total if total else 1.0
 
 
-def differing(a: Tree, b: Tree) -> list[int]:
-    """Sections of a that b does not have: where to look for the edit."""
-    there = set(b.sections)
-    return [] if a.root == b.root else [i for i, s in enumerate(a.sections) if s not in there]
+def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """(section, paragraph) of the paragraphs of a that b does not have: where to look for the edit."""
+    if a.root == b.root:
+        return []
+    sections = {d for d, _ in b.sections}
+    paragraphs = {p for _, inner in b.sections for p, _ in inner}
+    return [(i, j) for i, (d, inner) in enumerate(a.sections) if d not in sections for j, (p, _) in enumerate(inner) if p not in paragraphs]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +134,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its fingerprint, its edited text's hash and fingerprint, likeness to that and to the next.
+    """One row per document: its fingerprint, its edited text's hash and fingerprint, likeness to that and to the next,
+    and the branches of the edited text's tree that the document's does not have.
 
     Documents are dealt by ranges of ids, one shuffle of the texts. A range also gets the first document of the range
     after it (the last range that of the first), so that each document meets the one after it without a window over
@@ -165,17 +169,17 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     _, old_id, old, old_tree = held
                     new = edited(old, text)
                     new_tree = build(new)
-                    rows.append((old_id, len(old), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), str(old_tree), str(new_tree), likeness(old_tree, new_tree), likeness(old_tree, tree)))
+                    rows.append((old_id, len(old), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), str(old_tree), str(new_tree), likeness(old_tree, new_tree), likeness(old_tree, tree), ",".join([f"{i}.{j}" for i, j in differing(new_tree, old_tree)])))
                 held = None if extra else (bucket, key_id, text, tree)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_branches"]
     kind = keyed.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return map_batches(laid, run, f"`{id_col}` {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    return map_batches(laid, run, f"`{id_col}` {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_branches string")
 
 
 __all__ = ["Tree", "build", "differing", "edited", "fingerprints", "likeness", "with_edits"]
