@@ -1,13 +1,17 @@
 """Quality rules whose thresholds follow the data: mergeable quantile sketches per language and source.
 
-A document's measures are integers. A sketch is the count of each bin of a measure, where a bin keeps a number's six
-leading bits (relative error under 1/32): sketches merge by adding counts, whatever the order, so the thresholds of a
-group are the same for any partitioning, and small groups fall back on their language's merged sketch, then on that of
-all rows. A measure fails above  middle + spread * (high - middle)  of its group's quantiles, held between a floor and
-a ceiling so that neither a spotless nor a spoilt group moves it to an absurd place.
+A document's measures are integers. A sketch is the count of each bin of a number, where a bin keeps its six leading
+bits (relative error under 1/32): sketches merge by adding counts, whatever the order, so the thresholds of a group are
+the same for any partitioning, and small groups fall back on their language's merged sketch, then on that of all rows.
+A rate (parts per million) fails above
+    middle + spread * (high - middle) + slack / median size
+of its group's quantiles: what most of the group has, and as many events more as `slack` would be in the group's median
+document, since a rate that is zero in most documents has no spread of its own. Floor and ceiling are rails for
+degenerate groups; on usual data they lie far from the limits.
 
 Null text: no words, so the document fails the base. Null language or source: a group of its own (null-safe joins).
-Empty table: no rows. Ties and repeats are measured alike. Extra columns pass through the filter untouched.
+Empty table: no rows. Ties and repeats are measured alike, each row counted. Very long texts are measured whole. Extra
+columns pass through the filter untouched, whatever their names; judge reads the id, groups and text alone.
 """
 
 from __future__ import annotations
@@ -31,26 +35,27 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Rule:
-    """Fails above middle + spread * (high - middle) of the group's quantiles, held in floor..ceiling (all permille)."""
+    """Fails above middle + spread * (high - middle) + slack / median whole of the group, held in floor..ceiling (ppm)."""
 
     name: str
     part: str
     whole: str
+    slack: int
     middle: float = 0.5
     high: float = 0.8
     spread: float = 4.0
-    floor: int = 100
-    ceiling: int = 1000
+    floor: int = 500
+    ceiling: int = 900_000
 
 
 RULES = (
-    Rule("symbol_rate", "n_symbols", "word_chars", floor=60, ceiling=100),
-    Rule("dup_line_rate", "n_dup_lines", "n_lines", floor=400, ceiling=700),
-    Rule("repeat_rate", "n_repeat_words", "n_words", floor=200, ceiling=300),
-    Rule("stutter_rate", "n_stutters", "n_words", floor=100, ceiling=300),
+    Rule("symbol_rate", "n_symbols", "word_chars", slack=20, ceiling=250_000),
+    Rule("dup_line_rate", "n_dup_lines", "n_lines", slack=5),
+    Rule("repeat_rate", "n_repeat_words", "n_words", slack=6 * WINDOW),
+    Rule("stutter_rate", "n_stutters", "n_words", slack=8, ceiling=300_000),
 )
 #: A group of fewer documents takes the thresholds of its language, or of all.
-MIN_GROUP = 200
+MIN_GROUP = 100
 
 
 def measure_text(text: str | None) -> tuple[int, ...]:
@@ -98,8 +103,8 @@ def base_failed(m: Column) -> Column:
 
 
 def rate(m: Column, rule: Rule) -> Column:
-    """Whole permille of a rule's measure, 0 where there is nothing to divide by."""
-    return F.when(m[rule.whole] > 0, F.floor(1000 * m[rule.part] / m[rule.whole])).otherwise(0).cast("long")
+    """A rule's measure in whole parts per million, 0 where there is nothing to divide by."""
+    return F.when(m[rule.whole] > 0, F.floor(1_000_000 * m[rule.part] / m[rule.whole])).otherwise(0).cast("long")
 
 
 def bin_of(x: Column) -> Column:
@@ -111,7 +116,8 @@ def bin_of(x: Column) -> Column:
 def sketch(measured: DataFrame, groups: list[str], rules: tuple[Rule, ...] = RULES, m: str = "measures") -> DataFrame:
     """Counts per group, rule and bin, of documents that pass the base; partial counts are summed before any shuffle."""
     kept = measured.filter(~base_failed(F.col(m)))
-    pairs = F.array(*[F.struct(F.lit(r.name).alias("rule"), bin_of(rate(F.col(m), r)).alias("bin")) for r in rules])
+    numbers = {r.name: rate(F.col(m), r) for r in rules} | {r.whole: F.col(m)[r.whole] for r in rules}
+    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), bin_of(x).alias("bin")) for name, x in numbers.items()])
     return kept.select(*groups, F.explode(pairs).alias("p")).groupBy(*groups, "p.rule", "p.bin").agg(F.count("*").alias("n"))
 
 
@@ -125,8 +131,9 @@ def thresholds(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...] =
         placed = merged.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
         columns = [F.max("total").alias("total")]
         for r in rules:
-            at = lambda q: F.min(F.when((F.col("rule") == r.name) & (F.col("upto") >= F.ceil(F.col("total") * q)), F.col("bin")))  # noqa: E731,B023
-            columns.append(F.least(F.lit(r.ceiling), F.greatest(F.lit(r.floor), F.floor(at(r.middle) + r.spread * (at(r.high) - at(r.middle))))).cast("long").alias(r.name))
+            at = lambda name, q: F.min(F.when((F.col("rule") == name) & (F.col("upto") >= F.ceil(F.col("total") * q)), F.col("bin")))
+            limit = at(r.name, r.middle) + r.spread * (at(r.name, r.high) - at(r.name, r.middle)) + F.lit(r.slack * 1_000_000) / F.greatest(at(r.whole, 0.5), F.lit(1))
+            columns.append(F.least(F.lit(r.ceiling), F.greatest(F.lit(r.floor), F.floor(limit))).cast("long").alias(r.name))
         limits.append(placed.groupBy(*keys).agg(*columns))
     out = limits[0]
     for keys, level in zip(levels[1:], limits[1:], strict=True):
