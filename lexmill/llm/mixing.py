@@ -5,12 +5,14 @@ what it cannot take goes to its siblings by their weights, and only what all sib
 at the parent, whose own siblings get it. For one node this is filling water to a level, which sorting the children by
 capacity over weight gives in closed form with window sums, in whole numbers.
 
-A leaf takes whole epochs, then a prefix of one more: its documents in the order of a seeded MD5 of their ids, as far as
-their tokens fit. The prefix is one key per leaf: sums per leaf and three hex digits of the key find the digits at
+A leaf takes whole epochs, then a prefix of one more: its documents in the order of a MD5 of seed, epoch and id, as far
+as their tokens fit. The prefix is one key per leaf: sums per leaf and three hex digits of the key find the digits at
 which the budget ends, and only those few rows are summed one by one, so no leaf is ever sorted in one task.
 
 Null or missing domain, language, source: as the empty name. Null text: no tokens; a document without tokens is taken
-with its neighbours in the order. Rows with equal ids have equal keys and are taken together. Empty table: no rows.
+with its neighbours in the order. Very long texts are counted whole; one that does not fit ends its leaf's prefix. Rows
+with equal ids have equal keys and are taken together. Empty table: no rows. Columns keep their places and values
+whatever their names: while documents are mixed they are known by their positions.
 """
 
 from __future__ import annotations
@@ -85,13 +87,18 @@ def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     return out.select(*LEVELS, "tokens", "share")
 
 
+def order_key(plan: Plan, doc_id: Column, epoch: Column) -> Column:
+    """The place of a document in an epoch."""
+    return F.md5(F.concat_ws(":", F.lit(plan.seed), F.coalesce(epoch, F.lit(0)).cast("string"), doc_id.cast("string")))
+
+
 def cuts(docs: DataFrame, plan: Plan, domain: Column, id_col: str, lang_col: str, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents' ids, leaves, keys and tokens; and per leaf its whole epochs and the last key of its prefix."""
-    key = F.md5(F.concat_ws(":", F.lit(plan.seed), F.col(id_col).cast("string")))
-    narrow = materialise(docs.select(F.col(id_col), *_named(docs, domain, lang_col, source_col), key.alias("mix_key"), count_words(F.col(text_col)).alias("mix_tokens")), "mix")
+    """Documents' ids, leaves, keys and tokens; and per leaf its whole epochs and the last key of the prefix of one more."""
+    counted = materialise(docs.select(F.col(id_col).alias("mix_id"), *_named(docs, domain, lang_col, source_col), count_words(F.col(text_col)).alias("mix_tokens")), "mix")
+    leaves = materialise(leaf_budgets(counted.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens")), plan), "mix-leaves")
+    leaves = materialise(leaves.select(*LEVELS, F.expr("share div tokens").alias("epochs"), (F.col("share") % F.col("tokens")).alias("rest")), "mix-epochs")
+    narrow = join_lookup(counted, leaves.select(*LEVELS, F.col("epochs").alias("mix_epoch")), list(LEVELS)).withColumn("mix_key", order_key(plan, F.col("mix_id"), F.col("mix_epoch")))
     parts = materialise(narrow.groupBy(*LEVELS, F.substring("mix_key", 1, 3).alias("digits")).agg(F.sum("mix_tokens").alias("tokens")), "mix-parts")
-    leaves = materialise(leaf_budgets(parts.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), plan), "mix-leaves")
-    leaves = leaves.select(*LEVELS, F.expr("share div tokens").alias("epochs"), (F.col("share") % F.col("tokens")).alias("rest"))
     placed = parts.withColumn("upto", F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("digits"))).join(leaves, list(LEVELS))
     edge = materialise(placed.filter("upto > rest").groupBy(*LEVELS, "epochs", "rest").agg(F.min(F.struct("digits", (F.col("upto") - F.col("tokens")).alias("before"))).alias("at")).select(*LEVELS, "epochs", "rest", "at.digits", "at.before"), "mix-edges")
     inside = join_lookup(narrow.withColumn("digits", F.substring("mix_key", 1, 3)), edge, [*LEVELS, "digits"], "inner")
@@ -111,13 +118,14 @@ def plan_mix(docs: DataFrame, plan: Plan, domain: Column, id_col: str = "doc_id"
     """One row per document: id, domain, language, source (empty for null), tokens, copies."""
     narrow, ends = cuts(docs, plan, domain, id_col, lang_col, source_col, text_col)
     joined = join_lookup(narrow, ends, list(LEVELS))
-    return joined.select(id_col, *[F.col(x).alias(x.removeprefix("mix_")) for x in LEVELS], F.col("mix_tokens").alias("n_tokens"), copies(F.col("mix_key")).alias("copies"))
+    return joined.select(F.col("mix_id").alias(id_col), *[F.col(x).alias(x.removeprefix("mix_")) for x in LEVELS], F.col("mix_tokens").alias("n_tokens"), copies(F.col("mix_key")).alias("copies"))
 
 
 def mix(docs: DataFrame, plan: Plan, domain: Column, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents taken, each as often as it is taken, with their columns; texts are not shuffled."""
     _, ends = cuts(docs, plan, domain, id_col, lang_col, source_col, text_col)
-    key = F.md5(F.concat_ws(":", F.lit(plan.seed), F.col(id_col).cast("string")))
-    keyed = docs.select(*docs.columns, *_named(docs, domain, lang_col, source_col), key.alias("mix_key"))
-    taken = join_lookup(keyed, ends, list(LEVELS)).withColumn("mix_copies", copies(F.col("mix_key")).cast("int"))
-    return taken.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], *_named(docs, domain, lang_col, source_col), F.col(id_col).cast("string").alias("mix_id"))
+    joined = join_lookup(keyed, ends, list(LEVELS))
+    taken = joined.withColumn("mix_copies", copies(order_key(plan, F.col("mix_id"), F.col("mix_epochs"))).cast("int")).filter("mix_copies > 0")
+    return taken.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*own).toDF(*docs.columns)

@@ -23,13 +23,14 @@ def mixing_sql(plan: Plan) -> str:
 WITH d AS (
   SELECT doc_id, coalesce('d' || CAST(CAST(floor(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) / 5) AS BIGINT) AS VARCHAR), '') AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens, md5('{plan.seed}:' || CAST(doc_id AS VARCHAR)) AS k
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
   FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {plan.max_epochs} AS BIGINT) AS cap FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 {level("l1", f"SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(floor(sum(tokens) * {plan.budget_percent} / 100) AS BIGINT) FROM leaf) AS budget FROM leaf GROUP BY domain", "", weight(plan.domains, "domain"))},
 {level("l2", "SELECT n.*, p.share AS budget FROM (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaf GROUP BY ALL) n JOIN l1 p USING (domain)", "domain", weight(plan.languages, "lang"))},
 {level("l3", "SELECT n.*, p.share AS budget FROM leaf n JOIN l2 p USING (domain, lang)", "domain, lang", weight(plan.sources, "source"))},
-c AS (SELECT d.*, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM d)
+e AS (SELECT d.*, md5('{plan.seed}:' || CAST(coalesce(l3.share // l3.tokens, 0) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS k FROM d LEFT JOIN l3 USING (domain, lang, source)),
+c AS (SELECT e.*, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM e)
 SELECT doc_id, c.domain, c.lang, c.source, n_tokens,
   CAST(CASE WHEN l3.share IS NULL THEN 0 ELSE l3.share // l3.tokens + CASE WHEN l3.share % l3.tokens > 0 AND upto <= l3.share % l3.tokens THEN 1 ELSE 0 END END AS BIGINT) AS copies
 FROM c LEFT JOIN l3 ON c.domain = l3.domain AND c.lang = l3.lang AND c.source = l3.source"""
