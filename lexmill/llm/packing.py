@@ -6,8 +6,11 @@ group, pieces go by falling length into the first bin with room, which a tournam
 logarithmic time. As pieces may be cut anywhere, gaps of at least `min_fill` tokens are then filled from the emptiest
 bins, and what is left of the last one is dealt into sequences of powers of two, which need no padding.
 
-Null text: as empty, a document of the end id alone. Null, equal or repeated ids: each row is packed as its own
-document. Empty table: no rows.
+Null text: as empty, a document of the end id alone. Very long texts are cut into pieces and packed whole. Null, equal
+or repeated ids: each row is packed as its own document; rows that follow each other with one id are its copies 0, 1,
+..., dealt to groups apart, so that a document mixed in twice does not meet itself in a sequence by its hash. Ties of
+length go by id, start, copy and place. Empty table: no rows. Only the id and the text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -128,39 +131,43 @@ def fill_gaps(bins: list[list[Slice]], capacity: int, min_fill: int) -> list[lis
 
 
 def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, length: int) -> DataFrame:
-    """A row per piece of at most `length` ids: id, start, doc_tokens, ids (unsigned 16 or 32 bits, little-endian)."""
+    """A row per piece of at most `length` ids: id, start, doc_tokens, ids (unsigned 16 or 32 bits, little-endian), copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoding(path)
         width = np.dtype("<u2" if code.n_vocab <= 1 << 16 else "<u4")
+        before, copy = None, 0
         for batch in batches:
-            rows, starts, totals, pieces = [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            rows, starts, totals, pieces, copies = [], [], [], [], []
+            for row, (doc_id, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                copy = copy + 1 if doc_id is not None and doc_id == before else 0
+                before = doc_id
                 ids = np.append(np.asarray(code.encode_to_numpy(text or "", allowed_special="all")), END_ID).astype(width)
                 for start in range(0, len(ids), length):
                     rows.append(row)
                     starts.append(start)
                     totals.append(len(ids))
                     pieces.append(ids[start : start + length].tobytes())
+                    copies.append(copy)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary()), pa.array([width.itemsize] * len(rows), pa.int32())],
-                names=[id_col, "start", "doc_tokens", "ids", "width"],
+                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary()), pa.array([width.itemsize] * len(rows), pa.int32()), pa.array(copies, pa.int64())],
+                names=["id", "start", "doc_tokens", "ids", "width", "copy"],
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, start bigint, doc_tokens bigint, ids binary, width int")
+    return map_batches(docs.select(id_col, text_col), run, f"id {kind}, start bigint, doc_tokens bigint, ids binary, width int, copy bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, seed: int = 17, group_pieces: int = GROUP_PIECES, min_fill: int = 16) -> DataFrame:
-    """One row per piece: id, start, length, ids (unsigned 32 bits, little-endian), doc_tokens, sequence_id, offset, padded."""
+    """One row per piece: id, start, length, ids (unsigned 32 bits, little-endian), doc_tokens, sequence_id, offset, padded, copy."""
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
     groups = max(1, round((size["n"] + size["chars"] / 3 / length) / group_pieces))
     pieces = _tokenised(docs, id_col, text_col, tokenizer, length)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "start", "doc_tokens"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "doc_tokens", "copy"), F.lit(groups)))
 
     def run(key: tuple[pa.Scalar], found: pa.Table) -> pa.Table:
-        order = found.select([id_col, "start"]).append_column("n", pa.array([len(x) for x in found["ids"].to_pylist()], pa.int64()))
-        taken = order.append_column("row", pa.array(range(len(found)), pa.int64())).sort_by([("n", "descending"), (id_col, "ascending"), ("start", "ascending"), ("row", "ascending")])
+        order = found.select(["id", "start", "copy"]).append_column("n", pa.array([len(x) for x in found["ids"].to_pylist()], pa.int64()))
+        taken = order.append_column("row", pa.array(range(len(found)), pa.int64())).sort_by([("n", "descending"), ("id", "ascending"), ("start", "ascending"), ("copy", "ascending"), ("row", "ascending")])
         found = found.take(taken["row"])
         wide = np.dtype("<u2" if found["width"][0].as_py() == 2 else "<u4")
         ids = [np.frombuffer(x, wide) for x in found["ids"].to_pylist()]
@@ -180,13 +187,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         take = pa.array(rows, pa.int64())
         column = lambda values: pa.array(values, pa.int64())
         return pa.table(
-            {id_col: found[id_col].take(take), "start": column(starts), "length": column([len(x) for x in data]), "ids": pa.array([x.astype("<u4").tobytes() for x in data], pa.binary()), "doc_tokens": found["doc_tokens"].take(take), "sequence_id": column(sequences), "offset": column(offsets), "padded": column(padded)}
+            {id_col: found["id"].take(take), "start": column(starts), "length": column([len(x) for x in data]), "ids": pa.array([x.astype("<u4").tobytes() for x in data], pa.binary()), "doc_tokens": found["doc_tokens"].take(take), "sequence_id": column(sequences), "offset": column(offsets), "padded": column(padded), "copy": found["copy"].take(take)}
         )
 
     kind = dict(docs.dtypes)[id_col]
     ship(docs.sparkSession)
-    return dealt.groupBy("grp").applyInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint")
+    return dealt.groupBy("grp").applyInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint, copy bigint")
 
 
 def digest(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return packed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
+    return packed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded", "copy")
