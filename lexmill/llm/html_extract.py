@@ -2,14 +2,17 @@
 
 A page is read into containers (body, main, article, section, div, table cells ...), each with its path of tags and
 generalised classes (digits become #). Menus, headers outside the article, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out, by tag or by words of their class, id or role. A container's score
+scripts, styles and reader comments are left out, by tag or by boilerplate words in class, id or role; inside an article
+a name must consist of such words and words that say nothing: "social-links" is out, "social-history" is not. A container's score
 is its remaining text less that of its links; a page votes for its deepest container that holds four fifths of the
 best score. Votes are summed per host and path in Spark, and each page is then read again: from the containers on its
 host's winning path, or its own best container where it has none, up to the smallest one around them that holds all
 text outside links of the article (the outermost article or main element around them, else the page).
 
-Null html: empty text. Null url: pages without a host vote together. Ties of votes go to the smaller path. Hosts are
-joined without gathering a hot host in one task. Nothing is capped; extra columns are ignored.
+Null or empty html: empty text. Null url: pages without a host vote together. Ties of votes go to the smaller path;
+pages that repeat vote and are read each. Pages of any length and depth are read whole. Hosts are joined without
+gathering a hot host in one task. Empty table: no rows. Only id, url and html are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import join_lookup, map_batches, materialise
 
-# Tags by role, and words of class, id or role that mark boilerplate.
+# Tags by role, words of class, id or role that mark boilerplate, and words that say nothing beside them.
 CONTAINERS = frozenset("html body main article section div td blockquote details dd center table tbody tr".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt pre hr br th thead tfoot caption figure figcaption address header footer nav aside form fieldset summary option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +37,10 @@ WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar toolbar footer comment comments commentlist disqus replies reply respond notice notices cookie cookies consent gdpr "
     "alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager skip complementary contentinfo".split()
 )
+PLAIN = frozenset(
+    "area article bar block blog body bottom box btn button buttons col column container content entry entries fixed float footer form global group header holder icon icons inner item items js layout left link links list main module outer page pages panel "
+    "post posts primary reader right row secondary section site small sticky story text title top user view wrap wrapper zone".split()
+)
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure address".split())
 SAME_CLOSES = frozenset("p li dt dd tr td th option".split())
 
@@ -41,6 +48,7 @@ SAME_CLOSES = frozenset("p li dt dd tr td th option".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _DIGITS = re.compile(r"\d+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Box:
@@ -83,8 +91,13 @@ class Box:
 def _boilerplate(tag: str, marks: dict[str, str], inside: bool) -> bool:
     if tag in DROPPED or tag == "header" and not inside:
         return True
-    words = set(re.findall(r"[a-z]+", " ".join(marks.values()).lower()))
-    return bool(words & WORDS) and not (tag in ("body", "html", "main", "article") or inside and words & WORDS <= {"header"})
+    if tag in ("body", "html", "main", "article"):
+        return False
+    for name in " ".join(marks.values()).split():
+        words = {w.lower() for w in _PART.findall(name)}
+        if (marked := words & WORDS) and not (inside and (marked == {"header"} or not words <= WORDS | PLAIN)):
+            return True
+    return False
 
 
 def parse(page: str) -> list[Box]:
