@@ -1,14 +1,17 @@
 """Toxicity by a classifier chain: linear models in sequence, each fed the earlier categories' probabilities.
 
-The labelled sample is bounded (`max_rows` rows, those with the smallest seeded hashes); everything else covers all
-documents. Features are character n-grams of the normalised text, words' edges included, chosen by a two-proportion
+The labelled sample is bounded (`max_rows` label rows, those with the smallest seeded hashes); everything else covers
+all documents. Features are character n-grams of the normalised text, words' edges included, chosen by a two-proportion
 score per category from counts made in Spark, and found in a text by one Aho-Corasick pass. The models are logistic;
 what a later model is trained on are out-of-fold probabilities of the earlier ones, so that it meets in training what
-it will meet on unseen texts. A category's cut-off is the one of best F1 on its out-of-fold probabilities.
-
-Null text: as empty, which has no features and gets the models' base rate. Null labels are left out of training, labels
-without a document too; with no labels or one class only, the probability is the smoothed share. Repeated ids keep
-each of their rows.
+it will meet on unseen texts: a fold's n-grams are chosen, and its models fitted, without the fold. A category's cut-off
+is the one of best F1 on its out-of-fold probabilities.
+
+Null or empty text: no features, so the models' base rate. Texts of any length are read whole. Null labels are left out
+of training, labels without a document too; with no labels or one class only, the probability is the smoothed share.
+Repeated ids keep each of their rows when scored; in training a label row takes the smallest text of its id. Ties of
+hashes go by labels, ties of scores by n-gram. Empty docs: no rows. Only id, text and label columns are read, so others
+may have any names.
 """
 
 from __future__ import annotations
@@ -16,17 +19,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lexmill.llm.common import map_batches
+from lexmill.llm.common import map_batches, materialise
 from lexmill.llm.license_scan import normalise
 
-#: Rows of the training sample, n-gram lengths, n-grams chosen per category, folds.
-MAX_ROWS, LENGTHS, PER_CATEGORY, FOLDS = 6000, (4, 5, 6), 400, 5
+#: Rows of the training sample, n-gram lengths, n-grams chosen per category, rows that must have one, folds.
+MAX_ROWS, LENGTHS, PER_CATEGORY, MIN_ROWS, FOLDS = 6000, (4, 5, 6), 400, 5, 5
 L2, ROUNDS = 1e-3, 250
 
 
@@ -98,17 +103,18 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][i] + below) / 2, 0.1, 0.9))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, names: list[str], grams: list[str]) -> Chain:
-    """labels: a column per category, in chain order."""
-    chain, held = Chain(names, grams), np.zeros((len(x), 0))
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, names: list[str], grams: list[str], chosen: list[np.ndarray]) -> Chain:
+    """labels: a column per category, in chain order; chosen: features for each fold, then those for all rows."""
+    chain, held = Chain(names, [grams[i] for i in chosen[-1]]), np.zeros((len(x), 0))
     for j in range(len(names)):
-        y, inputs = labels[:, j].astype(float), np.hstack([x, held])
+        y = labels[:, j].astype(float)
         out = np.zeros(len(x))
         for f in range(FOLDS):
             test = folds == f
             if test.any():
+                inputs = np.hstack([x[:, chosen[f]], held])
                 out[test] = _sigmoid(np.hstack([inputs[test], np.ones((int(test.sum()), 1))]) @ fit_logistic(inputs[~test], y[~test]))
-        chain.weights.append(fit_logistic(inputs, y))
+        chain.weights.append(fit_logistic(np.hstack([x[:, chosen[-1]], held]), y))
         chain.cuts.append(best_cut(out, y))
         held = np.hstack([held, out[:, None]])
     return chain
@@ -145,39 +151,56 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...],
         known = known.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < int(2**33 * max_rows / n))
     sample = known.select(F.col(id_col).alias("sample_id"), key.alias("key"), *marks).orderBy("key", *[f"y{i}" for i in range(len(marks))]).limit(max_rows)
     fold = F.pmod(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), F.lit(FOLDS)).alias("fold")
-    rows = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("text_id") == F.col("sample_id")).select("text", fold, *[f"y{i}" for i in range(len(marks))])
     names = [f"y{i}" for i in range(len(marks))]
+    numbered = sample.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(*names)))
+    found = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(F.broadcast(numbered), F.col("text_id") == F.col("sample_id"))
+    rows = materialise(found.groupBy("key", "nth", *names).agg(F.min("text").alias("text")).select("text", fold, *names), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = np.array([batch.column(2 + i).to_pylist() for i in range(len(names))]).T
-            found: dict[str, np.ndarray] = {}
-            for text, marks_of in zip(batch.column(0).to_pylist(), y, strict=True):
-                framed, add = _framed(text), np.append(marks_of, 1)
-                for n in LENGTHS:
-                    for g in {framed[i : i + n] for i in range(len(framed) - n + 1)}:
-                        if g in found:
-                            found[g] = found[g] + add
-                        else:
-                            found[g] = add
-            if found:
-                totals = np.array(list(found.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array(totals[:, i], pa.int64()) for i in range(len(names) + 1)]], names=["gram", *names, "n"])
-
-    totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    counted = map_batches(rows, count, f"gram string, {', '.join(f'{c} bigint' for c in names)}, n bigint").groupBy("gram").agg(*[F.sum(c).alias(c) for c in (*names, "n")]).filter(F.col("n") >= 5)
-    grams: list[str] = []
-    if totals["n"]:
-        scored = []
-        for c in names:
-            positive, all_rows = max(1, totals[c]), totals["n"]
-            share = F.col(c) / positive - (F.col("n") - F.col(c)) / max(1, all_rows - totals[c])
-            scored.append((share / F.sqrt(F.col("n") / all_rows / positive + 1e-9)).alias(f"z_{c}"))
-        ranked = counted.select("gram", *scored).persist()
-        for c in names:
-            grams += [r["gram"] for r in ranked.orderBy(F.desc(f"z_{c}"), "gram").limit(PER_CATEGORY).collect()]
-        ranked.unpersist()
-    grams = sorted(set(grams))
+            numbers: dict[str, int] = {}
+            seen, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            cell = batch.column(1).to_numpy().astype(np.int64)
+            for i in range(len(names)):
+                cell = 2 * cell + batch.column(2 + i).to_numpy()
+            for text, c in zip(batch.column(0).to_pylist(), cell, strict=True):
+                framed = _framed(text)
+                grams = {framed[i : i + n] for n in LENGTHS for i in range(len(framed) - n + 1)}
+                seen.append(np.fromiter((numbers.setdefault(g, len(numbers)) for g in grams), np.int64, len(grams)))
+                cells.append(np.full(len(grams), c))
+            both, n = np.unique(np.concatenate(seen) * n_cells + np.concatenate(cells), return_counts=True)
+            texts = pa.array(list(numbers), pa.string())
+            yield pa.RecordBatch.from_arrays([texts.take(pa.array(both // n_cells)), pa.array((both % n_cells).astype(np.int32)), pa.array(n.astype(np.int64))], names=["gram", "cell", "n"])
+
+    # a cell is a fold with one combination of labels
+    per_fold = 2 ** len(names)
+    n_cells = FOLDS * per_fold
+    cell_of = F.col("fold")
+    for c in names:
+        cell_of = 2 * cell_of + F.col(c)
+    sizes = np.zeros(n_cells, np.int64)
+    for r in rows.groupBy(cell_of.alias("cell")).count().collect():
+        sizes[r["cell"]] = r["count"]
+    counted = map_batches(rows, count, "gram string, cell int, n bigint").groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in range(n_cells)])
+    sum_of = lambda cells: reduce(Column.__add__, [F.col(f"c{c}") for c in cells])
+    picked: list[list[str]] = []
+    if sizes.sum():
+        scores = []
+        for f in range(FOLDS + 1):
+            inside = [c for c in range(n_cells) if c // per_fold != f]
+            n = sum_of(inside)
+            for j in range(len(names)):
+                with_mark = [c for c in inside if (c >> (len(names) - 1 - j)) & 1]
+                positive, all_rows = max(1, int(sizes[with_mark].sum())), max(1, int(sizes[inside].sum()))
+                share = sum_of(with_mark) / positive - (n - sum_of(with_mark)) / max(1, all_rows - positive)
+                scores.append(F.when(n >= MIN_ROWS, share / F.sqrt(n / all_rows / positive + 1e-9)).alias(f"z_{f}_{j}"))
+        ranked = materialise(counted.filter(sum_of(range(n_cells)) >= MIN_ROWS).select("gram", *scores), "toxicity-grams")
+        for f in range(FOLDS + 1):
+            best = [ranked.filter(F.col(f"z_{f}_{j}").isNotNull()).orderBy(F.desc(f"z_{f}_{j}"), "gram").limit(PER_CATEGORY).select("gram") for j in range(len(names))]
+            picked.append(sorted({r["gram"] for r in reduce(DataFrame.union, best).collect()}))  # at most PER_CATEGORY for each category
+    grams = sorted({g for some in picked for g in some})
+    place = {g: i for i, g in enumerate(grams)}
+    chosen = [np.array([place[g] for g in some], np.int64) for some in picked] or [np.zeros(0, np.int64)] * (FOLDS + 1)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...],
     y = np.array([found[c].to_pylist() for c in names]).T.reshape(len(found), len(names))
     # rows in one order whatever the partitions, so that the fit is the same
     order = np.lexsort((*x.T[:50], *y.T, found["fold"].to_numpy())) if len(found) else np.zeros(0, int)
-    return fit_chain(x[order], y[order], found["fold"].to_numpy()[order], [c.name for c in categories], grams)
+    return fit_chain(x[order], y[order], found["fold"].to_numpy()[order], [c.name for c in categories], grams, chosen)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
