@@ -1,5 +1,6 @@
 """The classifier chain by held-out accuracy; the suffix tree against counts and walks by hand."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -31,12 +32,35 @@ def test_chain_feeds_earlier_probabilities():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (400, 3)).astype(float)
     y = np.stack([x[:, 0], x[:, 0]], 1).astype(int)
-    chain = T.fit_chain(x, y, np.arange(400) % 5, ["a", "b"], ["p", "q", "r"])
+    chain = T.fit_chain(x, y, np.arange(400) % 5, ["a", "b"], ["p", "q", "r"], [np.arange(3)] * 6)
     assert chain.weights[1].shape == (5,) and chain.weights[1][3] > 0.5
     p = chain.probabilities(x)
     assert ((p >= chain.cuts) == (y == 1)).all()
 
 
+def test_features_are_chosen_without_the_fold(spark, monkeypatch):
+    """Features of every fold against a choice by hand; repeated ids give one row a label."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    monkeypatch.setattr(T, "PER_CATEGORY", 25)
+    seen = {}
+    fit = T.fit_chain
+    monkeypatch.setattr(T, "fit_chain", lambda x, y, folds, names, grams, chosen: seen.update(n=len(x), chosen=[[grams[i] for i in c] for c in chosen]) or fit(x, y, folds, names, grams, chosen))
+    T.train(docs.union(docs.limit(40)), labels, queries.CATEGORIES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(int(hashlib.md5(f"7:{r.doc_id}".encode()).hexdigest()[:6], 16) % 5, (r.quality == 0, r.toxic == 1), texts[r.doc_id]) for r in labels.collect() if r.doc_id in texts and r.quality is not None and r.toxic is not None]
+    grams = [{f[i : i + n] for f in [T._framed(t)] for n in T.LENGTHS for i in range(len(f) - n + 1)} for _, _, t in rows]
+    assert seen["n"] == len(rows)
+    for fold in range(6):
+        inside = [(y, g) for (f, y, _), g in zip(rows, grams, strict=True) if f != fold]
+        n, picked = Counter(x for _, g in inside for x in g), set()
+        for j in range(2):
+            marked = Counter(x for y, g in inside if y[j] for x in g)
+            positive = max(1, sum(y[j] for y, _ in inside))
+            score = {g: (marked[g] / positive - (k - marked[g]) / max(1, len(inside) - positive)) / math.sqrt(k / len(inside) / positive + 1e-9) for g, k in n.items() if k >= T.MIN_ROWS}
+            picked |= set(sorted(score, key=lambda g: (-score[g], g))[:25])
+        assert len(picked ^ set(seen["chosen"][fold])) <= 2  # ties within rounding
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(7, 1, 0), (8, None, 1), (None, 1, 1), (11, 0, 1), (9, 1, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
     chain = T.train(awkward(spark), labels, queries.CATEGORIES)

@@ -138,12 +138,13 @@ def test_sets_that_link_share_a_list(n, less, more, seed, percent):
 
 
 def check_packing(rows, docs, path):
+    """docs: by id, or by (id, copy)."""
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
-        by_doc[r.doc_id].append(r)
+        by_doc[(r.doc_id, r.copy) if (r.doc_id, r.copy) in docs else r.doc_id].append(r)
         by_sequence[r.sequence_id].append(r)
     for doc_id, text in docs.items():
         ids = [*exact.encode(text or "", add_special_tokens=False).ids, 0]
@@ -236,9 +237,22 @@ def test_mixing_awkward(spark):
     assert mixed.columns == awkward(spark).columns
     counts = {r.doc_id: r["count"] for r in mixed.filter("doc_id is not null and doc_id <> 7").groupBy("doc_id").count().collect()}
     assert counts == {k: n for k, n in planned.items() if n and k is not None and k != 7}
+    clashing = awkward(spark).withColumnsRenamed({"score": "mix_key", "spans": "mix_domain", "n": "mix_copies", "id": "mix_copy", "key": "mix_last_key", "word": "mix_id", "sid": "own_1"})
+    renamed = M.mix(clashing, queries.MIX, queries.domain())
+    assert renamed.columns == clashing.columns and sorted(map(str, renamed.collect())) == sorted(map(str, M.mix(awkward(spark), queries.MIX, queries.domain()).toDF(*clashing.columns).collect()))
     assert M.plan_mix(empty(spark), queries.MIX, queries.domain()).count() == 0 and M.mix(empty(spark), queries.MIX, queries.domain()).count() == 0
 
 
+def test_copies_are_packed_apart(spark):
+    rows = [(i, f"text number {i} " * 40) for i in range(300) for _ in range(2)]
+    packed = K.digest(K.pack(plain_docs(spark, rows).coalesce(1), queries.tokenizer_path(), group_pieces=16)).collect()
+    check_packing(packed, {(i, c): rows[2 * i][1] for i in range(300) for c in (0, 1)}, queries.tokenizer_path())
+    groups = defaultdict(set)
+    for r in packed:
+        groups[r.doc_id].add((r.copy, r.sequence_id >> 32))
+    assert sum(len({g for _, g in found}) > 1 for found in groups.values()) > 250
+
+
 def test_added_tokens_are_taken_whole(spark):
     from tokenizers import Tokenizer
 

@@ -5,7 +5,7 @@ import sys
 import corpus_pipeline
 from lexmill.llm import mixing, queries
 from lexmill.llm import secret_scan as S
-from tests.llm.fixtures import DATA, empty
+from tests.llm.fixtures import DATA, awkward, empty
 from tests.llm.test_documents import brute_kept, brute_measures
 from tests.llm.test_pairs_and_packs import brute_components, check_packing
 
@@ -38,9 +38,21 @@ def test_stages(spark):
     copies = {r.doc_id: r.copies for r in mixing.plan_mix(clean, queries.MIX, queries.domain()).collect()}
     assert mixed.columns == columns and sorted(map(tuple, mixed.collect())) == sorted(r for r in got for _ in range(copies[r[at["doc_id"]]]))
 
-    once = mixed.dropDuplicates(["doc_id"])
-    packed = stages["packing"](spark, once, DATA).collect()
-    assert check_packing(packed, {r.doc_id: r.text for r in once.collect()}, queries.tokenizer_path()) < 0.02
+    packed = stages["packing"](spark, mixed.coalesce(1), DATA).collect()
+    texts = {r.doc_id: r.text for r in mixed.collect()}
+    assert check_packing(packed, {(d, c): texts[d] for d, n in copies.items() for c in range(n)}, queries.tokenizer_path()) < 0.02
+    assert sum(r.doc_tokens for r in packed if r.start == 0) == sum(r.length for r in packed)
+
+
+def test_awkward_rows_pass_every_stage(spark):
+    """Nulls, repeats and clashing columns go through the stages one after the other."""
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        assert rows and (name == "packing" or out.columns == docs.columns), name
+        docs = spark.createDataFrame(rows, out.schema)
+    assert all(r.length > 0 for r in rows)
 
 
 def test_run_writes_and_rereads_every_stage(spark):
