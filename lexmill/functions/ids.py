@@ -28,6 +28,18 @@ def year(x: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), r"(?:^|[^0-9])([12][0-9]{3})(?:$|[^0-9])", 1), F.lit("")).cast("int")
 
 
+def work_date(date: Column, declared: Column, month: Column) -> Column:
+    """Struct (year, month, precision): the declared year first; a date gives its month only if its year agrees."""
+    found = r"^([0-9]{4})-([0-9]{2})(?:-[0-9]{2})?$"
+    valid = lambda y: F.when(y.between(1000, 2999), y)
+    of = lambda i: F.nullif(F.regexp_extract(F.trim(F.coalesce(date, F.lit(""))), found, i), F.lit("")).cast("int")
+    own = valid(of(1))
+    y = F.coalesce(valid(declared), own)
+    m = F.when(own == y, of(2)).otherwise(month)
+    m = F.when(m.between(1, 12), m)
+    return F.struct(y.alias("year"), m.alias("month"), F.when(y.isNull(), "unknown").when(m.isNull(), "year").otherwise("month").alias("precision"))
+
+
 def decade(y: Column) -> Column:
     return (F.floor(y / 10) * 10).cast("int")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,82 @@ def fold(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
 
 
+def _marked() -> dict[str, str]:
+    """Letters of the Latin blocks that decompose into one letter and marks, with that letter."""
+    out = {}
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(point)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(point):
+            out[chr(point)] = bare
+    return out
+
+
+_MARKED = _marked()
+
+
+def strip_accents(x: Column) -> Column:
+    """Without combining marks; letters of the Latin blocks without theirs."""
+    return F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+
+
+def _kept(x: Column, keep: str) -> Column:
+    """Lower case without accents; runs of what is not kept as one space; trimmed."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(x)), f"[^{keep}]+", " "))
+
+
+def fold_search(x: Column) -> Column:
+    """Letters and digits of any script, hyphens."""
+    return F.trim(F.regexp_replace(_kept(x, r"\p{L}\p{N} -"), " +", " "))
+
+
+def fold_corpus(x: Column) -> Column:
+    """a-z, 0-9, hyphens."""
+    return F.trim(F.regexp_replace(_kept(x, "a-z0-9 -"), " +", " "))
+
+
+def fold_plain(x: Column) -> Column:
+    """a-z and 0-9; hyphens part words."""
+    return _kept(x, "a-z0-9")
+
+
+def fold_ascii(x: Column) -> Column:
+    """Tags out, everything beyond ASCII dropped, spaces collapsed; punctuation stays."""
+    bare = F.regexp_replace(F.lower(strip_accents(x)), "<[^>]*>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\x00-\x7F]", ""), r"[ \t\n\r]+", " "))
+
+
+# Titles before and roles behind a person's name.
+HONORIFICS = ("dr", "dra", "prof", "profa", "mtro", "mtra", "lic", "ing", "mr", "mrs", "ms", "sir")
+ROLES = ("coord", "coordinador", "coordinadora", "comp", "compilador", "ed", "eds", "editor", "trad", "dir", "director")
+
+
+def fold_name(x: Column) -> Column:
+    """Letters and digits of any script, without leading honorifics."""
+    return F.regexp_replace(_kept(x, r"\p{L}\p{N}"), f"^(?:(?:{'|'.join(HONORIFICS)}) )+", "")
+
+
+def fold_ui(x: Column) -> Column:
+    """Lower case without accents; punctuation stays."""
+    return F.lower(strip_accents(x))
+
+
+def person_key(x: Column) -> Column:
+    """fold_name without roles at the end."""
+    return F.regexp_replace(fold_name(x), f"(?: (?:{'|'.join(ROLES)}))+$", "")
+
+
+def person_names(x: Column) -> Column:
+    """Distinct names of a creator statement, in order: parted at semicolons, slashes, ampersands and conjunctions."""
+    parts = F.split(F.coalesce(x, F.lit("")), r"\s*(?:;|/|&|\by\b|\band\b|\be\b)\s*")
+    return F.array_distinct(F.filter(F.transform(parts, person_key), lambda n: n != ""))
+
+
+def keywords(x: Column) -> Column:
+    """Distinct keywords of a statement, in order: parted at semicolons, commas, bars and line ends; one letter is none."""
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), r"[;,|\n]"), lambda k: F.trim(F.regexp_replace(k, r"^\s*[-.]+|[.\s]+$", "")))
+    return F.array_distinct(F.filter(parts, lambda k: F.length(k) > 1))
+
+
 def slug(x: Column) -> Column:
     return F.replace(fold(x), F.lit(" "), F.lit("-"))
 
