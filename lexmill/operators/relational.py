@@ -48,16 +48,24 @@ def first_rule(df: DataFrame, rules: Sequence[tuple[str, Column]], default: str,
     return df.withColumn(alias, F.lit(default) if out is None else out.otherwise(default))
 
 
+#: Rules that are broadcast at once.
+RULE_BLOCK = 10_000
+
+
 def rule_join(df: DataFrame, rules: DataFrame, matches: Column, id_col: str, priority: str, rule_id: str, columns: Sequence[str]) -> DataFrame:
     """Each row with the matching rule of highest priority (least id among ties), null where none matches.
 
-    rules is a curated table; its rows are counted against a bound before it is broadcast.
+    rules are counted and broadcast in blocks of at most about RULE_BLOCK rows, so a broadcast stays bounded; what each
+    block finds is reduced to its best rule before the blocks meet.
     """
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("a rule table has at most 10,000 rows")
-    joined = df.join(F.broadcast(rules), matches, "left")
-    best = F.min_by(F.struct(rule_id, *columns), F.struct(-F.coalesce(F.col(priority).cast("long"), F.lit(-(2**40))), F.col(rule_id)))
-    picked = joined.groupBy(id_col).agg(best.alias("_b"))
+    blocks = -(-rules.count() // RULE_BLOCK)
+    place = F.struct(-F.coalesce(F.col(priority).cast("long"), F.lit(-(2**40))), F.col(rule_id))
+    best = F.min(F.struct(place.alias("_at"), F.struct(rule_id, *columns).alias("_b")))
+    found = df.select(id_col).distinct().select(id_col, F.lit(None).cast(rules.select(F.struct(place.alias("_at"), F.struct(rule_id, *columns).alias("_b"))).schema[0].dataType).alias("_m"))
+    for i in range(blocks):
+        some = rules if blocks == 1 else rules.filter(F.pmod(F.xxhash64(rule_id), F.lit(blocks)) == i)
+        found = found.unionByName(df.join(F.broadcast(some), matches).groupBy(id_col).agg(best.alias("_m")))
+    picked = found.groupBy(id_col).agg(F.min("_m").alias("_m")).select(id_col, F.col("_m._b").alias("_b"))
     return picked.select(id_col, F.col(f"_b.{rule_id}").alias(rule_id), *[F.col(f"_b.{c}").alias(c) for c in columns])
 
 

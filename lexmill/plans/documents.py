@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import functions as F
 
@@ -39,11 +39,12 @@ PHRASE = "and the"
 
 def _scored(spark, d):
     docs = table(spark, d, "documents")
-    folded = docs.select("doc_id", "n_chars", text.fold(text.title_of(F.col("text"))).alias("title"), text.fold(F.col("text")).alias("body"))
-    wanted = folded.filter(reduce(or_, [F.col("body").contains(w) for w in QUERY_WORDS]))
-    hits = lambda c: reduce(add, [F.col(c).contains(w).cast("int") for w in QUERY_WORDS])
-    score = 30 * text.has_phrase(F.col("title"), F.lit(PHRASE)).cast("int") + 8 * hits("title") + 3 * hits("body")
-    return wanted.select("doc_id", "n_chars", score.cast("long").alias("score"))
+    hits = lambda c: reduce(add, [c.contains(w).cast("int") for w in QUERY_WORDS])
+    folded = F.array(F.struct(text.fold(text.title_of(F.col("text"))).alias("title"), text.fold(F.col("text")).alias("body")))
+    counted = F.transform(folded, lambda x: F.struct(hits(x["body"]).alias("body"), (30 * text.has_phrase(x["title"], F.lit(PHRASE)).cast("int") + 8 * hits(x["title"])).alias("title")))
+    # an explode of nothing or one is a filter that Catalyst does not repeat: each text is folded once
+    wanted = docs.select("doc_id", "n_chars", F.explode(F.filter(counted, lambda x: x["body"] > 0)).alias("x"))
+    return wanted.select("doc_id", "n_chars", (F.col("x.title") + 3 * F.col("x.body")).cast("long").alias("score"))
 
 
 _SQL_SCORED = f"""
@@ -261,13 +262,13 @@ def bibtex_entries(spark, d):
 
 
 @query(f"""
-WITH t AS (SELECT doc_id AS id, term, count(*) AS c FROM (SELECT doc_id, unnest(list_filter(string_split({sql_fold(SQL_TITLE)}, ' '), lambda x: length(x) >= 4)) AS term FROM documents WHERE lang = 'de') GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'de'),
+WITH t AS (SELECT doc_id AS id, term, count(*) AS c FROM (SELECT doc_id, unnest(list_filter(string_split({sql_fold(SQL_TITLE)}, ' '), lambda x: length(x) >= 4)) AS term FROM documents) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT id, term, (1 + ln(c)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM t JOIN df USING (term), n),
 u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
 SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 6) AS score, count(*) AS shared FROM u x JOIN u y ON x.term = y.term AND x.id < y.id GROUP BY ALL HAVING sum(x.w * y.w) >= 0.3 AND count(*) >= 2""")
 def tfidf_edges(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'de'")
+    docs = table(spark, d, "documents")
     edges = graph.cosine_edges(graph.tfidf(docs, "doc_id", text.tokens(text.title_of(F.col("text")), 4)), 0.3)
     return edges.select("a", "b", F.round("score", 6).alias("score"), "shared")
 

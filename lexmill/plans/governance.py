@@ -151,14 +151,14 @@ def scored_categories(spark, d):
 
 
 @query("""
-SELECT o_orderkey, y || '-' || m AS value, 'month' AS precision FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS m FROM orders) WHERE o_orderkey % 3 = 0
+SELECT *, CASE WHEN CAST(left(value, 4) AS INT) > 1997 THEN 'suspicious' ELSE 'valid' END AS quality FROM (SELECT o_orderkey, y || '-' || m AS value, 'month' AS precision FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS m FROM orders) WHERE o_orderkey % 3 = 0
 UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), 'day' FROM orders WHERE o_orderkey % 3 = 1
-UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y'), 'year' FROM orders WHERE o_orderkey % 3 = 2""")
+UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y'), 'year' FROM orders WHERE o_orderkey % 3 = 2)""")
 def partial_dates(spark, d):
     day, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
     raw = F.when(k == 0, F.date_format(day, "yyyy-MM-00")).when(k == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy"))
-    found = ids.partial_date(raw, 2030)
-    return table(spark, d, "orders").select("o_orderkey", found["value"].alias("value"), found["precision"].alias("precision"))
+    found = ids.partial_date(raw, 1996)
+    return table(spark, d, "orders").select("o_orderkey", found["value"].alias("value"), found["precision"].alias("precision"), found["quality"].alias("quality"))
 
 
 @query("""

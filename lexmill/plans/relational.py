@@ -87,10 +87,10 @@ def having_groups(spark, d):
 
 
 @query("""
-SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)""")
 def anti_join(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
+    return c.join(o.filter("o_totalprice > 350000"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
 @query("""
@@ -173,11 +173,11 @@ def union_first_source_wins(spark, d):
 
 
 @query("""
-SELECT k FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_suppkey FROM lineitem WHERE l_tax > 0.079 AND l_returnflag = 'N')""")
+SELECT k FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_extendedprice > 90000)""")
 def set_operations(spark, d):
     x = table(spark, d, "lineitem")
     k = lambda cond: x.filter(cond).select(F.col("l_suppkey").alias("k"))
-    return k("l_returnflag = 'R'").intersect(k("l_returnflag = 'A'")).subtract(k("l_tax > 0.079 and l_returnflag = 'N'"))
+    return k("l_returnflag = 'R'").intersect(k("l_returnflag = 'A'")).subtract(k("l_quantity = 50 and l_extendedprice > 90000"))
 
 
 @query("""
