@@ -5,7 +5,9 @@ past the end of the kind's previous match, which gives what a leftmost non-overl
 Runs of hex digits have no keyword: a byte-class translation turns them into a plain substring search.
 Kinds whose tokens embed a CRC-32 are dropped when it does not match.
 
-Null text: no spans. Positions are code points, end exclusive. Rows are independent: ties and repeats scan alike.
+Null or empty text: no spans. Positions are code points, end exclusive. Texts of any length are scanned whole. Rows are
+independent: ties and repeats scan alike. Empty table: no rows. Scanning reads only the id and the text; redaction returns
+all columns in their places, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ are joined. `cells` decides where a node is looked up, not whether it is retaine
 Baseline counts of the most frequent words (a bounded table) travel with the model; all other words are joined.
 
 Null text: no words, the end symbol alone. Null id: crc32 of nothing, so training. An empty training set leaves the
-uniform root and base scores of zero. Rows with equal ids or texts are counted and scored each.
+uniform root and base scores of zero; an empty table of documents gives no rows. Rows with equal ids or texts are counted
+and scored each; ties of counts go by their bins, so they stay together. Texts of any length are read whole, in slices.
+Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
