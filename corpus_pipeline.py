@@ -3,6 +3,10 @@
 Every stage works on all that its predecessor kept, and all but the last return the columns of documents: quality rules
 drop documents, the n-gram Jaccard join keeps one of each group, secret scans blot secrets out, mixing takes documents
 by target weights (some twice), and packing returns pieces of token sequences.
+
+Stages take documents as they come: nulls in any column, empty and very long texts, ties and repeated rows, empty tables
+and further columns of any name, with the results that their operators state. Rows without an id stay in the join, and
+rows without a language, source or domain are mixed as the empty name.
 """
 
 from __future__ import annotations
