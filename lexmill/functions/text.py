@@ -203,3 +203,50 @@ def contains_all(haystack: Column, query: Column) -> Column:
     """Every token of the query occurs in the folded haystack."""
     hay = fold(haystack)
     return F.forall(tokens(query), lambda t: hay.contains(t))
+
+
+# Titles that name no work, and words that do not tell titles apart.
+GENERIC_TITLES = ("introduction", "introduccion", "preface", "prefacio", "foreword", "prologue", "prologo", "editorial", "review", "resena", "conclusion", "chapter", "capitulo", "index", "indice", "bibliography", "bibliografia")
+TITLE_STOPWORDS = ("a", "an", "and", "the", "of", "in", "on", "for", "to", "with", "from", "de", "del", "la", "las", "el", "los", "en", "y", "por", "para", "un", "una")
+
+
+def is_generic_title(x: Column) -> Column:
+    """Whether a title alone cannot identify a work."""
+    return fold_plain(x).isin(*GENERIC_TITLES)
+
+
+def title_words(x: Column) -> Column:
+    """Distinct words of a title that tell it apart, in order."""
+    return F.array_distinct(F.filter(F.split(fold_plain(x), " "), lambda t: (t != "") & ~t.isin(*TITLE_STOPWORDS)))
+
+
+def stem_labels(x: Column, anchor: Column, stems: dict[str, str]) -> Column:
+    """Sorted labels of the stems that a text holds, without those that its anchor already names."""
+    new = [F.when(x.contains(stem) & ~anchor.contains(stem) & ~anchor.contains(label), label) for stem, label in stems.items()]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*new))))
+
+
+def split_people(x: Column, known: list[str]) -> Column:
+    """Array of (input, canonical) of a query for several persons; empty for fewer than two.
+
+    Parted at conjunctions, else at commas if there are two. A part takes the known name that shares most of its words
+    (all, two, or the last word of the name; the earlier one among equals), and no name serves two parts.
+    """
+    source = F.trim(F.coalesce(x, F.lit("")))
+    by_word = F.split(source, r"(?i)\s+(?:y|e|and|et|und|&)\s+")
+    parts = F.when((F.size(by_word) < 2) & (F.size(F.split(source, ",")) >= 3), F.split(source, r"\s*,\s*")).otherwise(by_word)
+    # folded with the part itself, so that equal names count once, as first written
+    pairs = F.filter(F.transform(parts, lambda p: F.struct(fold_name(p).alias("key"), F.trim(p).alias("input"))), lambda p: p["key"] != "")
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    segments = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), 1)["input"].alias("input")))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.split(fold_name(F.lit(n)), " ").alias("words"), F.lit(-i).alias("place")) for i, n in enumerate(known)])
+
+    def best(done: Column, part: Column) -> Column:
+        words = F.array_distinct(F.split(part["key"], " "))
+        free = F.filter(names, lambda n: ~F.exists(done, lambda a: F.coalesce(a["canonical"] == n["name"], F.lit(False))))
+        shared = F.transform(free, lambda n: F.struct(F.size(F.array_intersect(words, n["words"])).alias("shared"), n["place"].alias("place"), n["name"].alias("name"), F.array_contains(words, F.element_at(n["words"], -1)).alias("last")))
+        fit = F.filter(shared, lambda s: (s["shared"] > 0) & ((s["shared"] == F.size(words)) | (s["shared"] >= 2) | s["last"]))
+        return F.concat(done, F.array(F.struct(part["input"].alias("input"), F.array_max(fit)["name"].alias("canonical"))))
+
+    empty = F.from_json(F.lit("[]"), "array<struct<input string, canonical string>>")
+    return F.when(F.size(segments) >= 2, F.aggregate(segments, empty, best)).otherwise(empty)
