@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ FUNCTION_WORDS = {
 }
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it (an optimizer inlines what a projection names)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def fold(x: Column) -> Column:
     """Lower case, without accents, everything but a-z and 0-9 as one space, trimmed."""
     return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
@@ -158,17 +164,47 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 def language_votes(x: Column) -> Column:
     """Struct of votes per language: distinct function words present."""
-    words = token_set(x)
-    return F.struct(*[F.size(F.array_intersect(words, F.array(*map(F.lit, fw)))).alias(lang) for lang, fw in FUNCTION_WORDS.items()])
+    vote = lambda words, fw: F.size(F.array_intersect(words, F.array(*map(F.lit, fw))))
+    return once(F.array_distinct(tokens(x)), lambda words: F.struct(*[vote(words, fw).alias(lang) for lang, fw in FUNCTION_WORDS.items()]))
 
 
 def voted_language(votes: Column) -> Column:
     """The language with most votes; null without votes or for a tie."""
     langs = list(FUNCTION_WORDS)
-    top = F.greatest(*[votes[x] for x in langs])
-    leaders = sum(((votes[x] == top).cast("int") for x in langs), F.lit(0))
-    best = F.coalesce(*[F.when(votes[x] == top, F.lit(x)) for x in langs])
-    return F.when((top > 0) & (leaders == 1), best)
+
+    def leader(v: Column) -> Column:
+        top = F.greatest(*[v[x] for x in langs])
+        leaders = sum(((v[x] == top).cast("int") for x in langs), F.lit(0))
+        best = F.coalesce(*[F.when(v[x] == top, F.lit(x)) for x in langs])
+        return F.when((top > 0) & (leaders == 1), best)
+
+    return once(votes, leader)
+
+
+# Letters by which a language shows, and the weight of such a letter against a function word.
+TELLING_LETTERS = {"de": "[ßẞ]", "pt": "[ãõÃÕ]", "es": "[¿¡ñÑ]", "fr": "[œŒ]"}
+TELLING_WEIGHT = 3
+
+
+def query_language(x: Column) -> Column:
+    """The language of a short query by its function words and telling letters; unknown without votes or for a tie."""
+    words = token_set(x)
+    letter = lambda lang: F.coalesce(x.rlike(TELLING_LETTERS[lang]), F.lit(False)).cast("int") * TELLING_WEIGHT if lang in TELLING_LETTERS else F.lit(0)
+    votes = {lang: F.size(F.array_intersect(words, F.array(*map(F.lit, FUNCTION_WORDS.get(lang, ("",)))))) * int(lang in FUNCTION_WORDS) + letter(lang) for lang in (*FUNCTION_WORDS, *(k for k in TELLING_LETTERS if k not in FUNCTION_WORDS))}
+    ranked = F.reverse(F.array_sort(F.array(*[F.struct(v.alias("n"), F.lit(lang).alias("lang")) for lang, v in votes.items()])))
+    return once(ranked, lambda r: F.when((r[0]["n"] > 0) & (r[0]["n"] > r[1]["n"]), r[0]["lang"]).otherwise("unknown"))
+
+
+def effective_language(title: Column, body: Column, declared: Column) -> Column:
+    """The voted language of the title, else of the body, else the declared one; texts under 12 letters have no say."""
+    said = lambda x: F.when(F.length(F.trim(x)) >= 12, voted_language(language_votes(x)))
+    return F.coalesce(said(title), said(body), declared)
+
+
+def subset_name(a: Column, b: Column) -> Column:
+    """All tokens of one name, two at least, are in the other."""
+    x, y = token_set(a), token_set(b)
+    return (F.least(F.size(x), F.size(y)) >= 2) & (F.size(F.array_intersect(x, y)) == F.least(F.size(x), F.size(y)))
 
 
 def name_signature(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def ranking_metrics(run: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
-    """Per query_id: judged, precision, recall, ndcg, mrr at k. run(query_id, id, rank), judgments(query_id, id, grade).
+    """Per query_id: judged, precision, recall, ndcg, mrr at k, precision at 5, judged share of the first k. run(query_id, id, rank), judgments(query_id, id, grade).
 
     Precision, recall, nDCG and MRR are null unless every row of the first k is judged. Gain 2^g - 1, discount log2(rank + 1).
     """
@@ -20,14 +20,22 @@ def ranking_metrics(run: DataFrame, judgments: DataFrame, k: int = 10) -> DataFr
     per = joined.groupBy("query_id").agg(
         F.count("*").alias("depth"), F.count("grade").alias("judged"), F.count(F.when(relevant, 1)).alias("hits"),
         F.coalesce(F.sum(gain(F.col("grade"), F.col("rank"))), F.lit(0.0)).alias("dcg"), F.min(F.when(relevant, F.col("rank"))).alias("first"),
+        F.count(F.when(relevant & (F.col("rank") <= 5), 1)).alias("hits5"),
     ).join(best, "query_id", "left")
     full = F.col("judged") == F.col("depth")
     return per.select(
         "query_id", "judged", F.when(full, F.col("hits") / k).alias("precision"), F.when(full & (F.col("relevant") > 0), F.col("hits") / F.col("relevant")).alias("recall"),
         F.when(full & (F.col("idcg") > 0), F.col("dcg") / F.col("idcg")).alias("ndcg"), F.when(full, F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
+        F.when(full, F.col("hits5") / 5).alias("precision5"), (F.col("judged") / F.col("depth")).alias("coverage"),
     )
 
 
+def macro_means(metrics: DataFrame, group: Column, columns: list[str]) -> DataFrame:
+    """group, queries, complete (all judged) and the mean of each metric over the queries that have it."""
+    means = [F.avg(c).alias(c) for c in columns]
+    return metrics.groupBy(group.alias("group")).agg(F.count("*").alias("queries"), F.count(F.when(F.col("coverage") == 1, 1)).alias("complete"), *means)
+
+
 def kappa(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     """n, agreement and Cohen's kappa of two binary judgments; one row."""
     n, x, y, both = F.count("*"), F.avg(a.cast("double")), F.avg(b.cast("double")), F.avg((a == b).cast("double"))

@@ -85,6 +85,32 @@ def lang_vote(spark, d):
     return table(spark, d, "documents").select("lang", voted.alias("voted")).groupBy("lang", "voted").agg(F.count("*").alias("n"))
 
 
+def _sql_voted(words: str) -> str:
+    count = {lang: f"len(list_intersect({words}, {list(fw)!r}))" for lang, fw in text.FUNCTION_WORDS.items()}
+    top = f"greatest({', '.join(count.values())})"
+    leaders = " + ".join(f"CAST({c} = {top} AS INT)" for c in count.values())
+    return f"CASE WHEN {top} = 0 OR {leaders} > 1 THEN NULL {' '.join(f"WHEN {c} = {top} THEN '{lang}'" for lang, c in count.items())} END"
+
+
+@query(f"""
+SELECT doc_id, coalesce(CASE WHEN length(trim(title)) >= 12 THEN {_sql_voted("wt")} END, CASE WHEN length(trim(text)) >= 12 THEN {_sql_voted("wb")} END, lang) AS language FROM (
+  SELECT doc_id, lang, text, title, list_distinct(string_split({sql_fold("title")}, ' ')) AS wt, list_distinct(string_split({sql_fold("text")}, ' ')) AS wb FROM (SELECT *, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents))""")
+def effective_language(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.effective_language(text.title_of(F.col("text")), F.col("text"), F.col("lang")).alias("language"))
+
+
+_ASKED = "CASE c_custkey % 6 WHEN 0 THEN 'the meaning of work and time' WHEN 1 THEN '¿qué es el tiempo de los otros?' WHEN 2 THEN 'die Größe der Zeit und das Maß' WHEN 3 THEN 'œuvre des temps' WHEN 4 THEN 'razão' ELSE 'tempus fugit' END"
+_SQL_LETTERS = {"en": "0", **{k: f"3 * CAST(coalesce(regexp_matches(q, '{v}'), FALSE) AS INT)" for k, v in text.TELLING_LETTERS.items()}}
+
+
+@query(f"""
+SELECT id, coalesce(arg_max(lang, n) FILTER (n = top AND leaders = 1 AND n > 0), 'unknown') AS language FROM (SELECT *, count(*) FILTER (n = top) OVER (PARTITION BY id) AS leaders FROM (SELECT *, max(n) OVER (PARTITION BY id) AS top FROM ({' UNION ALL '.join(
+    f"SELECT id, '{lang}' AS lang, {f'len(list_intersect(w, {list(text.FUNCTION_WORDS[lang])!r}))' if lang in text.FUNCTION_WORDS else '0'} + {letters} AS n FROM (SELECT *, list_distinct(string_split({sql_fold('q')}, ' ')) AS w FROM (SELECT c_custkey AS id, {_ASKED} AS q FROM customer))" for lang, letters in _SQL_LETTERS.items())}))) GROUP BY id""")
+def query_language(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_ASKED).alias("q"))
+    return asked.select("id", text.query_language(F.col("q")).alias("language"))
+
+
 @query(f"""
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(string_split({sql_fold("text")}, ' ')) AS term FROM documents) WHERE term <> '' GROUP BY term""")
 def term_statistics(spark, d):

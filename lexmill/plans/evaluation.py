@@ -47,8 +47,8 @@ def _sql_run(name: str, order: str, judged_only: bool = True) -> str:
 def _sql_metrics(run: str, out: str) -> str:
     return f"""
 {out}_i AS (SELECT query_id, sum((power(2.0, grade) - 1) / log2(r + 1)) FILTER (WHERE r <= 10) AS idcg, count(*) FILTER (WHERE grade > 0) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM j) GROUP BY query_id),
-{out}_p AS (SELECT r.query_id, count(*) AS depth, count(grade) AS judged, count(*) FILTER (WHERE grade > 0) AS hits, coalesce(sum((power(2.0, grade) - 1) / log2(rank + 1)), 0) AS dcg, min(rank) FILTER (WHERE grade > 0) AS first FROM {run} r LEFT JOIN j ON r.query_id = j.query_id AND r.id = j.id WHERE rank <= 10 GROUP BY r.query_id),
-{out} AS (SELECT p.query_id, judged, CASE WHEN judged = depth THEN hits / 10 END AS precision, CASE WHEN judged = depth AND relevant > 0 THEN hits / relevant END AS recall, CASE WHEN judged = depth AND idcg > 0 THEN dcg / idcg END AS ndcg, CASE WHEN judged = depth THEN coalesce(1 / first, 0.0) END AS mrr FROM {out}_p p LEFT JOIN {out}_i i ON p.query_id = i.query_id)"""
+{out}_p AS (SELECT r.query_id, count(*) AS depth, count(grade) AS judged, count(*) FILTER (WHERE grade > 0) AS hits, coalesce(sum((power(2.0, grade) - 1) / log2(rank + 1)), 0) AS dcg, min(rank) FILTER (WHERE grade > 0) AS first, count(*) FILTER (WHERE grade > 0 AND rank <= 5) AS hits5 FROM {run} r LEFT JOIN j ON r.query_id = j.query_id AND r.id = j.id WHERE rank <= 10 GROUP BY r.query_id),
+{out} AS (SELECT p.query_id, judged, CASE WHEN judged = depth THEN hits / 10 END AS precision, CASE WHEN judged = depth AND relevant > 0 THEN hits / relevant END AS recall, CASE WHEN judged = depth AND idcg > 0 THEN dcg / idcg END AS ndcg, CASE WHEN judged = depth THEN coalesce(1 / first, 0.0) END AS mrr, CASE WHEN judged = depth THEN hits5 / 5 END AS precision5, judged / depth AS coverage FROM {out}_p p LEFT JOIN {out}_i i ON p.query_id = i.query_id)"""
 
 
 _ROUNDED = "query_id, judged, round(precision, 6) AS precision, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr"
@@ -69,6 +69,19 @@ def ir_metrics_unjudged(spark, d):
     return _rounded(E.ranking_metrics(_run(spark, d, [F.desc_nulls_last("n_chars"), "doc_id"], False), _judgments(spark, d)))
 
 
+_MACRO = ("precision5", "precision", "recall", "ndcg", "mrr", "coverage")
+
+
+@query(f"""
+WITH {_SQL_J}, {_sql_run('a', 'doc_id % 16, doc_id', False)}, {_sql_metrics('a', 'm')}
+SELECT CASE WHEN length(query_id) % 2 = 0 THEN 'even' ELSE 'odd' END AS "group", count(*) AS queries, count(*) FILTER (WHERE coverage = 1) AS complete, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _MACRO)} FROM m GROUP BY ALL""")
+def macro_metrics(spark, d):
+    """Means over the queries of a kind, beside how many are judged in full."""
+    metrics = E.ranking_metrics(_run(spark, d, [F.col("doc_id") % 16, "doc_id"], False), _judgments(spark, d))
+    group = F.when(F.length("query_id") % 2 == 0, "even").otherwise("odd")
+    return E.macro_means(metrics, group, list(_MACRO)).select("group", "queries", "complete", *[F.round(c, 6).alias(c) for c in _MACRO])
+
+
 @query("""
 WITH p AS (SELECT quality = 1 AS a, n_chars > 800 AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id), s AS (SELECT count(*) AS n, avg(CAST(a = b AS DOUBLE)) AS agreement, avg(CAST(a AS DOUBLE)) AS x, avg(CAST(b AS DOUBLE)) AS y FROM p)
 SELECT n, round(agreement, 6) AS agreement, round((agreement - (x * y + (1 - x) * (1 - y))) / (1 - (x * y + (1 - x) * (1 - y))), 6) AS kappa FROM s""")

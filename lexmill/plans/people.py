@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import hashing, text
 from lexmill.operators import graph, resolve
+from lexmill.plans.inputs import relation
 from lexmill.session import table
 
 QUERIES: dict = {}
@@ -78,6 +79,40 @@ def resolve_mentions(spark, d):
     return resolve.decide(pairs.select(F.col("s_suppkey").alias("mention"), F.col("c_custkey").alias("authority"), status.alias("status")), "mention", "authority", "status")
 
 
+_SQL_SIDE = """
+SELECT {id} AS id, concat('Ana', CASE WHEN {id} % 4 = 0 THEN ' M' ELSE ' Maria' END, ' Soto', CAST({id} % 60 AS STRING)) AS name, CASE WHEN {id} % 3 = 0 THEN concat('o', CAST({id} % 45 AS STRING)) END AS anchor, CASE WHEN {id} % 5 > 0 THEN concat('u', CAST({nation} AS STRING)) END AS affiliation,
+  CAST({id} % 4 AS STRING) AS f1, CAST({id} % 7 AS STRING) AS f2, {id} % 2 = 0 AS two, CAST({id} % 9 AS STRING) AS w1, CAST({id} % 11 AS STRING) AS w2 FROM {table}"""
+_MENTION, _AUTHORITY = _SQL_SIDE.format(id="s_suppkey", nation="s_nationkey", table="supplier"), _SQL_SIDE.format(id="c_custkey", nation="c_nationkey", table="customer")
+
+
+def _sql_tokens(x: str) -> str:
+    return f"string_split(lower({x}), ' ')"
+
+
+def _sql_named(x: str, y: str) -> str:
+    a, b = _sql_tokens(x), _sql_tokens(y)
+    shared, least = f"len(list_intersect({a}, {b}))", f"least(len(list_distinct({a})), len(list_distinct({b})))"
+    initials = f"len({a}) = len({b}) AND len(list_filter(list_zip({a}, {b}), lambda p: NOT (starts_with(p[1], p[2]) OR starts_with(p[2], p[1])))) = 0"
+    return f"(lower({x}) = lower({y}) OR list_sort({a}) = list_sort({b}) OR ({initials}) OR ({least} >= 2 AND {shared} = {least}))"
+
+
+@query(f"""
+WITH m AS ({_MENTION}), c AS ({_AUTHORITY}), p AS (SELECT m.id AS mention, c.id AS authority, coalesce(CAST(m.anchor = c.anchor AS INT), 0) AS A, coalesce(CAST(m.affiliation = c.affiliation AS INT), 0) + CAST(n >= 2 AS INT) AS B, CAST(n = 1 AS INT) AS C,
+  CAST({_sql_named('m.name', 'c.name')} AS INT) AS D, coalesce(CAST(m.anchor <> c.anchor AS INT), 0) + CAST(m.two AND c.two AND m.f1 = c.f1 AND m.f2 <> c.f2 AS INT) AS veto FROM (SELECT m.*, c, len(list_intersect(['a' || m.w1, 'b' || m.w2], ['a' || c.w1, 'b' || c.w2])) AS n FROM m JOIN c ON m.anchor = c.anchor OR split_part(m.name, ' ', 3) = split_part(c.name, ' ', 3)) m)
+SELECT mention, authority, A AS a, B AS b, C AS c, D AS d, veto, CASE WHEN veto > 0 THEN 'rejected' WHEN A > 0 THEN 'confirmed' WHEN B > 0 AND C + D > 0 THEN 'probable' ELSE 'unresolved' END AS status FROM p""")
+def mention_evidence(spark, d):
+    """Evidence by class for every blocked pair of a mention and an authority."""
+    def side(sql):
+        family = F.when(F.col("two"), F.array("f1", "f2")).otherwise(F.array("f1"))
+        keys = F.array(F.concat(F.lit("o:"), "anchor"), F.concat(F.lit("n:"), F.element_at(F.split("name", " "), -1)))
+        return relation(spark, d, sql).select("id", "name", "anchor", "affiliation", family.alias("family"), F.array(F.concat(F.lit("a"), "w1"), F.concat(F.lit("b"), "w2")).alias("coworkers"), F.array_compact(keys).alias("keys"))
+
+    pairs = resolve.blocked(side(_MENTION), side(_AUTHORITY), "keys")
+    found = resolve.evidence()
+    scored = pairs.select(F.col("m.id").alias("mention"), F.col("c.id").alias("authority"), *[v.alias(k.lower()) for k, v in found.items()])
+    return scored.withColumn("status", resolve.evidence_status(*[F.col(k) for k in ("a", "b", "c", "d", "veto")]))
+
+
 @query("""
 WITH l AS (SELECT event_id AS id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN event_id - 1 END AS supersedes, ts FROM events)
 SELECT user_id, event_type, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, id DESC) AS r FROM l WHERE id NOT IN (SELECT supersedes FROM l WHERE supersedes IS NOT NULL)) WHERE r = 1""")

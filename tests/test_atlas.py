@@ -96,3 +96,42 @@ def test_split_people(spark):
     df = spark.createDataFrame([(q,) for q in asked], "q string")
     got = [[tuple(x) for x in r[0]] for r in df.select(text.split_people(F.col("q"), known)).collect()]
     assert got == [[], [("arendt", "Hannah Arendt"), ("hannah arendt", None)], [("Plato", "Plato"), ("Aristotle", None), ("Hannah Arendt", "Hannah Arendt")], [], [], [], [("Plato", "Plato"), ("Élan", None)]]
+
+
+def test_evidence_classes(spark):
+    from lexmill.operators import resolve
+
+    shape = "id long, name string, anchor string, affiliation string, family array<string>, coworkers array<string>, keys array<string>"
+    mention = [(1, "Ana M. Soto", "x", "u", ["soto", "gil"], ["p", "q"], ["o:x", "n:soto"])]
+    people = [
+        (1, "ana m soto", "x", None, ["soto", "gil"], [], ["o:x", "n:soto"]),  # A, D; shares two keys, counted once
+        (2, "Soto Ana M", None, "u", None, ["p"], ["n:soto"]),  # B, C, D
+        (3, "Ana Maria Soto", None, None, ["soto", "diaz"], ["p", "q"], ["n:soto"]),  # B, D, family veto
+        (4, "Eva Soto", "y", None, [], None, ["n:soto"]),  # anchor veto
+        (5, "Ana Soto", None, None, [], [], ["n:soto"]),  # D only
+        (6, None, None, None, None, None, ["n:soto"]),
+        (7, "Ana M. Soto", None, None, [], [], [None]),  # no key, no pair
+    ]
+    pairs = resolve.blocked(spark.createDataFrame(mention, shape), spark.createDataFrame(people, shape), "keys")
+    got = {r[0]: tuple(r)[1:] for r in pairs.select("c.id", *[v.alias(k) for k, v in resolve.evidence().items()]).collect()}
+    assert got == {1: (1, 0, 0, 1, 0), 2: (0, 1, 1, 1, 0), 3: (0, 1, 0, 1, 1), 4: (0, 0, 0, 0, 1), 5: (0, 0, 0, 1, 0), 6: (0, 0, 0, 0, 0)}
+    status = spark.createDataFrame(list(got.values()), "a int, b int, c int, d int, v int").select(resolve.evidence_status(*[F.col(x) for x in "abcdv"]))
+    assert [r[0] for r in status.collect()] == ["confirmed", "probable", "rejected", "rejected", "unresolved", "unresolved"]
+
+
+def test_languages(spark):
+    asked = [("the work of time", "en"), ("¿qué hay?", "es"), ("die Größe und das Maß", "de"), ("razão", "pt"), ("tempus", "unknown"), (None, "unknown"), ("the les", "unknown"), ("the ñ", "es")]
+    df = spark.createDataFrame(asked, "q string, want string")
+    assert all(r[0] == r[1] for r in df.select(text.query_language(F.col("q")), "want").collect())
+    rows = [("the ways of the world", "das ist und der Tag", "xx", "en"), ("Ética", "das ist und der Tag", "xx", "de"), ("Ética", None, "xx", "xx"), (None, None, None, None), ("the of", "", "xx", "xx")]
+    df = spark.createDataFrame(rows, "t string, b string, d string, want string")
+    assert [r[0] for r in df.select(text.effective_language(F.col("t"), F.col("b"), F.col("d"))).collect()] == [r[3] for r in rows]
+
+
+def test_macro_means(spark):
+    from lexmill.operators import evaluate
+
+    run = spark.createDataFrame([("q", i, i) for i in range(1, 11)] + [("r", i, i) for i in range(1, 11)], "query_id string, id long, rank int")
+    judged = spark.createDataFrame([("q", i, int(i in (1, 7))) for i in range(1, 11)] + [("r", 1, 1)], "query_id string, id long, grade int")
+    r = evaluate.macro_means(evaluate.ranking_metrics(run, judged), F.lit("all"), ["precision5", "precision", "recall", "mrr", "coverage"]).first()
+    assert (r.queries, r.complete) == (2, 1) and (r.precision5, r.precision, r.recall, r.mrr) == (0.2, 0.2, 1.0, 1.0) and abs(r.coverage - 0.55) < 1e-12
