@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmill.functions import ids, text
+from lexmill.operators import layout
 from lexmill.plans.inputs import WORKS, registry, relation
 from lexmill.session import table
 
@@ -216,6 +217,38 @@ def layout_overlaps(spark, d):
     return p.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").withColumn("overlaps", F.expr("n * (n - 1) div 2"))
 
 
+# A view per nation: customers, a quarter with an earlier place, joined to their next ones.
+_VIEW_NODES = """
+SELECT CAST(c_nationkey AS STRING) AS view, lpad(CAST(c_custkey AS STRING), 9, '0') AS id, c_custkey % 3 > 0 AS direct, c_custkey % 40 = 0 AS pinned,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey * 7 % 199 AS DOUBLE) / 100 - 1 END AS x, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey * 11 % 197 AS DOUBLE) / 100 - 1 END AS y FROM customer"""
+
+
+def _view_edges(nodes):
+    by = W.partitionBy("view").orderBy("id")
+    score, kind = F.pmod(F.xxhash64("id"), F.lit(101)) / 100, F.pmod(C("id").cast("long"), F.lit(3))
+    return nodes.select("view", C("id").alias("a"), F.lead("id").over(by).alias("b"), F.when(kind == 0, "semantic").when(kind == 1, "lexical").otherwise("related").alias("kind"), score.alias("score")).filter("b is not null")
+
+
+@query()
+def force_layout(spark, d):
+    """Places of the nodes of each view; steps of a simulation are beyond SQL and tested against loops."""
+    nodes = relation(spark, d, _VIEW_NODES)
+    placed = layout.layout(nodes, layout.geometry(_view_edges(nodes)))
+    return placed.select("view", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "method")
+
+
+@query(f"""
+WITH n AS ({_VIEW_NODES}), p AS (SELECT view, id, x, y, x + 0.01 AS nx, y - 0.02 AS ny FROM n WHERE x IS NOT NULL), o AS (SELECT l.view, count(*) AS hits FROM p l JOIN p r ON l.view = r.view AND l.id < r.id AND sqrt((l.nx - r.nx) * (l.nx - r.nx) + (l.ny - r.ny) * (l.ny - r.ny)) < 0.163 GROUP BY l.view)
+SELECT p.view, count(*) AS nodes, count(*) AS reused, round(avg(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))), 6) AS mean_move, round(min(nx) - 0.24, 6) AS min_x, round(max(nx) + 0.24, 6) AS max_x, round(min(ny) - 0.24, 6) AS min_y, round(max(ny) + 0.24, 6) AS max_y, coalesce(any_value(o.hits), 0) AS overlaps
+FROM p LEFT JOIN o ON o.view = p.view GROUP BY p.view""")
+def layout_metrics(spark, d):
+    """Overlaps, moves and viewport of each view after every node has moved a little."""
+    before = relation(spark, d, _VIEW_NODES).filter("x is not null")
+    after = before.select("view", "id", (C("x") + 0.01).alias("x"), (C("y") - 0.02).alias("y"))
+    found = layout.layout_metrics(after, before, radius=0.163)
+    return found.select("view", "nodes", "reused", *[F.round(c, 6).alias(c) for c in ("mean_move", "min_x", "max_x", "min_y", "max_y")], "overlaps")
+
+
 _ROLES = "SELECT l_orderkey AS work, concat('person ', CAST(l_suppkey % 9 AS STRING)) AS name, CASE WHEN l_linenumber % 3 = 0 THEN 'supervisor' ELSE 'author' END AS role FROM lineitem"
 
 
