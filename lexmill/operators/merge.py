@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the session names, or in a temporary one for a local master."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
@@ -25,13 +25,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Least labels spread along links and jump to their label's label, so rounds grow with the logarithm of the width.
     """
-    both = _cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = _cut(lower.join(jump, "root", "left").select("id", "old", F.least("root", "next").alias("root")))
+        new = cut_lineage(lower.join(jump, "root", "left").select("id", "old", F.least("root", "next").alias("root")))
         labels = new.select("id", "root")
         if new.filter("old <> root").isEmpty():
             return labels
