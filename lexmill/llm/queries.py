@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, suffix_tree, toxicity
+from lexmill.llm import conversation_repair, fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, suffix_tree, toxicity
 from lexmill.llm.common import table
-from lexmill.llm.oracles import mixing_sql
+from lexmill.llm.oracles import REPAIR_SQL, mixing_sql
 
 
 def tokenizer_path() -> str:
@@ -73,6 +73,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"), damaged=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
@@ -84,7 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing_sql(MIX)}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing_sql(MIX), "op11_conversation_repair": REPAIR_SQL}
