@@ -111,15 +111,15 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def join_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 32) -> DataFrame:
+def join_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 32, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a small table to a big one without shuffling a hot key into one task.
 
-    Up to BROADCAST_ROWS rows, counted first, the small side is broadcast. Beyond that its rows are copied once per
+    Up to `bound` rows, counted first, the small side is broadcast. Beyond that its rows are copied once per
     salt and the big side is dealt by (keys, salt). Keys compare null-safe.
     """
     renamed = small.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     same = [big[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]
-    if rows_at_most(small, BROADCAST_ROWS):
+    if rows_at_most(small, bound):
         out = big.join(F.broadcast(renamed), same, how)
         return out.drop(*[f"__k_{k}" for k in keys])
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)))

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import conversation_repair, fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, suffix_tree, toxicity
+from lexmill.llm import conversation_repair, fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, suffix_tree, token_alignment, toxicity
 from lexmill.llm.common import table
 from lexmill.llm.oracles import REPAIR_SQL, mixing_sql
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file of the packing queries, installed on every machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file, installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"), damaged=True)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
