@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import conversation_repair, fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, suffix_tree, token_alignment, toxicity
+from lexmill.llm import conversation_repair, fingerprint, html_extract, jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_tree, token_alignment, toxicity
 from lexmill.llm.common import table
 from lexmill.llm.oracles import REPAIR_SQL, mixing_sql
 
@@ -81,6 +81,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_token_alignment": op12_token_alignment,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
