@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,6 +116,24 @@ def tokens(x: Column, shortest: int = 1) -> Column:
     return F.filter(F.split(fold(x), " "), lambda t: F.length(t) >= shortest)
 
 
+# Words that say nothing about a work's subject, in full texts and in titles.
+SUBJECT_STOPWORDS = """
+the and for from with into about after before this that these those between through toward towards over under within without where when which while
+sobre para por con del las los una uno unos unas que como entre desde hacia tras ante sin sus este esta estos estas donde cuando cual cuales pero porque
+study studies analysis analyses approach approaches introduction review paper article estudio estudios analisis enfoque enfoques introduccion revision articulo
+""".split()
+TITLE_STOPWORDS = """
+the and for from with into about after before this that these those between through toward towards
+sobre para por con del las los una uno unos unas que como entre desde hacia tras ante sin sus
+estudio study analysis analisis approach introduction introduccion perspective perspectiva
+""".split()
+
+
+def subject_tokens(x: Column, stopwords: Sequence[str]) -> Column:
+    """Folded tokens of three letters or more that are neither numbers nor stop words, in order."""
+    return F.filter(F.split(fold(x), " "), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(*stopwords))
+
+
 def token_set(x: Column, shortest: int = 1) -> Column:
     return F.array_sort(F.array_distinct(tokens(x, shortest)))
 
