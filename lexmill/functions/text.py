@@ -122,7 +122,7 @@ the and for from with into about after before this that these those between thro
 sobre para por con del las los una uno unos unas que como entre desde hacia tras ante sin sus este esta estos estas donde cuando cual cuales pero porque
 study studies analysis analyses approach approaches introduction review paper article estudio estudios analisis enfoque enfoques introduccion revision articulo
 """.split()
-TITLE_STOPWORDS = """
+LEXICAL_STOPWORDS = """
 the and for from with into about after before this that these those between through toward towards
 sobre para por con del las los una uno unos unas que como entre desde hacia tras ante sin sus
 estudio study analysis analisis approach introduction introduccion perspective perspectiva
@@ -164,9 +164,16 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+# Words that name a volume before its number, and the numerals that count as one.
+VOLUME_WORDS = ("tomo", "volumen", "volume", "vol", "parte", "part", "book", "libro", "band")
+NUMERAL = "[0-9]+|[ivxlcdm]+"
+
+
 def volume_markers(x: Column) -> Column:
-    """Volume numbers that a title names, as folded words."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(fold(x), F.lit(r"\b(?:vol|volume|tome|band|part|tomo) ([0-9]+|[ivx]+)\b"), 1)))
+    """Volume numbers that a title names behind a volume word, or in brackets if roman; lower case, sorted, distinct."""
+    named = F.regexp_extract_all(fold(x), F.lit(rf"\b(?:{'|'.join(VOLUME_WORDS)}) ({NUMERAL})\b"), 1)
+    bracketed = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"\(([ivxlcdm]+)\)"), 1)
+    return F.array_sort(F.array_distinct(F.concat(named, bracketed)))
 
 
 def title_similarity(a: Column, b: Column) -> Column:

@@ -1,77 +1,195 @@
-"""Works that several records describe: blocked candidates, the rule for one work, components with every member."""
+"""Works that several records describe: blocked candidates, the rule for one work, clusters that no conflict joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.operators.merge import components
+from lexmill.operators.merge import components, cut_lineage
 
-# Words that name volumes, titles that name no work, and thresholds of the rule for one work.
-VOLUME = r"\b(?:vol|volume|tome|band|part|tomo) (?:[0-9]+|[ivx]+)\b"
-GENERIC = ("introduction", "preface", "foreword", "review", "book review", "editorial", "index", "contents", "notes", "prologue")
-SIMILAR, LEAST_TOKENS = 0.88, 4
+# Thresholds of the rule for one work.
+SIMILAR, INSIDE, LEAST_WORDS, INSIDE_WORDS, AUTHORS = 0.88, 0.97, 4, 4, 0.67
+#: Share of the smaller title's words that the other may lack at SIMILAR: a Jaccard similarity of (.88 - .3) / .7.
+LACKING = 0.1715
+FIELDS = ("title", "volumes", "authors", "words", "year", "doi")
 
 
 def comparable(title: Column) -> Column:
-    """Folded title without volume words."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text.fold(title), VOLUME, " "), " +", " "))
+    """Folded title without the words that name volumes; their numbers stay."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text.fold(title), rf"\b(?:{'|'.join(text.VOLUME_WORDS)}) (?=(?:{text.NUMERAL})\b)", " "), " +", " "))
+
+
+def identity(title: Column, authors: Column, year: Column, doi: Column) -> dict[str, Column]:
+    """What records are told apart by: title, volumes, name signatures, words of the title, year, DOI.
+
+    authors: an array of names. A title's words are without stop words, single letters and the names of its authors.
+    """
+    named = F.array_sort(F.array_distinct(F.filter(F.transform(authors, lambda a: text.name_signature(a)), lambda a: a != "")))
+    own = F.flatten(F.transform(named, lambda a: F.split(a, " ")))
+    words = F.array_sort(F.filter(text.title_words(title), lambda t: F.length(t) > 1))
+    return dict(zip(FIELDS, (comparable(title), text.volume_markers(title), named, F.array_except(words, own), year, F.lower(F.trim(doi))), strict=True))
+
+
+def entities(records: DataFrame, id_col: str, title: Column, authors: Column, year: Column, doi: Column) -> DataFrame:
+    """One row per different identity: its least id, so copies are never paired, and n."""
+    keyed = records.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in identity(title, authors, year, doi).items()])
+    return keyed.groupBy(*FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+def _names(signature: Column) -> Column:
+    return F.filter(F.split(signature, " "), lambda t: F.length(t) > 1)
+
 
+def author_similarity(a: Column, b: Column) -> Column:
+    """The best containment of any two of the authors' names; null if a side names none."""
+    inside = lambda x, y: F.size(F.array_intersect(_names(x), _names(y))) / F.least(F.size(_names(x)), F.size(_names(y)))
+    each = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.when(F.least(F.size(_names(x)), F.size(_names(y))) > 0, inside(x, y)).otherwise(0.0))))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_max(each))
 
-def entities(records: DataFrame, id_col: str, title: Column, author: Column, year: Column, doi: Column) -> DataFrame:
-    """One row per different (title, volumes, author, year, doi): its least id, so copies are never paired, and n."""
-    keyed = records.select(F.col(id_col).alias("id"), comparable(title).alias("title"), text.volume_markers(title).alias("volumes"), text.name_signature(author).alias("author"), year.alias("year"), doi.alias("doi"))
-    return keyed.groupBy("title", "volumes", "author", "year", "doi").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+def conflict(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two records can never be one work: other volumes, or other DOIs under other titles."""
+    volumes = (F.size(a["volumes"]) > 0) & (F.size(b["volumes"]) > 0) & ~F.arrays_overlap(a["volumes"], b["volumes"])
+    dois = F.coalesce(a["doi"] != b["doi"], F.lit(False)) & (a["title"] != b["title"])
+    return volumes | dois
 
 
 def same_work_edges(found: DataFrame) -> DataFrame:
-    """a, b, kind of entities that describe one work: equal distinctive titles, or variants of a title, by one author.
+    """a, b, kind of entities that describe one work and do not conflict.
+
+    `equal`: the same title, which is not generic, and an author in common (.67 of the shorter name), or where a side
+    names no author the same year and two words. `variant`: an author in common, four words on either side, and titles
+    of which one holds the other or whose similarity is .88.
 
-    Without an author equal titles must share the year. Volumes must agree where both name one; different DOIs part
-    variants, not equal titles. Candidates share the author and one of a title's rarest words, as many as a partner may
-    lack (a sixth of them, and one), so frequent words pair nothing by themselves and no candidate is lost.
+    Candidates share a word of an author's name, and the title or one of its rarest words, as many as a partner may lack,
+    so words and names that many have pair nothing by themselves; those without authors share title and year.
     """
-    e = found.filter("title <> ''").withColumn("words", F.array_distinct(F.split("title", " ")))
-    exploded = e.select("author", F.explode("words").alias("word"))
+    e = found.filter("title <> ''")
+    exploded = e.filter(F.size("words") >= LEAST_WORDS).select("id", "authors", F.size("words").alias("size"), F.explode("words").alias("word"))
     frequency = exploded.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = e.select("id", "author", F.size("words").alias("size"), F.explode("words").alias("word")).join(frequency, "word").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "word")))
-    rare = ranked.filter(F.col("place") <= 1 + F.floor(F.col("size") * 0.1715)).select("author", "word", F.col("id").alias("x"), F.col("size").alias("sx"))
-    every = ranked.select("author", "word", F.col("id").alias("y"), F.col("size").alias("sy"))
-    pairs = rare.join(every, ["author", "word"]).filter((F.col("x") != F.col("y")) & (F.col("sx") <= F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda s, key: e.select(F.col("id").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("title", "volumes", "author", "year", "doi", "words")])
+    ranked = exploded.join(frequency, "word").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "word")))
+    name = F.explode(F.array_distinct(F.flatten(F.transform("authors", _names))))
+    keyed = ranked.withColumn("name", name).drop("authors", "df")
+    rare = keyed.filter(F.col("place") <= 1 + F.floor(F.col("size") * LACKING)).select("name", "word", F.col("id").alias("x"), F.col("size").alias("sx"))
+    every = keyed.select("name", "word", F.col("id").alias("y"), F.col("size").alias("sy"))
+    near = rare.join(every, ["name", "word"]).filter((F.col("x") != F.col("y")) & (F.col("sx") <= F.col("sy"))).select("x", "y")
+    # equal titles may have no word in common beside stop words and their authors' names
+    titled = e.filter(~text.is_generic_title(F.col("title"))).select("title", "id", name.alias("name"))
+    equals = titled.withColumnRenamed("id", "x").join(titled.withColumnRenamed("id", "y"), ["name", "title"]).filter("x < y").select("x", "y")
+    undated = e.filter("year is not null").select("title", "year", "id", F.size("authors").alias("n"))
+    nameless = undated.filter("n = 0").select("title", "year", F.col("id").alias("x")).join(undated.select("title", "year", F.col("id").alias("y")), ["title", "year"]).filter("x <> y").select("x", "y")
+    pairs = near.union(equals).union(nameless).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda s, key: e.select(F.col("id").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in FIELDS])
     both = pairs.join(side("l", "a"), "a").join(side("r", "b"), "b")
-    col = F.col
-    compatible = (F.size("l_volumes") == 0) | (F.size("r_volumes") == 0) | F.arrays_overlap("l_volumes", "r_volumes")
+    left, right = ({c: F.col(f"{s}_{c}") for c in FIELDS} for s in "lr")
     shared = F.size(F.array_intersect("l_words", "r_words"))
     least, union = F.least(F.size("l_words"), F.size("r_words")), F.size(F.array_union("l_words", "r_words"))
-    similar = F.when((shared == least) & (shared >= 4), 0.97).otherwise(0.7 * shared / union + 0.3 * shared / least)
-    named = col("l_author") != ""
-    equal = (col("l_title") == col("r_title")) & ~col("l_title").isin(*GENERIC) & (named | ((col("l_year") == col("r_year")) & (least >= 2)))
-    conflict = col("l_doi").isNotNull() & col("r_doi").isNotNull() & (col("l_doi") != col("r_doi"))
-    variant = named & ~conflict & (least >= LEAST_TOKENS) & (similar >= SIMILAR) & (col("l_title") != col("r_title"))
-    kind = F.when(compatible & equal, "equal").when(compatible & variant, "variant")
+    similar = F.when((shared == least) & (shared >= INSIDE_WORDS), INSIDE).otherwise(0.7 * shared / union + 0.3 * shared / least)
+    author = author_similarity(left["authors"], right["authors"])
+    same_title = (left["title"] == right["title"]) & ~text.is_generic_title(left["title"])
+    equal = same_title & F.when(author.isNull(), (left["year"] == right["year"]) & (least >= 2)).otherwise(author >= AUTHORS)
+    variant = F.coalesce(author >= AUTHORS, F.lit(False)) & (left["title"] != right["title"]) & (least >= LEAST_WORDS) & (similar >= SIMILAR)
+    kind = F.when(conflict(left, right), None).when(F.coalesce(equal, F.lit(False)), "equal").when(F.coalesce(variant, F.lit(False)), "variant")
     return both.select("a", "b", kind.alias("kind")).filter("kind is not null")
 
 
-def members(records: DataFrame, id_col: str, key: list[Column], found: DataFrame, links: DataFrame) -> DataFrame:
-    """id, work_id of every record: the least id of the component of its entity. key: what entities are grouped by."""
+class _Fold:
+    """Clusters of one component while its entities pass in order."""
+
+    def __init__(self) -> None:
+        self.cluster: dict[int, int] = {}
+        self.volumes: dict[int, set[frozenset[str]]] = {}
+        self.titles: dict[int, dict[str, set[str]]] = {}  # by cluster, then DOI
+
+    def fits(self, cluster: int, title: str, volumes: frozenset[str], doi: str | None) -> bool:
+        if volumes and any(v.isdisjoint(volumes) for v in self.volumes.get(cluster, ())):
+            return False
+        return doi is None or all(d == doi or titles == {title} for d, titles in self.titles.get(cluster, {}).items())
+
+    def take(self, entity: int, links: list[int], title: str, volumes: list[str], doi: str | None) -> int:
+        """The earliest cluster that holds a linked entity and no conflicting one, else a new one."""
+        own = frozenset(volumes)
+        cluster = next((c for c in sorted({self.cluster[i] for i in links}) if self.fits(c, title, own, doi)), entity)
+        self.cluster[entity] = cluster
+        if own:
+            self.volumes.setdefault(cluster, set()).add(own)
+        if doi is not None:
+            self.titles.setdefault(cluster, {}).setdefault(doi, set()).add(title)
+        return cluster
+
+
+def clusters(found: DataFrame, links: DataFrame) -> DataFrame:
+    """id, work_id (its cluster's least id) of every entity: a fold of each component of links in the order of ids.
+
+    An entity joins the earliest cluster in which it has a link and conflicts with nobody, so that no chain of links
+    brings two conflicting records together, whatever the partitions. A component's rows pass through one task in order,
+    a link a row; the task keeps ids, volumes and DOIs of the component that it is in.
+    """
+    links = cut_lineage(links.select("a", "b"))
     roots = components(links)
-    names = [f"k{i}" for i in range(len(key))]
-    own = records.select(F.col(id_col).alias("member"), *[k.alias(n) for k, n in zip(key, names, strict=True)])
-    # the entity of a record is the least id that has its key
-    entity = own.groupBy(*names).agg(F.min("member").alias("id"))
-    joined = own.join(entity, [own[n].eqNullSafe(entity[n]) for n in names]).select("member", "id")
-    return joined.join(roots, "id", "left").select(F.col("member").alias(id_col), F.coalesce("root", "id").alias("work_id"))
+    of = found.join(roots, "id").select("id", "root", "title", "volumes", "doi")
+    rows = of.join(links.select(F.col("b").alias("id"), F.col("a").alias("earlier")), "id", "left")
+    kind = dict(found.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, fold, open_row, earlier = None, _Fold(), None, []
+        for batch in batches:
+            ids, works = [], []
+
+            def close() -> None:
+                if open_row is not None:
+                    ids.append(open_row[0])  # noqa: B023
+                    works.append(fold.take(open_row[0], earlier, *open_row[1:]))  # noqa: B023
+
+            for i, at, title, volumes, doi, link in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if open_row is None or i != open_row[0]:
+                    close()
+                    if at != root:
+                        root, fold = at, _Fold()
+                    open_row, earlier = (i, title, volumes, doi), []
+                if link is not None:
+                    earlier.append(link)
+            yield _pairs(batch.schema.field("id").type, ids, works)
+        if open_row is not None:
+            yield _pairs(batch.schema.field("id").type, [open_row[0]], [fold.take(open_row[0], earlier, *open_row[1:])])
+
+    ordered = rows.select("id", "root", "title", "volumes", "doi", "earlier").repartition("root").sortWithinPartitions("root", "id", "earlier")
+    folded = ordered.mapInArrow(run, f"id {kind}, work_id {kind}")
+    return found.select("id").join(folded, "id", "left").select("id", F.coalesce("work_id", "id").alias("work_id"))
+
+
+def _pairs(kind: pa.DataType, ids: list, works: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(works, kind)], names=["id", "work_id"])
+
+
+def members(records: DataFrame, id_col: str, title: Column, authors: Column, year: Column, doi: Column) -> DataFrame:
+    """id, work_id of every record: the least id of the cluster of its entity."""
+    found = entities(records, id_col, title, authors, year, doi)
+    work = clusters(found, same_work_edges(found))
+    own = records.select(F.col(id_col).alias("member"), *[c.alias(n) for n, c in identity(title, authors, year, doi).items()])
+    entity = found.select("id", *[F.col(c).alias(f"k_{c}") for c in FIELDS])
+    joined = own.join(entity, [own[c].eqNullSafe(entity[f"k_{c}"]) for c in FIELDS]).select("member", "id")
+    return joined.join(work, "id").select(F.col("member").alias(id_col), "work_id")
 
 
 def merged(records: DataFrame, membership: DataFrame, id_col: str) -> DataFrame:
-    """One row per work: its records, earliest year, most citations, longest abstract, providers, DOIs."""
+    """One row per work: its records, first record's title, title variants, earliest and all years, authors, most citations,
+    longest abstract, providers, DOIs, and where it appears (provider, title, year, DOI), distinct and in order.
+
+    records: title, authors (array), year, doi, provider, citations, abstract beside the id.
+    """
     rows = records.join(membership, id_col)
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    appearance = F.concat_ws("|", "provider", "title", F.col("year").cast("string"), F.coalesce("doi", F.lit("")))
     return rows.groupBy("work_id").agg(
-        F.count("*").alias("n"), F.min("year").alias("year"), F.max("citations").alias("citations"), F.max_by("abstract", F.struct(F.length("abstract"), -F.col(id_col))).alias("abstract"),
-        F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), F.array_join(F.array_sort(F.collect_set("doi")), ",").alias("dois"),
+        F.count("*").alias("n"), F.min_by("title", id_col).alias("title"), listed("title").alias("variants"), F.min("year").alias("year"), listed("year").alias("years"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("authors")))).alias("authors"), F.max("citations").alias("citations"), F.max_by("abstract", F.struct(F.length("abstract"), -F.col(id_col))).alias("abstract"),
+        listed("provider").alias("providers"), listed(F.lower(F.trim("doi"))).alias("dois"), listed(appearance).alias("appearances"),
     )
 
 

@@ -13,45 +13,76 @@ from lexmill.plans.inputs import WORKS, registry, relation
 QUERIES, ORACLE, query = registry()
 C = F.col
 
-_COMPARABLE = f"trim(regexp_replace(regexp_replace({sql_fold('title')}, '\\b(?:vol|volume|tome|band|part|tomo) (?:[0-9]+|[ivx]+)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+#: Works of no, one or several authors; volumes named in several ways; DOIs that agree and differ.
+RECORDS = f"""
+SELECT id, CASE id % 23 WHEN 3 THEN concat(title, ' (II)') WHEN 5 THEN concat(title, ' volumen 3') WHEN 7 THEN concat(title, ' libro iv') WHEN 9 THEN 'Introducción' ELSE title END AS title,
+  CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN concat(author, '; Second Writer', CAST(id % 3 AS STRING)) WHEN 2 THEN concat('First Writer', CAST(id % 3 AS STRING), '; ', author) ELSE author END AS authors, year, doi, provider, citations, abstract
+FROM ({WORKS})"""
+_VOLUME = "tomo|volumen|volume|vol|parte|part|book|libro|band"
+_NUMERAL = "[0-9]+|[ivxlcdm]+"
+_COMPARABLE = f"trim(regexp_replace(regexp_replace({sql_fold('title')} || ' ', '\\b(?:{_VOLUME}) ((?:{_NUMERAL}) )', ' \\1', 'g'), ' +', ' ', 'g'))"
+_TOKENS = lambda x: f"list_sort(list_distinct(list_filter(string_split({sql_fold(x)}, ' '), lambda t: t <> '')))"
 _KEYED = f"""
-SELECT *, {_COMPARABLE} AS ct, list_sort(list_distinct(regexp_extract_all({sql_fold('title')}, '\\b(?:vol|volume|tome|band|part|tomo) ([0-9]+|[ivx]+)\\b', 1))) AS volumes, array_to_string(list_sort(list_distinct(string_split({sql_fold('author')}, ' '))), ' ') AS fa FROM ({WORKS})"""
-_ENTITY = f"SELECT min(id) AS id, ct, volumes, fa, year, doi, list_distinct(string_split(ct, ' ')) AS w FROM ({_KEYED}) GROUP BY ct, volumes, fa, year, doi"
+SELECT *, list_filter(tokens, lambda t: length(t) > 1 AND t NOT IN ({', '.join(map(repr, text.TITLE_STOPWORDS))}) AND NOT list_contains(flatten(list_transform(people, lambda x: string_split(x, ' '))), t)) AS w FROM (
+  SELECT * REPLACE (lower(trim(doi)) AS doi), {_COMPARABLE} AS ct, {_TOKENS('title')} AS tokens,
+    list_sort(list_distinct(list_concat(regexp_extract_all({sql_fold('title')}, '\\b(?:{_VOLUME}) ({_NUMERAL})\\b', 1), regexp_extract_all(lower(title), '\\(([ivxlcdm]+)\\)', 1)))) AS volumes,
+    list_sort(list_distinct(list_filter(list_transform(string_split(authors, '; '), lambda a: array_to_string({_TOKENS('a')}, ' ')), lambda a: a <> ''))) AS people
+  FROM ({RECORDS}))"""
+_ENTITY = f"SELECT min(id) AS id, ct, volumes, people, year, doi, w FROM ({_KEYED}) GROUP BY ct, volumes, people, year, doi, w"
+_NAMES = lambda x: f"list_filter(string_split({x}, ' '), lambda t: length(t) > 1)"
 _EDGES = f"""
-SELECT a, b, kind FROM (SELECT l.id AS a, r.id AS b, CASE WHEN NOT (len(l.volumes) = 0 OR len(r.volumes) = 0 OR list_has_any(l.volumes, r.volumes)) THEN NULL WHEN l.ct = r.ct THEN 'equal'
-    WHEN (l.doi IS NULL OR r.doi IS NULL OR l.doi = r.doi) AND least(len(l.w), len(r.w)) >= 4 AND CASE WHEN len(list_intersect(l.w, r.w)) = least(len(l.w), len(r.w)) THEN 0.97 ELSE 0.7 * len(list_intersect(l.w, r.w)) / len(list_distinct(list_concat(l.w, r.w))) + 0.3 * len(list_intersect(l.w, r.w)) / least(len(l.w), len(r.w)) END >= 0.88 THEN 'variant' END AS kind
-  FROM ({_ENTITY}) l JOIN ({_ENTITY}) r ON l.fa = r.fa AND l.id < r.id) WHERE kind IS NOT NULL"""
+SELECT a, b, CASE WHEN lct = rct AND lct NOT IN ({', '.join(map(repr, text.GENERIC_TITLES))}) AND CASE WHEN people IS NULL THEN ly = ry AND least(len(lw), len(rw)) >= 2 ELSE people >= 0.67 END THEN 'equal'
+    WHEN people >= 0.67 AND lct <> rct AND least(len(lw), len(rw)) >= 4 AND CASE WHEN both_ = least(len(lw), len(rw)) AND both_ >= 4 THEN 0.97 ELSE 0.7 * both_ / any_ + 0.3 * both_ / least(len(lw), len(rw)) END >= 0.88 THEN 'variant' END AS kind
+FROM (SELECT l.id AS a, r.id AS b, l.ct AS lct, r.ct AS rct, l.w AS lw, r.w AS rw, l.year AS ly, r.year AS ry, len(list_intersect(l.w, r.w)) AS both_, len(list_distinct(list_concat(l.w, r.w))) AS any_,
+    list_max(flatten(list_transform(l.people, lambda x: list_transform(r.people, lambda y: CASE WHEN least(len({_NAMES('x')}), len({_NAMES('y')})) = 0 THEN 0.0 ELSE len(list_intersect({_NAMES('x')}, {_NAMES('y')})) / least(len({_NAMES('x')}), len({_NAMES('y')})) END)))) AS people
+  FROM ({_ENTITY}) l JOIN ({_ENTITY}) r ON l.id < r.id AND NOT (len(l.volumes) > 0 AND len(r.volumes) > 0 AND NOT list_has_any(l.volumes, r.volumes)) AND NOT (l.ct <> r.ct AND coalesce(l.doi <> r.doi, FALSE)))
+WHERE kind IS NOT NULL"""
+#: The fold of a component by a recursion over its entities, whose state is the list of those placed so far.
 _MEMBERS = f"""
 WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(x, y) AS (SELECT a, b FROM both_ways UNION SELECT r.x, w.b FROM reach r JOIN both_ways w ON r.y = w.a),
-root AS (SELECT x AS id, least(x, min(y)) AS root FROM reach GROUP BY x), ent AS ({_ENTITY}), k AS ({_KEYED})
-SELECT k.*, coalesce(root.root, ent.id) AS work_id FROM k JOIN ent ON k.ct = ent.ct AND k.volumes = ent.volumes AND k.fa = ent.fa AND k.year = ent.year AND k.doi IS NOT DISTINCT FROM ent.doi LEFT JOIN root ON root.id = ent.id"""
+root AS (SELECT x AS id, least(x, min(y)) AS root FROM reach GROUP BY x), ent AS MATERIALIZED ({_ENTITY}), k AS MATERIALIZED ({_KEYED}),
+ordered AS MATERIALIZED (SELECT ent.id, ct, volumes, doi, root, row_number() OVER (PARTITION BY root ORDER BY ent.id) AS step, coalesce(links, []) AS links FROM ent JOIN root USING (id) LEFT JOIN (SELECT b AS id, list(a) AS links FROM e GROUP BY b) USING (id)),
+fold AS (
+  SELECT root, CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(id BIGINT, c BIGINT, ct VARCHAR, doi VARCHAR, volumes VARCHAR[])[]) AS placed FROM (SELECT DISTINCT root FROM root)
+  UNION ALL
+  SELECT f.root, o.step, list_append(f.placed, {{'id': CAST(o.id AS BIGINT), 'c': CAST(coalesce(list_min(list_filter(list_transform(list_filter(f.placed, lambda m: list_contains(o.links, m.id)), lambda m: m.c),
+      lambda c: len(list_filter(f.placed, lambda m: m.c = c AND (len(m.volumes) > 0 AND len(o.volumes) > 0 AND NOT list_has_any(m.volumes, o.volumes) OR m.ct <> o.ct AND coalesce(m.doi <> o.doi, FALSE)))) = 0)), o.id) AS BIGINT),
+    'ct': o.ct, 'doi': o.doi, 'volumes': o.volumes}})
+  FROM fold f JOIN ordered o ON o.root = f.root AND o.step = f.step + 1),
+placed AS (SELECT p.id, p.c FROM (SELECT unnest(arg_max(placed, step)) AS p FROM fold GROUP BY root))
+SELECT k.*, coalesce(placed.c, ent.id) AS work_id FROM k JOIN ent ON k.ct = ent.ct AND k.volumes = ent.volumes AND k.people = ent.people AND k.year = ent.year AND k.w = ent.w AND k.doi IS NOT DISTINCT FROM ent.doi LEFT JOIN placed ON placed.id = ent.id"""
 
 
-def _entities(rows):
-    return works.entities(rows, "id", C("title"), C("author"), C("year"), C("doi"))
+def _records(spark, d):
+    return relation(spark, d, RECORDS).withColumn("authors", F.split("authors", "; "))
 
 
-def _members(rows):
-    found = _entities(rows)
-    key = [works.comparable(C("title")), text.volume_markers(C("title")), text.name_signature(C("author")), C("year"), C("doi")]
-    return works.members(rows, "id", key, found, works.same_work_edges(found))
+def _identity():
+    return C("title"), C("authors"), C("year"), C("doi")
+
 
 
 @query(_EDGES)
 def same_work_edges(spark, d):
-    return works.same_work_edges(_entities(relation(spark, d, WORKS)))
+    return works.same_work_edges(works.entities(_records(spark, d), "id", *_identity()))
 
 
 @query(f"SELECT id, work_id FROM ({_MEMBERS})")
 def same_work_members(spark, d):
-    return _members(relation(spark, d, WORKS))
+    return works.members(_records(spark, d), "id", *_identity())
 
 
 @query(f"""
-SELECT work_id, count(*) AS n, min(year) AS year, max(citations) AS citations, arg_max(abstract, (length(abstract), -id)) AS abstract, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, coalesce(string_agg(DISTINCT doi, ',' ORDER BY doi), '') AS dois FROM ({_MEMBERS}) GROUP BY work_id""")
+SELECT work_id, count(*) AS n, arg_min(title, id) AS title, string_agg(DISTINCT title, '; ' ORDER BY title) AS variants, min(year) AS year, string_agg(DISTINCT year, ',' ORDER BY year) AS years,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(authors, '; '))), lambda a: a <> ''))), '; '), '') AS authors, max(citations) AS citations, arg_max(abstract, (length(abstract), -id)) AS abstract,
+  string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, coalesce(string_agg(DISTINCT doi, ',' ORDER BY doi), '') AS dois,
+  string_agg(DISTINCT concat_ws('|', provider, title, year, coalesce(doi, '')), '; ' ORDER BY concat_ws('|', provider, title, year, coalesce(doi, ''))) AS appearances
+FROM ({_MEMBERS}) GROUP BY work_id""")
 def merged_works(spark, d):
-    rows = relation(spark, d, WORKS)
-    return works.merged(rows, _members(rows), "id")
+    rows = _records(spark, d)
+    out = works.merged(rows, works.members(rows, "id", *_identity()), "id")
+    joined = {c: F.array_join(F.filter(c, lambda x: x.cast("string") != ""), s) for c, s in (("variants", "; "), ("years", ","), ("authors", "; "), ("providers", ","), ("dois", ","), ("appearances", "; "))}
+    return out.withColumns(joined)
 
 
 _CREATORS = """
@@ -70,6 +101,7 @@ def federated_author_match(spark, d):
 _IDENTITY = "SELECT c_mktsegment AS name, c_custkey % 97 AS bucket, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey % 3 AS STRING) END AS orcid, c_custkey AS id FROM customer"
 
 
+
 @query(f"""
 SELECT name, bucket, count(*) AS n, CASE WHEN count(*) = 1 THEN 'resolved' WHEN count(DISTINCT orcid) = 1 AND count(orcid) = count(*) THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(*) > 1 AND count(DISTINCT orcid) = 1 AND count(orcid) = count(*) THEN 'orcid' END AS joined_by, min(id) AS candidate FROM ({_IDENTITY}) GROUP BY ALL""")
 def identity_lookup(spark, d):

@@ -1,13 +1,12 @@
-"""Tier arms, the ranking profile, one work from several records and names, row by row; foldings by property."""
+"""Tier arms, the ranking profile and names, row by row; foldings by property."""
 
-import itertools
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import ids, ranking, text, tiers
-from lexmill.operators import relational, works
+from lexmill.operators import relational
 
 C = F.col
 
@@ -57,19 +56,6 @@ def test_profile_by_hand(spark):
     assert spark.range(1).select(ranking.prefix_match("kant", F.array(F.lit("kantiano"))), ranking.prefix_match("kan", F.array(F.lit("kantiano")))).first() == (True, False)
 
 
-def test_same_work_equals_all_pairs(spark):
-    rows = [
-        (1, "The Critique of Pure Reason", "Kant, I.", 1781, "10.1/a"), (2, "the critique of pure reason", "Kant I", 1787, "10.1/b"), (3, "The critique of pure reason vol 2", "Kant I", 1787, None), (4, "The critique of pure reason vol 3", "Kant I", 1787, None),
-        (5, "The critique of pure reason a new translation", "Kant I", 1998, None), (6, "The critique of pure reason a new translation", "Kant I", 1998, "10.1/z"), (7, "The critique of pure reason", "Smith", 1781, None), (8, "Introduction", "Kant I", 1781, None), (9, "introduction", "kant i", 1782, None),
-        (10, "A dictionary", "", 1990, None), (11, "a Dictionary", None, 1990, "10.1/q"), (12, "A dictionary", "", 1991, None),
-    ]
-    df = spark.createDataFrame(rows, "id long, title string, author string, year int, doi string")
-    found = works.entities(df, "id", C("title"), C("author"), C("year"), C("doi"))
-    got = {(r.a, r.b): r.kind for r in works.same_work_edges(found).collect()}
-    assert {p for p, k in got.items() if k == "equal"} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (5, 6), (10, 11)}
-    assert {p for p, k in got.items() if k == "variant"} == {(x, y) for x, y in itertools.product((1, 2, 3, 4), (5, 6)) if (x, y) not in ((1, 6), (2, 6))}
-
-
 def test_rules_in_blocks(spark, monkeypatch):
     rules = spark.createDataFrame([(i, i % 7, i % 10, f"r{i}") for i in range(40)], "rule_id int, priority int, k int, label string")
     df = spark.range(12).withColumn("v", (C("id") % 11).cast("int"))
