@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lexmill.operators import inverted_file
 from lexmill.operators import vectors as V
+from lexmill.operators.merge import shared_folder
 from lexmill.session import table
 
 QUERIES: dict = {}
@@ -66,6 +70,16 @@ def ivf_recall(spark, d):
     return V.recall(V.ivf_search(queries, base, centres, 10, 12), exact)
 
 
+@query(f"WITH w AS ({_SQL_UNIT}), u AS (SELECT id, list_transform(v, lambda x: round_even(greatest(-1.0, least(1.0, x)) * 127, 0)) AS v FROM w)" + _SQL_KNN.format(q="q.v", b="b.v"))
+def inverted_file_search(spark, d):
+    """The ten nearest int8 vectors from an inverted file of 256 clusters, 32 probed first, then every cluster whose bound could add one."""
+    base = _base(spark, d).select("id", "v")
+    index = inverted_file.lay_out(base, inverted_file.train(base, 256), f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    queries = base.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = inverted_file.search(queries, index, 10, 32, exact=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def cluster_lookup(spark, d):
     """Every vector's cluster and its place in it."""
