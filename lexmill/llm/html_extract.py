@@ -5,9 +5,15 @@ generalised classes (digits become #). Menus, headers outside the article, foote
 scripts, styles and reader comments are left out, by tag or by boilerplate words in class, id or role; inside an article
 a name must consist of such words and words that say nothing: "social-links" is out, "social-history" is not. A container's score
 is its remaining text less that of its links; a page votes for its deepest container that holds four fifths of the
-best score. Votes are summed per host and path in Spark, and each page is then read again: from the containers on its
-host's winning path, or its own best container where it has none, up to the smallest one around them that holds all
-text outside links of the article (the outermost article or main element around them, else the page).
+best score, and on every piece of text that stands beside it, in one of the containers around it: headings, paragraphs,
+inner containers, each by its path. A page keeps a piece whose text is mostly outside links, if it is no container, or
+one of mostly headings, or one of a quarter of the voted container's text, or one before it in the same parent or article.
+
+Votes are summed per host and path in Spark: a host's winning path is the one of most pages, and the pieces that go with
+it are those that most of its pages which have them keep, unless their text is the same on most of these pages. Each page
+is then read again: the containers on its host's winning path and the winning pieces beside them, in page order, and
+nothing else. A page without the winning path is read by its own vote: its best container, up to the smallest one around
+it that holds all text outside links of the article (the outermost article or main element around it, else the page).
 
 Null or empty html: empty text. Null url: pages without a host vote together. Ties of votes go to the smaller path;
 pages that repeat vote and are read each. Pages of any length and depth are read whole. Hosts are joined without
@@ -17,6 +23,7 @@ names.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -41,6 +48,7 @@ PLAIN = frozenset(
     "area article bar block blog body bottom box btn button buttons col column container content entry entries fixed float footer form global group header holder icon icons inner item items js layout left link links list main module outer page pages panel "
     "post posts primary reader right row secondary section site small sticky story text title top user view wrap wrapper zone".split()
 )
+HEADINGS = frozenset("h1 h2 h3".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure address".split())
 SAME_CLOSES = frozenset("p li dt dd tr td th option".split())
 
@@ -52,40 +60,50 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Box:
-    """A container: its path, its pieces of text and inner boxes in page order, and its score."""
+    """A container: its path, its pieces of text (text, in a link, block tag) and inner boxes in page order, and its score."""
 
-    __slots__ = ("path", "parts", "chars", "links", "solid", "depth", "parent")
+    __slots__ = ("path", "parts", "chars", "links", "solid", "heads", "depth", "parent")
 
     def __init__(self, path: str, parent: Box | None = None):
         self.path, self.parent, self.depth, self.parts = path, parent, parent.depth + 1 if parent else 0, []
-        self.chars = self.links = self.solid = 0
+        self.chars = self.links = self.solid = self.heads = 0
+
+    def tag(self) -> str:
+        return self.path.rpartition("/")[2].partition(".")[0]
 
     def totals(self) -> None:
-        self.chars = self.links = self.solid = 0  # solid: outside links, without space around
+        self.chars = self.links = self.solid = self.heads = 0  # solid: outside links, without space around
         for x in self.parts:
             if isinstance(x, Box):
                 self.chars += x.chars
                 self.links += x.links
                 self.solid += x.solid
+                self.heads += x.heads
             elif x is not None:
                 self.chars += len(x[0])
                 self.links += len(x[0]) * x[1]
                 self.solid += 0 if x[1] else len(x[0].strip())
+                self.heads += len(x[0].strip()) if x[2] in HEADINGS else 0
 
     def text(self) -> str:
-        out: list[str] = []
-        stack = [iter(self.parts)]
-        while stack:
-            for x in stack[-1]:
-                if isinstance(x, Box):
-                    out.append(" ")
-                    stack.append(iter(x.parts))
-                    break
-                out.append(" " if x is None else x[0])
-            else:
-                stack.pop()
+        return joined(self.parts)
+
+
+def joined(parts: list) -> str:
+    """The text of pieces and boxes, blocks and white space as one space."""
+    out: list[str] = []
+    stack = [iter(parts)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, Box):
                 out.append(" ")
-        return " ".join(entities.unescape("".join(out)).split())
+                stack.append(iter(x.parts))
+                break
+            out.append(" " if x is None else x[0])
+        else:
+            stack.pop()
+            out.append(" ")
+    return " ".join(entities.unescape("".join(out)).split())
 
 
 def _boilerplate(tag: str, marks: dict[str, str], inside: bool) -> bool:
@@ -104,14 +122,14 @@ def parse(page: str) -> list[Box]:
     """All containers of a page, outermost first; the first is the page itself."""
     root = Box("")
     boxes = [root]
-    open_tags: list[tuple[str, bool, Box]] = []  # tag, dropped, the box that its text goes to
+    open_tags: list[tuple[str, bool, Box, str]] = []  # tag, dropped, the box that its text goes to, the block in that box
     raw: re.Pattern | None = None
     at, end = 0, len(page)
     links = dropped = articles = 0
 
     def pop() -> None:
         nonlocal links, dropped, articles
-        tag, drop, _ = open_tags.pop()
+        tag, drop, *_ = open_tags.pop()
         links -= tag == "a"
         dropped -= drop
         articles -= tag in ("article", "main")
@@ -128,7 +146,7 @@ def parse(page: str) -> list[Box]:
         if not name:
             text = match[0]
             if not dropped and (text[0] != "<" or text == "<"):
-                box.parts.append((text, links > 0))
+                box.parts.append((text, links > 0, open_tags[-1][3] if open_tags else ""))
             continue
         tag, closing, rest = name.lower(), match[1], match[3]
         if closing:
@@ -165,7 +183,8 @@ def parse(page: str) -> list[Box]:
             box.parts.append(inner_box)
             boxes.append(inner_box)
             box = inner_box
-        open_tags.append((tag, drop, box))
+        block = tag if tag in BLOCKS and tag not in CONTAINERS else open_tags[-1][3] if open_tags and open_tags[-1][2] is box else ""
+        open_tags.append((tag, drop, box, block))
         links += tag == "a"
         dropped += drop
         articles += tag in ("article", "main")
@@ -186,7 +205,7 @@ def article_of(box: Box) -> Box:
     """The outermost article or main element around a box, or the page."""
     found = None
     while box.parent:
-        if box.path.rpartition("/")[2].partition(".")[0] in ("article", "main"):
+        if box.tag() in ("article", "main"):
             found = box
         box = box.parent
     return found or box
@@ -209,14 +228,67 @@ def whole(found: list[Box]) -> list[Box]:
     return out
 
 
-def extract_text(page: str | None, path: str | None) -> str:
-    """The article's text around the containers on a path, in page order, or around the page's best container if it has none."""
+def pieces(box: Box) -> list[tuple[str, list]]:
+    """What stands directly in a container: the path of each inner container or run of blocks of one tag, and its parts."""
+    out: list[tuple[str, list]] = []
+    for x in box.parts:
+        if isinstance(x, Box):
+            out.append((x.path, [x]))
+        elif x is not None:
+            path = f"{box.path}|{x[2]}"
+            if not out or out[-1][0] != path:
+                out.append((path, []))
+            out[-1][1].append(x)
+        elif out and not isinstance(out[-1][1][-1], Box):
+            out[-1][1].append(None)
+    return out
+
+
+def beside(chosen: Box) -> list[tuple[str, bool, str]]:
+    """Path, whether the page keeps it, and text of every piece in the containers around a box, not in it."""
+    found, inner, box = [], chosen, chosen.parent
+    while box is not None:
+        near = box is chosen.parent or article_of(box).tag() in ("article", "main")
+        early = near
+        for path, parts in pieces(box):
+            if parts[0] is inner or path == chosen.path:
+                early = early and parts[0] is not inner
+                continue
+            whole_piece = Box(path)
+            whole_piece.parts = parts
+            whole_piece.totals()
+            text = joined(parts)
+            if text:
+                large = not isinstance(parts[0], Box) or early or 2 * whole_piece.heads >= whole_piece.solid or 4 * whole_piece.solid >= chosen.solid
+                found.append((path, large and 5 * whole_piece.links <= whole_piece.chars, text))
+        inner, box = box, box.parent
+    return found
+
+
+def kept_text(root: Box, path: str, also: frozenset[str]) -> str:
+    """The text of the containers on a path and of the winning pieces around them, in page order."""
+    parts: list = []
+    stack = [iter([(root.path, [root])])]
+    while stack:
+        for at, some in stack[-1]:
+            if at == path or at in also:
+                parts += [None, *some, None]
+            elif isinstance(some[0], Box) and path.startswith(f"{at}/"):
+                stack.append(iter(pieces(some[0])))
+                break
+        else:
+            stack.pop()
+    return joined(parts)
+
+
+def extract_text(page: str | None, path: str | None, also: frozenset[str] = frozenset()) -> str:
+    """The text on a host's winning path and of its winning pieces, or around the page's best container if it lacks the path."""
     if not page:
         return ""
     boxes = parse(page)
-    found = [x for x in boxes if x.path == path and x.chars] if path is not None else []
-    texts = [t for x in whole(found) if (t := x.text())] if any(x.text() for x in found) else []
-    return " ".join(texts) if texts else " ".join(t for x in whole([best(boxes)]) if (t := x.text()))
+    if path is not None and any(x.path == path and x.chars for x in boxes) and (text := kept_text(boxes[0], path, also)):
+        return text
+    return " ".join(t for x in whole([best(boxes)]) if (t := x.text()))
 
 
 def host_of(url: Column) -> Column:
@@ -224,28 +296,48 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, votes: each host's winner. Votes are counted before any shuffle."""
+    """host, path, votes, also: each host's winner and the paths of the pieces that go with it.
+
+    Votes are counted before any shuffle; of a piece's text its digest is counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [best(parse(x)).path if x else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string())], names=["host", "path"])
-
-    votes = map_batches(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), run, "host string, path string")
-    counted = votes.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("votes"))
-    ranked = counted.groupBy("host").agg(F.max("votes").alias("votes"))
-    return counted.join(ranked, ["host", "votes"]).groupBy("host").agg(F.min("path").alias("path"), F.first("votes").alias("votes"))
+            out: list[tuple] = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if page:
+                    chosen = best(parse(page))
+                    out.append((host, chosen.path, None, None, None))
+                    seen: dict[str, tuple[bool, str]] = {}
+                    for piece, keep, text in beside(chosen):  # of one path in a page, kept if all are
+                        before = seen.get(piece, (True, ""))
+                        seen[piece] = before[0] and keep, f"{before[1]} {text}"
+                    out += [(host, chosen.path, piece, keep, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()) for piece, (keep, text) in seen.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "path", "piece", "keep", "digest"])
+
+    votes = map_batches(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), run, "host string, path string, piece string, keep boolean, digest binary")
+    # rows of one vote in one digest are summed in the tasks, so a host or text that most pages have is few rows
+    counted = materialise(votes.groupBy("host", "path", "piece", "digest").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept")), "votes")
+    own = counted.filter(F.col("piece").isNull()).select("host", "path", F.col("n").alias("votes"))
+    ranked = own.groupBy("host").agg(F.max("votes").alias("votes"))
+    winners = own.join(ranked, ["host", "votes"]).groupBy("host").agg(F.min("path").alias("path"), F.first("votes").alias("votes"))
+    sums = counted.filter(F.col("piece").isNotNull()).groupBy("host", "path", "piece").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.max("n").alias("same"))
+    chosen = sums.filter((2 * F.col("kept") > F.col("n")) & ((F.col("n") < 3) | (2 * F.col("same") <= F.col("n"))))
+    also = chosen.groupBy("host", "path").agg(F.array_sort(F.collect_set("piece")).alias("also"))
+    return winners.join(also, ["host", "path"], "left").select("host", "path", "votes", F.coalesce("also", F.array().cast("array<string>")).alias("also"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, path."""
-    winners = materialise(winning_paths(pages, url_col, html_col), "paths").select("host", "path")
-    joined = join_lookup(pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("host")), winners, ["host"])
+    winners = materialise(winning_paths(pages, url_col, html_col), "paths").select("host", "path", "also")
+    joined_pages = join_lookup(pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("host")), winners, ["host"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract_text(x, p) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract_text(x, p, frozenset(a or ())) for x, p, a in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], names=[id_col, url_col, "text", "path"])
 
     kinds = dict(pages.dtypes)
-    return map_batches(joined.select(id_col, url_col, html_col, "path"), run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, path string")
+    return map_batches(joined_pages.select(id_col, url_col, html_col, "path", "also"), run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, path string")

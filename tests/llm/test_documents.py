@@ -206,6 +206,58 @@ def test_hosts_agree_on_a_path(spark):
     assert H.extract(pages).count() == 13 and H.extract(pages.limit(0)).count() == 0
 
 
+PROSE = "The river ran past the mill and the old men watched it turn. "
+
+
+def three_hosts():
+    """Pages of three layouts without any word that marks boilerplate, and their main texts."""
+    rows, want = [], {}
+    for i in range(8):
+        body, title, lead, teaser = f"Body {i}. " + PROSE * (6 + i), f"Title number {i}", f"Lead of {i}, in brief.", f"Elsewhere {i}: another story of ours."
+        pages = {
+            "a": f"<html><body><div class='wrap'><div class='left'>Our house has kept the same promise since 1950.</div><div class='entry'><h1>{title}</h1><p>{lead}</p><div class='body'><p>{body}</p></div><div class='teaser'>{teaser}</div></div></div></body></html>",
+            "b": f"<html><body><article><h1>{title}</h1><div class='lead'>{lead}</div><div class='story-{i}'><p>{body}</p></div><div class='next'><p>{teaser}</p></div><p><a href='/x'>{teaser}</a></p></article><div class='right'>{teaser} Again.</div></body></html>",
+            "c": f"<html><body><table><tr><td class='l'>Fixed words of the house.</td><td class='m'><h2>{title}</h2><p>{lead}</p><div class='t'><p>{body}</p></div></td><td class='r'>{teaser}</td></tr></table></body></html>",
+        }
+        for host, page in pages.items():
+            want[len(rows)] = " ".join(f"{title} {lead} {body}".split())
+            rows.append((len(rows), f"https://{host}.example/{i}", page))
+    return rows, want
+
+
+def test_the_vote_decides(spark):
+    rows, want = three_hosts()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(pages).collect()} == want
+    found = {r.host: r for r in H.winning_paths(pages).collect()}
+    assert {h: r.path for h, r in found.items()} == {"a.example": "/html/body/div.wrap/div.entry/div.body", "b.example": "/html/body/article/div.story-#", "c.example": "/html/body/table/tr/td.m/div.t"}
+    assert any(r.votes < 8 for r in found.values())  # pages that voted otherwise are read by their host's path too
+    assert all("teaser" not in p and "next" not in p and "left" not in p and "right" not in p for r in found.values() for p in r.also)
+
+
+def test_another_winner_gives_another_text():
+    rows, want = three_hosts()
+    page = rows[0][2]
+    path, also = "/html/body/div.wrap/div.entry/div.body", frozenset({"/html/body/div.wrap/div.entry|h1", "/html/body/div.wrap/div.entry|p"})
+    texts = {H.extract_text(page, p, a) for p, a in ((path, also), (path, frozenset()), ("/html/body/div.wrap/div.entry/div.teaser", frozenset()), ("/html/body/div.wrap/div.left", frozenset()), ("/html/body/div.wrap/div.entry", frozenset()), ("/html/body", frozenset()))}
+    assert len(texts) == 6 and want[0] in texts
+
+
+def test_pieces_are_counted_over_pages(spark):
+    """A piece is in if most pages that have it keep it and its text is not the same on most of them."""
+    page = "<html><body><div class='x'><p class='q'>%s</p><h2>%s</h2><div class='b'>" + PROSE * 5 + "%d</div></div></body></html>"
+    rows = [(i, f"https://h.example/{i}", page % (f"own line {i}" if i % 5 < 2 else "every page says this", f"head {i}", i)) for i in range(10)]
+    rows += [(i, f"https://few.example/{i}", page % ("said twice", "head", i)) for i in (20, 21)]
+    found = {r.host: r.also for r in H.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {"h.example": ["/html/body/div.x|h2"], "few.example": ["/html/body/div.x|h2", "/html/body/div.x|p"]}
+
+
+def test_deep_and_clashing_pages(spark):
+    deep = "<div>" * 5000 + "<p>" + PROSE * 20 + "</p>" + "</div>" * 5000
+    df = spark.createDataFrame([(1, "https://d.example/", deep, "t", 1, "p"), (2, "https://d.example/", deep, "t", 1, "p")], "page_id long, url string, html string, text string, keep int, piece string")
+    assert {r.text for r in H.extract(df).collect()} == {(PROSE * 20).strip()}
+
+
 def test_html_query_equals_articles(spark):
     import html
     import re
