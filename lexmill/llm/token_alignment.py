@@ -22,8 +22,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +42,12 @@ SHIFT = 32
 _SPACE = "▁"
 #: Before a space that ends neither white space nor the text (a part of one space would be an empty text to B), and the same in a token.
 _PLACE, _CROSSING = re.compile(r"(?<=\S)(?= [\s\S])"), re.compile(r"\S ")
+_WIDE = re.compile(r"\s ")
 
 
-class Part(NamedTuple):
-    """The alignment of one stretch of text; n_a is -1 where the bytes differ."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: list[int]  # codes of pairs, one for each link
-
-
-_BROKEN = Part(-1, 0, 0, "", [])
+#: The alignment of one stretch of text: A tokens, groups in text form, and codes of its links as 8 bytes each. A group of
+#: p A and q B tokens has p + q - 1 links, so the other counts follow. None where the bytes differ.
+Part = tuple[int, str, bytes]
 
 
 class Tokenizers:
@@ -74,38 +68,69 @@ class Tokenizers:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.cuts = not any(_CROSSING.search(x.decode(errors="replace")) for x in (*self.a_bytes, *self.b_bytes))
         self.a_size, self.b_size = ([len(x) for x in y] for y in (self.a_bytes, self.b_bytes))
-        self.store: dict[str, Part] = {}
-        self.older: dict[str, Part] = {}
+        self.a_size_of, self.b_size_of = np.array(self.a_size), np.array(self.b_size)
+        self.store: dict[str, Part | None] = {}
+        self.older: dict[str, Part | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace(_SPACE, " ").encode()
 
-    def align(self, texts: list[str]) -> list[Part]:
-        """The parts of texts that begin with a space."""
-        out, spelt_a, spelt_b = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        many_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        many_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, a, b in zip(texts, many_a, many_b, strict=True):
-            same = b"".join(map(spelt_a, a)) == text.encode() == b"".join(map(spelt_b, b))
-            out.append(merge(a, b, self.a_size, self.b_size) if same else _BROKEN)
-        return out
-
-    def documents(self, texts: list[str]) -> Iterator[list[Part]]:
-        """The parts of each text, in order; texts are not empty and do not begin with the space that is put before them."""
-        parts = [_PLACE.split(f" {t}") if self.cuts else [f" {t}"] for t in texts]
+    def _encode_a(self, words: list[str]) -> list[list[int]]:
+        """A's ids of a space and each word: at once where the words may stand in one text, else one by one."""
+        plain = [w for w in words if w and not w[-1].isspace()] if self.cuts else []
+        if not plain:
+            return [x.ids for x in self.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+        ids = self.a.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids
+        last = np.searchsorted(np.cumsum(self.a_size_of[ids]), np.cumsum([len(w.encode()) + 1 for w in plain])) + 1
+        found = dict(zip(plain, [ids[i:j] for i, j in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)], strict=True))
+        odd = [w for w in words if w not in found]
+        found |= zip(odd, [x.ids for x in self.a.encode_batch_fast([f" {w}" for w in odd], add_special_tokens=False)], strict=True)
+        return [found[w] for w in words]
+
+    @staticmethod
+    def _spelt(words: list[str], ids: list[list[int]], spelling: list[bytes], size_of: np.ndarray) -> list[bool]:
+        """Whether the tokens of each word spell a space and the word: for all words together, or if that fails one by one."""
+        flat = list(chain.from_iterable(ids))
+        if b"".join(map(spelling.__getitem__, flat)) == "".join([f" {w}" for w in words]).encode():
+            ends = np.append(0, np.cumsum(size_of[flat]))[np.cumsum([len(x) for x in ids])]
+            if (ends == np.cumsum([len(w.encode()) + 1 for w in words])).all():
+                return [True] * len(words)
+        return [b"".join(map(spelling.__getitem__, x)) == f" {w}".encode() for w, x in zip(words, ids, strict=True)]
+
+    def align(self, words: list[str]) -> list[Part | None]:
+        """The parts that a space and each word make."""
+        if not words:
+            return []
+        many_a, many_b = self._encode_a(words), self.b.encode(words, num_threads=1)
+        good_a, good_b = self._spelt(words, many_a, self.a_bytes, self.a_size_of), self._spelt(words, many_b, self.b_bytes, self.b_size_of)
+        return [merge(a, b, self.a_size, self.b_size) if good and well else None for a, b, good, well in zip(many_a, many_b, good_a, good_b, strict=True)]
+
+    def _words(self, text: str) -> list[str]:
+        """What stands between the places where a text may be cut, each without the space before it."""
+        if not self.cuts:
+            return [text]
+        if text[-1] != " " and text[0] != " " and not _WIDE.search(text):
+            return text.split(" ")
+        return [p[1:] for p in _PLACE.split(f" {text}")]
+
+    def documents(self, texts: list[str]) -> Iterator[list[Part | None]]:
+        """The parts of each text, in order; texts are not empty, a space is put before them."""
+        words = [self._words(t) for t in texts]
         if len(self.store) > STORE // 2:
             self.store, self.older = {}, self.store
-        for p in {p for some in parts for p in some if p not in self.store and p in self.older}:
-            self.store[p] = self.older[p]
-        fresh = list({p for some in parts for p in some if p not in self.store})
-        known = dict(zip(fresh, self.align(fresh), strict=True)) if fresh else {}
-        self.store |= known
-        for some in parts:
-            yield [self.store[p] for p in some]
-        for p in known:
-            if len(p) > STORE_CHARS:
-                del self.store[p]
+        store, older, fresh = self.store, self.older, []
+        for w in set().union(*words).difference(store):
+            if w in older:
+                store[w] = older[w]
+            else:
+                fresh.append(w)
+        store.update(zip(fresh, self.align(fresh), strict=True))
+        for some in words:
+            yield list(map(store.__getitem__, some))
+        for w in fresh:
+            if len(w) > STORE_CHARS:
+                del store[w]
 
 
 def merge(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Part:
@@ -113,29 +138,37 @@ def merge(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> P
 
     a and b spell equally many bytes; size_a and size_b are the bytes of each id.
     """
+    last_a, last_b = len(a), len(b)
+    if last_a == 1:  # one pointer stands still
+        x = a[0]
+        return 1, f"{x}|{','.join(map(str, b))}", array("q", [x << SHIFT | y for y in b]).tobytes()
+    if last_b == 1:
+        y = b[0]
+        return last_a, f"{','.join(map(str, a))}|{y}", array("q", [x << SHIFT | y for x in a]).tobytes()
     i = j = end_a = end_b = 0
     links, groups = [], []
-    last_a, last_b = len(a), len(b)
     while i < last_a:
         x, y = a[i], b[j]
         end_a, end_b = end_a + size_a[x], end_b + size_b[y]
         links.append(x << SHIFT | y)
-        said_a, said_b = str(x), str(y)
-        while end_a != end_b:
-            if end_a < end_b:
-                i += 1
-                x = a[i]
-                end_a += size_a[x]
-                said_a = f"{said_a},{x}"
-            else:
-                j += 1
-                y = b[j]
-                end_b += size_b[y]
-                said_b = f"{said_b},{y}"
-            links.append(x << SHIFT | y)
-        groups.append(f"{said_a}|{said_b}")
-        i, j = i + 1, j + 1
-    return Part(last_a, last_b, len(groups), ";".join(groups), links)
+        if end_a == end_b:
+            groups.append(f"{x}|{y}")
+        else:
+            first_i, first_j = i, j
+            while end_a != end_b:
+                if end_a < end_b:
+                    i += 1
+                    x = a[i]
+                    end_a += size_a[x]
+                else:
+                    j += 1
+                    y = b[j]
+                    end_b += size_b[y]
+                links.append(x << SHIFT | y)
+            groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
+        i += 1
+        j += 1
+    return last_a, ";".join(groups), array("q", links).tobytes()
 
 
 _open: dict[tuple[str, str], Tokenizers] = {}
@@ -163,13 +196,15 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
             rows = []
             for t in texts:
                 parts = next(found) if t else []
-                if not parts or any(p.n_a < 0 for p in parts):
+                if not parts or None in parts:
                     rows.append(((0, 0, 0, 0), "", None, np.zeros(0, np.int64), np.zeros(0, np.int64)))
                     continue
-                links = np.array([x for p in parts for x in p.links], np.int64)
-                codes, n = np.unique(links, return_counts=True)
-                groups = ";".join([p.groups for p in parts])
-                counts = sum([p.n_a for p in parts]), sum([p.n_b for p in parts]), sum([p.n_groups for p in parts]), len(links)
+                n_a, groups, links = zip(*parts, strict=True)
+                every = np.frombuffer(b"".join(links), np.int64)
+                codes, n = np.unique(every, return_counts=True)
+                groups = ";".join(groups)
+                n_a, n_groups = sum(n_a), groups.count("|")
+                counts = n_a, len(every) + n_groups - n_a, n_groups, len(every)
                 rows.append((counts, hashlib.sha256(groups.encode()).hexdigest(), groups if keep_groups else None, codes, n))
             offsets = pa.array(np.cumsum([0, *[len(r[3]) for r in rows]]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]) if rows else [], pa.int64())) for k in (3, 4)]
