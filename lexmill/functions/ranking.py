@@ -129,3 +129,41 @@ def softmax(logits: dict[str, Column]) -> Column:
     parts = {k: F.exp(v - top) for k, v in logits.items()}
     total = _sum(list(parts.values()))
     return F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v / total)])
+
+
+# Points of a query word by field, marks of secondary literature, words that ask for nothing, most words.
+ARCHIVE_POINTS = {"title": 6, "authors": 5, "subjects": 3, "description": 1}
+SECONDARY = """
+introduction interpretation commentary companion essays reflections guide note notes study studies
+introduccion interpretacion comentario comentarios ensayos reflexiones guia estudio estudios
+""".split()
+ARCHIVE_STOPWORDS = "a an and the of in on for to with de del la las el los en y por para un una sobre".split()
+ARCHIVE_WORDS = 12
+
+
+def archive_words(query: Column) -> Column:
+    """The first distinct words of a folded query that ask for something."""
+    return F.slice(F.array_distinct(F.filter(F.split(query, " "), lambda t: (F.length(t) > 1) & ~t.isin(*ARCHIVE_STOPWORDS))), 1, ARCHIVE_WORDS)
+
+
+def archive_score(query: Column, title: Column, authors: Column, subjects: Column, description: Column) -> Column:
+    """How well an archive's item answers a query before any ranking, in points; all texts are folded.
+
+    Points per word and field it stands in, 12 for the share of words found, 15 if title, authors and subjects hold all,
+    3 for each of several words in the title, 16 and 3 for each word in the authors, 20 for the share of the title that
+    was asked for, less 12, at most twice, for each mark of secondary literature that was not.
+    """
+    words = archive_words(query)
+    fields = {"title": title, "authors": authors, "subjects": subjects, "description": description}
+    hits = lambda *names: F.size(F.filter(words, lambda w: reduce(Column.__or__, [fields[n].contains(w) for n in names])))
+    asked = F.size(words)
+    points = _sum([hits(n) * F.lit(float(p)) for n, p in ARCHIVE_POINTS.items()])
+    bibliography = F.concat_ws(" ", title, authors, subjects)
+    in_title, in_authors = hits("title"), hits("authors")
+    length = F.size(F.filter(F.split(title, " "), lambda t: t != ""))
+    penalty = F.size(F.filter(F.array(*map(F.lit, SECONDARY)), lambda m: title.contains(m) & ~query.contains(m))) * 12
+    total = (
+        points + hits(*fields) / asked * 12 + F.when(F.forall(words, lambda w: bibliography.contains(w)), 15).otherwise(0) + F.when(in_title >= 2, in_title * 3).otherwise(0)
+        + F.when(in_authors > 0, 16 + in_authors * 3).otherwise(0) + F.when((length > 0) & (in_title > 0), in_title / length * 20).otherwise(0) - F.least(penalty, F.lit(24))
+    )
+    return F.when(asked == 0, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), total), 3))

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from lexmill.functions import text
 
 
-def detect(queries: DataFrame, id_col: str, text_col: str, aliases: DataFrame, longest: int = 4) -> DataFrame:
+def detect(queries: DataFrame, id_col: str, text_col: str, aliases: DataFrame) -> DataFrame:
     """(id, entity, kind, alias): aliases that stand in a text as whole words; the longest alias of an entity wins.
 
-    Texts give their word n-grams, which join the folded aliases: no text meets an alias that it does not hold.
+    Texts give their word n-grams of the lengths that the table's aliases have, which join the folded aliases: no text
+    meets an alias that it does not hold.
     """
+    known = aliases.select("entity", "kind", text.fold(F.col("alias")).alias("alias")).filter("alias <> ''")
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("alias", " "))).distinct().collect())  # a number or few
     words = queries.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("w"))
 
     def grams_of(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    grams = [grams_of(n) for n in range(1, longest + 1)]
-    spans = F.array_distinct(F.flatten(F.array(*[F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(grams, 1)])))
-    found = words.select("id", F.explode(spans).alias("alias")).join(aliases.select("entity", "kind", text.fold(F.col("alias")).alias("alias")), "alias")
+    none = F.array().cast("array<string>")
+    spans = F.array_distinct(F.flatten(F.array(none, *[F.when(F.size("w") >= n, grams_of(n)).otherwise(none) for n in lengths])))
+    found = words.select("id", F.explode(spans).alias("alias")).join(known, "alias")
     best = F.max_by(F.struct("alias", "kind"), F.struct(F.length("alias"), F.col("alias")))
     return found.groupBy("id", "entity").agg(best.alias("b")).select("id", "entity", "b.kind", "b.alias")
 

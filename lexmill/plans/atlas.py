@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmill.functions import text
-from lexmill.operators import atlas, projection
+from lexmill.operators import atlas, folds, projection
 from lexmill.operators import vectors as V
 from lexmill.operators.merge import cut_lineage
 from lexmill.plans.corpus import _sql_kept
@@ -57,6 +57,14 @@ def archive_merge(spark, d):
     return rows.join(found, "id").groupBy(C("root").alias("work")).agg(F.count("*").alias("records"), F.min_by("id", lead).alias("main"), F.min_by("title", lead).alias("title"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), F.countDistinct("title").alias("titles"))
 
 
+@query()
+def archive_fold(spark, d):
+    """The same archives folded per person in the order of ids: a record between two works joins one. Tested against loops."""
+    rows = relation(spark, d, _ARCHIVE.replace(", provider FROM", ", provider, author FROM"))
+    has = lambda c: C(c).isNotNull().alias(c)
+    return folds.archive_fold(rows.select("id", C("doi").alias("key"), text.fold_plain(C("title")).alias("title"), "year", "curated", has("doi"), has("abstract"), "author"), C("author"), "id", [C("id")])
+
+
 @query(f"SELECT id, title FROM ({WORKS}) WHERE contains({_sql_plain('title')}, 'ring') AND upper(left({_sql_plain('title')}, 1)) = 'S'")
 def author_work_filter(spark, d):
     """A person's works by a part of the title and an initial."""

@@ -157,3 +157,24 @@ def softmax_labels(spark, d):
     label = F.coalesce(*[F.when(C("m")[k] == C("share"), F.lit(k)) for k in logits])
     graded = shares.select("p_partkey", label.alias("label"), "share", F.floor(C("share") * 3).cast("int").alias("g"), F.cume_dist().over(W.partitionBy("p_brand").orderBy("share")).alias("pct"))
     return graded.select("p_partkey", "label", F.round("share", 6).alias("share"), F.when((C("g") == 2) & (C("pct") >= 0.8), 3).otherwise(C("g")).alias("grade"))
+
+
+#: Items of an archive, each with a query that finds something of it.
+_ITEMS = f"""
+SELECT id, title, author, topic, abstract, CASE id % 6 WHEN 0 THEN concat('The ', title) WHEN 1 THEN concat(topic, ' studies of ', author) WHEN 2 THEN 'a ring of the economy: in context' WHEN 3 THEN author WHEN 4 THEN 'notes on the other' ELSE 'of y a' END AS query FROM ({WORKS})"""
+_ASKED = f"list_filter(string_split(fq, ' '), lambda t: length(t) > 1 AND t NOT IN ({', '.join(map(repr, K.ARCHIVE_STOPWORDS))}))"
+_FOUND = {"title": "ft", "authors": "fu", "subjects": "fs", "description": "fd"}
+_POINTS = " + ".join(f"len(list_filter(w, lambda t: contains({c}, t))) * {K.ARCHIVE_POINTS[n]}" for n, c in _FOUND.items())
+
+
+@query(f"""
+WITH f AS (SELECT id, {', '.join(f"{sql_fold(c)} AS {n}" for c, n in (("query", "fq"), ("title", "ft"), ("author", "fu"), ("topic", "fs"), ("abstract", "fd")))} FROM ({_ITEMS})),
+u AS (SELECT *, {_ASKED} AS a FROM f), w AS (SELECT *, list_filter(a, lambda t, i: list_position(a, t) = i)[1:{K.ARCHIVE_WORDS}] AS w FROM u),
+p AS (SELECT *, len(list_filter(w, lambda t: contains(ft, t))) AS nt, len(list_filter(w, lambda t: contains(fu, t))) AS nu, len(list_filter(string_split(ft, ' '), lambda t: t <> '')) AS size FROM w)
+SELECT id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(CAST(greatest(0.0, {_POINTS} + len(list_filter(w, lambda t: {' OR '.join(f'contains({c}, t)' for c in _FOUND.values())})) / len(w) * 12
+  + CASE WHEN len(list_filter(w, lambda t: NOT contains(concat_ws(' ', ft, fu, fs), t))) = 0 THEN 15 ELSE 0 END + CASE WHEN nt >= 2 THEN nt * 3 ELSE 0 END + CASE WHEN nu > 0 THEN 16 + nu * 3 ELSE 0 END + CASE WHEN size > 0 AND nt > 0 THEN nt / size * 20 ELSE 0 END
+  - least(24, len(list_filter([{', '.join(map(repr, K.SECONDARY))}], lambda m: contains(ft, m) AND NOT contains(fq, m))) * 12)) AS DOUBLE), 3) END AS score FROM p""")
+def archive_preranking(spark, d):
+    """Points of an archive's items for queries, before the profile ranks them."""
+    rows = relation(spark, d, _ITEMS)
+    return rows.select("id", K.archive_score(*[text.fold(C(c)) for c in ("query", "title", "author", "topic", "abstract")]).alias("score"))

@@ -51,3 +51,13 @@ def test_ids_run_on(spark):
     got = {r.k: r.id for r in relational.allocate_ids(new, reg, "k", "id").collect()}
     assert got["b"] == 7 and sorted(got.values()) == [7, 8, 9, 10, 11]
     assert got == {r.k: r.id for r in relational.allocate_ids(new.repartition(5), reg, "k", "id").collect()}
+
+
+def test_aliases_of_any_length(spark):
+    from lexmill.operators import understanding
+
+    aliases = [("k", "work", "Critique of the Pure Reason"), ("k", "work", "critique"), ("z", "work", "a title of no fewer than nine words, folded"), ("e", "concept", " - ")]
+    texts = [(1, "On the critique of the pure reason."), (2, "critique"), (3, "See A title of no fewer than nine words folded!"), (4, "pure reason"), (5, ""), (6, None)]
+    got = understanding.detect(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame(aliases, "entity string, kind string, alias string"))
+    assert sorted((r.id, r.entity, r.alias) for r in got.collect()) == [(1, "k", "critique of the pure reason"), (2, "k", "critique"), (3, "z", "a title of no fewer than nine words folded")]
+    assert understanding.detect(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([], "entity string, kind string, alias string")).count() == 0
