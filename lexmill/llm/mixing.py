@@ -9,6 +9,8 @@ A leaf takes whole epochs, then a prefix of one more: its documents in the order
 as their tokens fit. The prefix is one key per leaf: sums per leaf and three hex digits of the key find the digits at
 which the budget ends, and only those few rows are summed one by one, so no leaf is ever sorted in one task.
 
+A weight of 0 anywhere on a leaf's path: nothing of it is taken, and its siblings get what it would have.
+
 Null or missing domain, language, source: as the empty name. Null text: no tokens; a document without tokens is taken
 with its neighbours in the order. Very long texts are counted whole; one that does not fit ends its leaf's prefix. Rows
 with equal ids have equal keys and are taken together. Empty table: no rows. Columns keep their places and values
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +60,8 @@ def _named(docs: DataFrame, domain: Column, lang_col: str, source_col: str) -> l
 
 
 def fill(children: DataFrame, parent: list[str], weight: Column) -> DataFrame:
-    """children(.., cap, budget of the parent) with the share each gets; all of a parent's rows carry its budget."""
-    weighted = children.withColumn("w", weight).filter("w > 0")
+    """children(.., cap, budget of the parent) with the share each gets; weights are positive, all of a parent's rows carry its budget."""
+    weighted = children.withColumn("w", weight)
     ratio = F.col("cap") / F.col("w")
     all_of = W.partitionBy(*parent, F.lit(0))
     # peers of equal capacity over weight are full together, so sums that include them decide alike
@@ -72,15 +75,17 @@ def fill(children: DataFrame, parent: list[str], weight: Column) -> DataFrame:
 
 
 def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
-    """LEVELS, tokens, share of every leaf. leaves: LEVELS, tokens."""
-    capped = leaves.filter("tokens > 0").withColumn("cap", F.col("tokens") * plan.max_epochs)
+    """LEVELS, tokens, share of every leaf that can be given any: a weight of 0 on its path takes its tokens out of every
+    node's capacity, though not out of what the budget is a percentage of. leaves: LEVELS, tokens."""
+    wanted = reduce(Column.__and__, [plan.weight(i) > 0 for i in range(len(LEVELS))])
+    every = leaves.withColumn("every", F.sum("tokens").over(W.partitionBy(F.lit(0))))
+    capped = every.filter((F.col("tokens") > 0) & wanted).withColumn("cap", F.col("tokens") * plan.max_epochs)
     out = None
     for i in range(len(LEVELS)):
         keys = list(LEVELS[: i + 1])
-        nodes = capped.groupBy(*keys).agg(F.sum("cap").cast("long").alias("cap"), F.sum("tokens").cast("long").alias("tokens"))
+        nodes = capped.groupBy(*keys).agg(F.sum("cap").cast("long").alias("cap"), F.sum("tokens").cast("long").alias("tokens"), F.first("every").alias("every"))
         if out is None:
-            total = F.floor(F.sum("tokens").over(W.partitionBy(F.lit(0))) * plan.budget_percent / 100)
-            nodes = nodes.withColumn("budget", total.cast("long"))
+            nodes = nodes.withColumn("budget", F.floor(F.col("every") * plan.budget_percent / 100).cast("long"))
         else:
             nodes = nodes.join(out.select(*keys[:-1], F.col("share").alias("budget")), keys[:-1])
         out = fill(nodes, keys[:-1], plan.weight(i))

@@ -25,8 +25,9 @@ WITH d AS (
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
   FROM documents),
-leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {plan.max_epochs} AS BIGINT) AS cap FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
-{level("l1", f"SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(floor(sum(tokens) * {plan.budget_percent} / 100) AS BIGINT) FROM leaf) AS budget FROM leaf GROUP BY domain", "", weight(plan.domains, "domain"))},
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {plan.max_epochs} AS BIGINT) AS cap FROM d
+  WHERE {weight(plan.domains, "domain")} > 0 AND {weight(plan.languages, "lang")} > 0 AND {weight(plan.sources, "source")} > 0 GROUP BY ALL HAVING sum(n_tokens) > 0),
+{level("l1", f"SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(floor(sum(n_tokens) * {plan.budget_percent} / 100) AS BIGINT) FROM d) AS budget FROM leaf GROUP BY domain", "", weight(plan.domains, "domain"))},
 {level("l2", "SELECT n.*, p.share AS budget FROM (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaf GROUP BY ALL) n JOIN l1 p USING (domain)", "domain", weight(plan.languages, "lang"))},
 {level("l3", "SELECT n.*, p.share AS budget FROM leaf n JOIN l2 p USING (domain, lang)", "domain, lang", weight(plan.sources, "source"))},
 e AS (SELECT d.*, md5('{plan.seed}:' || CAST(coalesce(l3.share // l3.tokens, 0) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS k FROM d LEFT JOIN l3 USING (domain, lang, source)),

@@ -211,7 +211,7 @@ def test_first_fit_equals_a_scan(sizes):
         assert at == n
 
 
-@pytest.mark.parametrize("plan", [queries.MIX, M.Plan(domains={"d0": 90, "d1": 1}, languages={"fr": 70}, budget_percent=160, max_epochs=2), M.Plan(budget_percent=7, seed=3)])
+@pytest.mark.parametrize("plan", [queries.MIX, M.Plan(domains={"d0": 90, "d1": 1}, languages={"fr": 70}, budget_percent=160, max_epochs=2), M.Plan(budget_percent=7, seed=3), M.Plan(domains={"d1": 0}, languages={"fr": 0, "en": 3}, sources={"src0": 0}, budget_percent=90, max_epochs=1)])
 def test_mixing_equals_sql(spark, plan):
     from lexmill.llm.oracles import mixing_sql
 
@@ -230,6 +230,19 @@ def test_mixing_shortage_goes_to_siblings_first(spark):
     assert shares[("b", "x", "1")] == 1000 and abs(sum(shares.values()) - 2709) <= 2
 
 
+def test_tokens_of_weight_zero_hold_nobody_down(spark):
+    """a has 10 wanted tokens beside 100 unwanted ones: b takes what a cannot."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "w " * 10, "en", "x", "a"), *[(10 + i, "w " * 10, "fr", "x", "a") for i in range(10)], *[(30 + i, "w " * 10, "en", "x", "b") for i in range(10)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, d string")
+    plan = M.Plan(domains={"a": 1, "b": 1}, languages={"fr": 0}, budget_percent=50, max_epochs=1)  # 105 of 210 tokens
+    taken = [r for r in M.plan_mix(docs, plan, F.col("d")).collect() if r.copies]
+    assert {r.lang for r in taken} == {"en"} and sum(r.n_tokens for r in taken if r.domain == "a") == 10 and sum(r.n_tokens for r in taken if r.domain == "b") == 90
+    nothing = M.Plan(domains={"a": 0, "b": 0}, budget_percent=50)
+    assert all(r.copies == 0 for r in M.plan_mix(docs, nothing, F.col("d")).collect()) and M.mix(docs, nothing, F.col("d")).count() == 0
+
+
 def test_mixing_awkward(spark):
     planned = {r.doc_id: r.copies for r in M.plan_mix(awkward(spark), queries.MIX, queries.domain()).collect()}
     assert len(planned) == len({r[0] for r in awkward_rows()})
