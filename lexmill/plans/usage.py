@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from lexmill.operators.merge import shared_folder
 from lexmill.session import table
 from lexmill.streaming import events as S
+from lexmill.streaming import merges
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,24 +63,42 @@ def sanitised_log(spark, d):
     return S.sanitised(table(spark, d, "events"), ["click", "view", "purchase"])
 
 
+def _event_stream(spark, d):
+    """The events' files as a stream."""
+    source = table(spark, d, "events")
+    path = f"{d}/events.parquet"
+    folder = path if len(source.inputFiles()) > 1 else d
+    return spark.readStream.schema(source.schema).option("pathGlobFilter", "*" if folder == path else "events.parquet").parquet(folder)
+
+
+#: Answers of providers to searches, in runs of which the last of a search counts.
+_ANSWERS = "SELECT user_id % 200 AS search, CAST(event_id % 3 AS INT) AS run, event_type AS provider, concat('r', CAST(event_id % 23 AS STRING)) AS result, value AS score, event_id, ts FROM events"
+
+
+@query(f"""
+WITH a AS ({_ANSWERS}), l AS (SELECT search, max(run) AS run FROM a GROUP BY search),
+b AS (SELECT search, run, result, provider, max(CAST(round(score * 1000000) AS BIGINT)) AS best, min(event_id) AS first_id FROM a JOIN l USING (search, run) GROUP BY ALL),
+m AS (SELECT search, run, result, count(*) AS providers, sum(best) AS points, min(first_id) AS first_id FROM b GROUP BY ALL)
+SELECT search, run, row_number() OVER (PARTITION BY search ORDER BY providers DESC, points DESC, result) AS place, result, providers, points / 1000000 AS score, first_id FROM m QUALIFY place <= 10""")
+def streaming_ranks(spark, d):
+    """Answers merged and ranked by a stateful stream over the events' files: what the batch form gives."""
+    stream = _event_stream(spark, d)
+    stream.createOrReplaceTempView(name := f"answers_{uuid.uuid4().hex}")
+    answers = spark.sql(_ANSWERS.replace("FROM events", f"FROM {name}")).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{shared_folder(spark)}/{name}"
+    merges.merge_stream(answers, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    spark.catalog.dropTempView(name)
+    return merges.latest(spark, f"{folder}/table").select("search", "run", "place", "result", "providers", "score", "first_id")
+
+
 @query("""
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT * FROM events) GROUP BY ALL""")
 def streaming_tumbling(spark, d):
     """The tumbling counts by Structured Streaming over the events' files, run to their end, into a table."""
-    source = table(spark, d, "events")
-    path = f"{d}/events.parquet"
-    folder = path if len(source.inputFiles()) > 1 else d
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*" if folder == path else "events.parquet").parquet(folder)
-    zoned = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    zoned = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"tumbling_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    checkpoint = f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lexmill-stream-")
-    run = S.stream_tumbling(zoned, "1 day", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = S.stream_tumbling(zoned, "1 day", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
-    if not shared:
-        shutil.rmtree(checkpoint, ignore_errors=True)
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
