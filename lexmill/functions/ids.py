@@ -17,6 +17,17 @@ def orcid(x: Column) -> Column:
     return F.nullif(F.upper(F.regexp_extract(F.coalesce(x, F.lit("")), r"([0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9Xx])", 1)), F.lit(""))
 
 
+def openalex(x: Column) -> Column:
+    """Letter and number of a work, author, source, institution, concept, publisher, funder or topic id, with or without its address; null otherwise."""
+    return F.nullif(F.regexp_extract(F.upper(F.trim(F.coalesce(x, F.lit("")))), r"^(?:HTTPS?://(?:API\.|EXPLORE\.)?OPENALEX\.ORG/(?:[A-Z]+/)?|OPENALEX:)?([WASICPFT][0-9]+)$", 1), F.lit(""))
+
+
+def handle(x: Column) -> Column:
+    """Prefix and suffix of a repository handle, from its address or bare, in lower case without a trailing slash; null otherwise."""
+    bare = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    return F.nullif(F.regexp_extract(bare, r"^(?:https?://[^/]+/(?:[a-z0-9_-]+/)*?(?:handle/)?|hdl:|handle:)?([0-9]+(?:\.[0-9a-z.]+)?/[^\s/?#]+)/?(?:[?#].*)?$", 1), F.lit(""))
+
+
 def isbn(x: Column) -> Column:
     """Ten or thirteen digits; null otherwise."""
     bare = F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9Xx]", ""))

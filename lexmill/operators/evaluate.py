@@ -11,7 +11,9 @@ def ranking_metrics(run: DataFrame, judgments: DataFrame, k: int = 10) -> DataFr
     """Per query_id: judged, precision, recall, ndcg, mrr at k, precision at 5, judged share of the first k. run(query_id, id, rank), judgments(query_id, id, grade).
 
     Precision, recall, nDCG and MRR are null unless every row of the first k is judged. Gain 2^g - 1, discount log2(rank + 1).
+    Where judgments have a `discipline` of 0 to 2, discipline_precision is the share of the first k that are wholly of it.
     """
+    core = F.col("discipline") == 2 if "discipline" in judgments.columns else None
     joined = run.filter(F.col("rank") <= k).join(judgments, ["query_id", "id"], "left")
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1)
     ideal = judgments.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "id")))
@@ -20,13 +22,14 @@ def ranking_metrics(run: DataFrame, judgments: DataFrame, k: int = 10) -> DataFr
     per = joined.groupBy("query_id").agg(
         F.count("*").alias("depth"), F.count("grade").alias("judged"), F.count(F.when(relevant, 1)).alias("hits"),
         F.coalesce(F.sum(gain(F.col("grade"), F.col("rank"))), F.lit(0.0)).alias("dcg"), F.min(F.when(relevant, F.col("rank"))).alias("first"),
-        F.count(F.when(relevant & (F.col("rank") <= 5), 1)).alias("hits5"),
+        F.count(F.when(relevant & (F.col("rank") <= 5), 1)).alias("hits5"), *([F.count(F.when(core, 1)).alias("core")] if core is not None else []),
     ).join(best, "query_id", "left")
     full = F.col("judged") == F.col("depth")
     return per.select(
         "query_id", "judged", F.when(full, F.col("hits") / k).alias("precision"), F.when(full & (F.col("relevant") > 0), F.col("hits") / F.col("relevant")).alias("recall"),
         F.when(full & (F.col("idcg") > 0), F.col("dcg") / F.col("idcg")).alias("ndcg"), F.when(full, F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
         F.when(full, F.col("hits5") / 5).alias("precision5"), (F.col("judged") / F.col("depth")).alias("coverage"),
+        *([F.when(full, F.col("core") / F.col("depth")).alias("discipline_precision")] if core is not None else []),
     )
 
 

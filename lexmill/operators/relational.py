@@ -96,20 +96,49 @@ def keep_previous(new: DataFrame, previous: DataFrame, source: str) -> DataFrame
     return new.unionByName(previous.join(new.select(source).distinct(), source, "left_anti"))
 
 
-def allocate_ids(groups: DataFrame, registry: DataFrame, key: str, id_col: str, parts: int = 64) -> DataFrame:
-    """Registered ids stay; new keys get the following numbers in the order of their hash buckets and keys.
+#: Keys that one part of an allocation numbers.
+PART_KEYS = 200_000
 
-    Numbers run through: bucket sizes are summed first, and only then are keys numbered within their bucket.
+
+def allocate_ids(groups: DataFrame, registry: DataFrame, key: str, id_col: str, part_keys: int = PART_KEYS) -> DataFrame:
+    """Registered ids stay; new keys get the following numbers in the order of the MD5 of their text, then of the keys.
+
+    The new keys are counted and cut by their hash into parts of about `part_keys`; part sizes are summed first, and only
+    then are keys numbered within their part, so numbers run through without one task that sorts all of them.
     """
     top = registry.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    fresh = groups.select(key).distinct().join(registry, key, "left_anti").withColumn("_b", F.pmod(F.xxhash64(key), F.lit(parts)))
+    fresh = groups.select(key).filter(F.col(key).isNotNull()).distinct().join(registry, key, "left_anti").withColumn("_h", F.md5(F.col(key).cast("string")))
+    parts = max(1, -(-fresh.count() // part_keys))
+    fresh = fresh.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(parts) / F.lit(2**32)))
     sizes = fresh.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
-    numbered = fresh.join(F.broadcast(before), "_b").crossJoin(F.broadcast(top))  # one row, and at most `parts` rows
-    place = F.row_number().over(W.partitionBy("_b").orderBy(key))
+    before = sizes.select("_b", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))  # a row a part
+    numbered = fresh.join(before, "_b").crossJoin(F.broadcast(top))  # one row
+    place = F.row_number().over(W.partitionBy("_b").orderBy("_h", key))
     return registry.select(key, id_col).unionByName(numbered.select(key, (F.col("_top") + F.col("_before") + place).cast("long").alias(id_col)))
 
 
+# By how much a new snapshot may have fewer or more rows of a group than the last one, in percent.
+SHRINK, GROW = 10, 50
+
+
+def snapshot_problems(new: DataFrame, old: DataFrame, key: str, required: Sequence[str], group: Column, shrink: int = SHRINK, grow: int = GROW) -> DataFrame:
+    """rule, subject, n: what forbids publishing a snapshot; no rows if nothing does.
+
+    Keys that repeat, required fields that are null or blank, and groups that lost more than `shrink` or gained more than
+    `grow` percent of their rows (n is the change), vanished groups included; groups that are new may have any size.
+    """
+    repeated = new.groupBy(F.col(key).cast("string").alias("subject")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated key").alias("rule"), "subject", "n")
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    counts = new.agg(*[F.count(F.when(blank(c), 1)).alias(c) for c in required])
+    missing = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("subject"), F.col(c).alias("n")) for c in required])).alias("m")).select(F.lit("missing field").alias("rule"), "m.subject", "m.n").filter("n > 0")
+    was, now = (df.groupBy(F.coalesce(group.cast("string"), F.lit("")).alias("subject")).agg(F.count("*").alias(n)) for df, n in ((old, "was"), (new, "now")))
+    both = was.join(now, "subject", "left").withColumn("now", F.coalesce("now", F.lit(0)))
+    change = (F.col("now") - F.col("was")).alias("n")
+    shrunk = both.filter(F.col("now") * 100 < F.col("was") * (100 - shrink)).select(F.lit("shrunk").alias("rule"), "subject", change)
+    grown = both.filter(F.col("now") * 100 > F.col("was") * (100 + grow)).select(F.lit("grown").alias("rule"), "subject", change)
+    return repeated.union(missing).union(shrunk).union(grown)
+
+
 def violations(checks: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
     """rule, n_rows, n_violations per check: (table, condition that must hold)."""
     out = None

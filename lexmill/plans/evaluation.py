@@ -69,6 +69,20 @@ def ir_metrics_unjudged(spark, d):
     return _rounded(E.ranking_metrics(_run(spark, d, [F.desc_nulls_last("n_chars"), "doc_id"], False), _judgments(spark, d)))
 
 
+@query(f"""
+WITH g AS (SELECT source AS query_id, l.doc_id AS id, CASE WHEN toxic = 1 THEN 0 ELSE quality + CAST(lang = 'en' AS INT) END AS discipline FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+{_sql_run('a', 'doc_id % 16, doc_id', False)},
+q AS (SELECT r.query_id, count(*) AS depth, count(discipline) AS judged, count(*) FILTER (WHERE discipline = 2) AS core FROM a r LEFT JOIN g ON g.query_id = r.query_id AND g.id = r.id WHERE rank <= 10 GROUP BY r.query_id)
+SELECT left(query_id, 4) AS "group", count(*) AS queries, count(*) FILTER (WHERE judged = depth) AS complete, round(avg(CASE WHEN judged = depth THEN core / depth END), 6) AS discipline_precision, round(avg(judged / depth), 6) AS coverage FROM q GROUP BY ALL""")
+def discipline_precision(spark, d):
+    """Share of the first ten that are wholly of the discipline, where all ten are judged, by kind of query."""
+    labels = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    discipline = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + (F.col("lang") == "en").cast("int")).alias("discipline"))
+    judged = _judgments(spark, d).join(discipline, "id")
+    metrics = E.ranking_metrics(_run(spark, d, [F.col("doc_id") % 16, "doc_id"], False), judged)
+    return E.macro_means(metrics, F.substring("query_id", 1, 4), ["discipline_precision", "coverage"]).select("group", "queries", "complete", F.round("discipline_precision", 6).alias("discipline_precision"), F.round("coverage", 6).alias("coverage"))
+
+
 _MACRO = ("precision5", "precision", "recall", "ndcg", "mrr", "coverage")
 
 

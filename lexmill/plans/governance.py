@@ -95,17 +95,30 @@ def keep_previous_snapshot(spark, d):
 
 
 @query("""
-WITH reg AS (SELECT c_custkey AS k, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
-fresh AS (SELECT DISTINCT o_custkey AS k FROM orders ANTI JOIN reg ON o_custkey = k)
-SELECT (SELECT count(*) FROM reg) + (SELECT count(*) FROM fresh) AS n, (SELECT count(*) FROM reg) + (SELECT count(*) FROM fresh) AS n_ids, CAST(1 AS BIGINT) AS least, CAST((SELECT count(*) FROM reg) + (SELECT count(*) FROM fresh) AS BIGINT) AS most, TRUE AS registered_kept""")
+WITH reg AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
+fresh AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT k FROM reg))
+SELECT k, id FROM reg UNION ALL SELECT k, (SELECT max(id) FROM reg) + row_number() OVER (ORDER BY md5(CAST(k AS VARCHAR)), k) FROM fresh""")
 def stable_id_allocation(spark, d):
+    """A registry made from some customers, and the ids of all that have ordered: old ones stay, new ones follow."""
     reg = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"))
-    # a registry with ids from 1, made here as one made before would be
-    empty = reg.limit(0).select("k", F.lit(0).cast("long").alias("id"))
-    registry = R.allocate_ids(reg, empty, "k", "id")
-    out = R.allocate_ids(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), registry, "k", "id")
-    kept = out.join(registry.withColumnRenamed("id", "was"), "k", "left").withColumn("same", F.coalesce(F.col("was") == F.col("id"), F.lit(True)))
-    return kept.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("least"), F.max("id").alias("most"), F.bool_and("same").alias("registered_kept"))
+    registry = R.allocate_ids(reg, reg.limit(0).select("k", F.lit(0).cast("long").alias("id")), "k", "id", part_keys=500)
+    return R.allocate_ids(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), registry, "k", "id", part_keys=500)
+
+
+@query("""
+WITH old AS (SELECT o_orderkey AS k, o_orderpriority AS g, o_comment AS c FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS o_comment FROM orders) WHERE o_orderkey % 4 > 0),
+new AS (SELECT o_orderkey - CASE WHEN o_orderkey % 640 = 1 THEN 1 ELSE 0 END AS k, o_orderpriority AS g, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS c FROM orders WHERE o_orderpriority <> '3-MEDIUM' AND (o_orderpriority <> '2-HIGH' OR o_orderkey % 2 = 0)),
+w AS (SELECT g, count(*) AS was FROM old GROUP BY g), n AS (SELECT g, count(*) AS now FROM new GROUP BY g), b AS (SELECT w.g, was, coalesce(now, 0) AS now FROM w LEFT JOIN n USING (g))
+SELECT 'repeated key' AS rule, CAST(k AS VARCHAR) AS subject, count(*) AS n FROM new GROUP BY k HAVING count(*) > 1
+UNION ALL SELECT 'missing field', 'c', count(*) FILTER (WHERE c IS NULL OR trim(c) = '') FROM new HAVING count(*) FILTER (WHERE c IS NULL OR trim(c) = '') > 0
+UNION ALL SELECT 'shrunk', g, now - was FROM b WHERE now * 100 < was * 90
+UNION ALL SELECT 'grown', g, now - was FROM b WHERE now * 100 > was * 130""")
+def snapshot_problems(spark, d):
+    """What forbids publishing a snapshot of orders after an older one."""
+    o = table(spark, d, "orders").withColumn("c", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")))
+    old = o.filter("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("g"), "c")
+    new = o.filter("o_orderpriority <> '3-MEDIUM' and (o_orderpriority <> '2-HIGH' or o_orderkey % 2 = 0)").select((F.col("o_orderkey") - F.when(F.col("o_orderkey") % 640 == 1, 1).otherwise(0)).alias("k"), F.col("o_orderpriority").alias("g"), "c")
+    return R.snapshot_problems(new, old, "k", ["k", "c"], F.col("g"), grow=30)
 
 
 @query("""

@@ -139,15 +139,21 @@ def authority_candidates(spark, d):
 
 
 
+#: Saved works of forty people, by several authors, with tags.
+_SAVED = f"SELECT id % 40 AS project, id, title, authors, concat(provider, '; ', CASE id % 3 WHEN 0 THEN 'read; ' WHEN 1 THEN 'later; ' ELSE '' END, 'y', CAST(year % 4 AS STRING)) AS tags FROM ({RECORDS})"
+
+
 @query(f"""
-WITH s AS (SELECT id, provider, list_distinct(string_split({sql_fold("title")}, ' ')) AS t, author, list_distinct([topic, provider]) AS tags FROM ({WORKS}))
-SELECT l.id, r.id AS other, round(CAST(least(1.0, len(list_intersect(l.t, r.t)) / len(list_distinct(list_concat(l.t, r.t))) + CASE WHEN l.author = r.author THEN 0.34 ELSE 0.0 END + least(0.24, len(list_intersect(l.tags, r.tags)) * 0.08)) AS DOUBLE), 6) AS similarity FROM s l JOIN s r ON l.author = r.author AND l.id <> r.id WHERE l.id % 20 = 0""")
+WITH s AS (SELECT project, id, list_distinct(list_filter(string_split({sql_fold("title")}, ' '), lambda t: t <> '')) AS w, list_distinct(list_filter(string_split(lower(authors), '; '), lambda t: t <> '')) AS x, list_distinct(string_split(tags, '; ')) AS t FROM ({_SAVED})),
+p AS (SELECT l.project, l.id AS a, r.id AS b, round(CAST(least(1.0, CASE WHEN len(list_intersect(l.w, r.w)) > 0 THEN len(list_intersect(l.w, r.w)) / len(list_distinct(list_concat(l.w, r.w))) ELSE 0 END
+  + CASE WHEN list_has_any(l.x, r.x) THEN 0.34 ELSE 0.0 END + least(0.24, len(list_intersect(l.t, r.t)) * 0.08)) AS DOUBLE), 6) AS similarity FROM s l JOIN s r ON l.project = r.project AND l.id < r.id)
+SELECT project, a, b, similarity FROM p WHERE similarity >= 0.12 QUALIFY row_number() OVER (PARTITION BY project, a ORDER BY similarity DESC, b) <= 4""")
 def saved_work_similarity(spark, d):
-    """Likeness of saved works (each twentieth) to works of the same author."""
-    s = relation(spark, d, WORKS).select("id", text.token_set(C("title")).alias("t"), "author", F.array_distinct(F.array("topic", "provider")).alias("tags"))
-    pair = s.filter("id % 20 = 0").join(s.select(C("id").alias("other"), C("t").alias("ot"), "author", C("tags").alias("otags")), "author").filter("id <> other")
-    score = F.least(F.lit(1.0), text.jaccard(C("t"), C("ot")) + F.lit(0.34) + F.least(F.lit(0.24), F.size(F.array_intersect("tags", "otags")) * 0.08))
-    return pair.select("id", "other", F.round(score, 6).alias("similarity"))
+    """The four works most alike each saved work, among those saved later in the same project, by any author."""
+    s = relation(spark, d, _SAVED)
+    words = lambda x: F.filter(x, lambda t: t != "")
+    saved = s.select("project", "id", words(text.tokens(C("title"))).alias("words"), words(F.split(F.lower("authors"), "; ")).alias("authors"), F.split("tags", "; ").alias("tags"))
+    return works.saved_similarity(saved, "project", "id")
 
 
 @query(f"""

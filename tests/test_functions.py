@@ -48,6 +48,10 @@ def test_hashes(spark):
 def test_identifiers_and_dates(spark):
     assert one(spark, ids.doi(lit("https://doi.org/10.1000/ABC.1")), ids.doi(lit("doi: 10.1000/x")), ids.doi(lit("11.1/x"))) == ("10.1000/abc.1", "10.1000/x", None)
     assert one(spark, ids.orcid(lit("https://orcid.org/0000-0002-1825-009x")), ids.isbn(lit("978-0-306-40615-7")), ids.isbn(lit("12"))) == ("0000-0002-1825-009X", "9780306406157", None)
+    works = ("https://openalex.org/W123", "w123", " https://api.openalex.org/works/w9 ", "https://explore.openalex.org/authors/A5", "openalex:S1", "W12x", "10.1/W1", None)
+    assert one(spark, *[ids.openalex(lit(x).cast("string")) for x in works]) == ("W123", "W123", "W9", "A5", "S1", None, None, None)
+    handles = ("http://repo.example.edu/handle/20.500.12059/123", "HDL:10486/7788", "20.500.12059/123/", "https://hdl.handle.net/10486/77?show=full", "https://repo.example/xmlui/handle/123456789/4", "https://example.org/about", None)
+    assert one(spark, *[ids.handle(lit(x).cast("string")) for x in handles]) == ("20.500.12059/123", "10486/7788", "20.500.12059/123", "10486/77", "123456789/4", None, None)
     assert one(spark, ids.year(lit("c. 1987, repr.")), ids.year(lit("123456"))) == (1987, None)
     date = lambda x: tuple(one(spark, ids.partial_date(lit(x), 2025))[0])
     assert date("1999-05-07") == ("1999-05-07", "day", "valid")
