@@ -19,8 +19,13 @@ Q = K.Understood(
     area_terms=(("economy", "promo"),), domain_terms=(("ring", "gear"),),
 )
 
+#: The works, some with titles of fourteen words and more; what was asked for, the original first.
+_LONG = f"""
+SELECT id, concat(title, CASE id % 5 WHEN 0 THEN ' or what the old masters said about the many sides of one matter and its long history until today' WHEN 1 THEN ' and how several readers took it up again after' ELSE '' END) AS title, author, year, doi, provider, citations, abstract, topic
+FROM ({WORKS})"""
+ASKED = (Q.original, *(x for x, _ in Q.expansions))
 _ROWS = f"""
-SELECT *, list_distinct(string_split(ft, ' ')) AS t, {sql_fold("abstract")} AS fa, {sql_fold("topic")} AS fp, {sql_fold("author")} AS fu FROM (SELECT *, {sql_fold("title")} AS ft FROM ({WORKS}))"""
+SELECT *, list_distinct(string_split(ft, ' ')) AS t, {sql_fold("abstract")} AS fa, {sql_fold("topic")} AS fp, {sql_fold("author")} AS fu FROM (SELECT *, {sql_fold("title")} AS ft FROM ({_LONG}))"""
 
 
 def _cov(words: str, t: str = "t") -> str:
@@ -50,7 +55,7 @@ _SQL_D = "least(1.0, greatest(0.0, 0.15 + (topics + journal + person + 0.0 + 0.0
 
 
 def _rows(spark, d):
-    rows = relation(spark, d, WORKS).withColumn("ft", text.fold(C("title"))).withColumn("t", F.array_distinct(F.split("ft", " ")))
+    rows = relation(spark, d, _LONG).withColumn("ft", text.fold(C("title"))).withColumn("t", F.array_distinct(F.split("ft", " ")))
     return rows.withColumn("fa", text.fold(C("abstract"))).withColumn("fp", text.fold(C("topic"))).withColumn("fu", text.fold(C("author")))
 
 
@@ -89,24 +94,29 @@ def rank_adjustments(spark, d):
 
 _AUTHOR = "author brand 1 2"
 _SQL_TOTAL = f"""
-SELECT id, author_tier, score, CASE WHEN score >= 85 THEN 'P1' WHEN score >= 65 THEN 'P2' WHEN score >= 40 THEN 'P3' ELSE 'P4' END AS level FROM (
+WITH r AS MATERIALIZED ({_ROWS}) SELECT id, author_tier, score, CASE WHEN score >= 85 THEN 'P1' WHEN score >= 65 THEN 'P2' WHEN score >= 40 THEN 'P3' ELSE 'P4' END AS level FROM (
   SELECT id, author_tier, greatest(least(100, greatest(0, base + CAST(floor(cov * 4 + CASE provider WHEN 'journals' THEN 5 WHEN 'archive' THEN 3 ELSE CASE WHEN cov < 0.5 THEN -2 ELSE 0 END END) AS INT))), CASE author_tier WHEN 3 THEN 95 WHEN 2 THEN 90 ELSE 0 END) AS score FROM (
     SELECT id, provider, cov, CASE WHEN len(list_intersect(string_split('{_AUTHOR}', ' '), u)) = 4 THEN CASE WHEN len(u) = 4 THEN 3 ELSE 2 END ELSE 0 END AS author_tier,
-      CAST(greatest(0, least(100, round((CAST({_SQL_Q} AS DOUBLE) * 0.28 + CAST({_SQL_P} AS DOUBLE) * 0.3 + CAST({_SQL_D} AS DOUBLE) * 0.2 + (0.75 * least(1.0, 0.2 + 0.25 * 0) + 0.25 * least(1.0, 0.5 * 0)) * 0.1 + CAST(CASE WHEN doi IS NOT NULL THEN 0.35 ELSE 0.0 END + 0.2 AS DOUBLE) * 0.08 + least(1.0, greatest(0.0, log10(citations + 1) / 4)) * 0.04) * 100, 0))) AS INT) AS base
-    FROM (SELECT *, {_cov(Q.original)} AS cov, list_distinct(string_split(fu, ' ')) AS u, {_SQL_PARTS} FROM ({_ROWS}))))"""
+      CAST(greatest(0, least(100, round((CAST({_SQL_Q} AS DOUBLE) * 0.28 + CAST({_SQL_P} AS DOUBLE) * 0.3 + CAST({_SQL_D} AS DOUBLE) * 0.2 + (0.75 * least(1.0, 0.2 + 0.25 * (asked_by - 1)) + 0.25 * least(1.0, 0.5 * (found_by - 1))) * 0.1 + CAST(CASE WHEN doi IS NOT NULL THEN 0.35 ELSE 0.0 END + 0.2 AS DOUBLE) * 0.08 + least(1.0, greatest(0.0, log10(citations + 1) / 4)) * 0.04
+        - CASE WHEN len(t) >= 20 THEN 0.05 ELSE 0.0 END - CASE WHEN len(t) >= 14 AND cov < 1 THEN 0.1 ELSE 0.0 END) * 100, 0))) AS INT) AS base
+    FROM (SELECT *, greatest(1, {' + '.join(f"CAST({_cov(x)} >= 0.5 AS INT)" for x in ASKED)}) AS asked_by, (SELECT count(DISTINCT provider) FROM r AS o WHERE o.ft = r.ft) AS found_by, {_cov(Q.original)} AS cov, list_distinct(string_split(fu, ' ')) AS u, {_SQL_PARTS} FROM r)))"""
 
 
 def _totals(spark, d):
-    one = F.lit(1)
+    """S counts the providers that have a title and the expansions that it answers by half; long titles that cover little lose."""
+    rows = _rows(spark, d)
+    rows = rows.join(rows.groupBy("ft").agg(F.countDistinct("provider").alias("found_by")), "ft")
+    asked_by = F.greatest(F.lit(1), sum(((K.covered(x, C("t")) >= 0.5).cast("int") for x in ASKED), F.lit(0)))
+    cover = K.covered(Q.original, C("t"))
     parts = {
-        "q": K.query_match(C("ft"), C("t"), Q), "p": K.domain_match(C("ft"), C("t"), C("fp"), Q), "d": _discipline(), "s": scoring.consensus(one, one),
+        "q": K.query_match(C("ft"), C("t"), Q), "p": K.domain_match(C("ft"), C("t"), C("fp"), Q), "d": _discipline(), "s": scoring.consensus(asked_by, C("found_by")),
         "b": scoring.completeness({"doi": (0.35, C("doi").isNotNull()), "abstract": (0.2, C("abstract").isNotNull())}), "i": scoring.impact(C("citations")),
     }
-    base = scoring.total(parts, K.WEIGHTS, F.lit(0.0))
-    points = F.floor(K.source_adjustment(K.covered(Q.original, C("t")), F.array("provider"), "journals", "archive", "registry")).cast("int")
+    base = scoring.total(parts, K.WEIGHTS, scoring.dispersion_penalty(F.size("t"), cover))
+    points = F.floor(K.source_adjustment(cover, F.array("provider"), "journals", "archive", "registry")).cast("int")
     tier = K.author_tier(F.array_distinct(F.split("fu", " ")), _AUTHOR)
     score = K.with_author_floor(F.greatest(F.lit(0), F.least(F.lit(100), base + points)), tier)
-    return _rows(spark, d).select("id", tier.alias("author_tier"), score.alias("score")).withColumn("level", scoring.level(C("score")))
+    return rows.select("id", tier.alias("author_tier"), score.alias("score")).withColumn("level", scoring.level(C("score")))
 
 
 @query(_SQL_TOTAL)
