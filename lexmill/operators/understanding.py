@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from lexmill.functions import text
+from lexmill.functions import ranking, text
 
 
 def detect(queries: DataFrame, id_col: str, text_col: str, aliases: DataFrame) -> DataFrame:
@@ -49,3 +51,37 @@ def expansions(queries: DataFrame, detected: DataFrame, translations: DataFrame,
     rows = original.unionByName(made)
     best = rows.groupBy("id", "query").agg(F.max_by(F.struct("kind", "weight"), F.struct(F.col("weight"), F.col("kind"))).alias("b")).select("id", "query", "b.kind", "b.weight")
     return best.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "query"))).filter(F.col("_r") <= most).drop("_r")
+
+
+def understood(queries: DataFrame, aliases: DataFrame, areas: DataFrame, translations: DataFrame, weights: dict[str, float], most: int = 6) -> DataFrame:
+    """One row per query (id, query) with all that a ranking needs to know of it, from tables alone.
+
+    original: folded; expansions: (query, weight), best first, the original not among them; persons and concepts: all
+    folded aliases of each detected entity of that kind, entities in order; works: the aliases of detected works; areas:
+    (area, confidence, terms), terms being the folded aliases of the area's own entities of kind `area`. Nothing
+    detected: empty arrays.
+    """
+    found = detect(queries, "id", "query", aliases)
+    names = aliases.select("entity", "kind", text.fold(F.col("alias")).alias("alias")).filter("alias <> ''").groupBy("entity").agg(F.array_sort(F.collect_set("alias")).alias("names"), F.min("kind").alias("of"))
+    known = found.select("id", "entity", "kind").join(names.select("entity", "names"), "entity")
+    of_kind = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("entity", "names")))), lambda x: x["names"])
+    entities = known.groupBy("id").agg(of_kind("person").alias("persons"), of_kind("concept").alias("concepts"), F.array_sort(F.array_distinct(F.flatten(of_kind("work")))).alias("works"))
+    wider = expansions(queries, found, translations, most + 1).filter("kind <> 'original'")
+    other = wider.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "query"))), 1, most).alias("e")).select("id", F.transform("e", lambda x: F.struct(x["query"].alias("query"), (-x["w"]).alias("weight"))).alias("expansions"))
+    terms = areas.join(names.filter("of = 'area'"), "entity").groupBy("area").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("terms"))
+    inferred = infer_areas(found, areas, weights).join(terms, "area", "left")
+    none = F.array().cast("array<string>")
+    by_area = inferred.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("area", "confidence", F.coalesce("terms", none).alias("terms")))).alias("areas"))
+    out = queries.select("id", text.fold(F.col("query")).alias("original"))
+    for part in (other, entities, by_area):
+        out = out.join(part, "id", "left")
+    empty = {"expansions": "array<struct<query: string, weight: double>>", "persons": "array<array<string>>", "concepts": "array<array<string>>", "works": "array<string>", "areas": "array<struct<area: string, confidence: double, terms: array<string>>>"}
+    return out.select("id", "original", *[F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c, kind in empty.items()])
+
+
+def as_understood(row: Row, area_terms: Sequence[Sequence[str]] = (), domain_terms: Sequence[Sequence[str]] = ()) -> ranking.Understood:
+    """A row of `understood` as the ranking profile takes it."""
+    return ranking.Understood(
+        original=row.original, expansions=tuple((e.query, e.weight) for e in row.expansions), persons=tuple(map(tuple, row.persons)), concepts=tuple(map(tuple, row.concepts)), works=tuple(row.works),
+        areas=tuple((tuple(a.terms), a.confidence) for a in row.areas if a.terms), area_terms=tuple(map(tuple, area_terms)), domain_terms=tuple(map(tuple, domain_terms)),
+    )

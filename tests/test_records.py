@@ -61,3 +61,23 @@ def test_aliases_of_any_length(spark):
     got = understanding.detect(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame(aliases, "entity string, kind string, alias string"))
     assert sorted((r.id, r.entity, r.alias) for r in got.collect()) == [(1, "k", "critique of the pure reason"), (2, "k", "critique"), (3, "z", "a title of no fewer than nine words folded")]
     assert understanding.detect(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([], "entity string, kind string, alias string")).count() == 0
+
+
+def test_understood_from_tables_ranks_as_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.functions import ranking
+    from lexmill.operators import understanding
+
+    make = spark.createDataFrame
+    aliases = [("kant", "person", "Kant"), ("kant", "person", "Immanuel Kant"), ("duty", "concept", "duty"), ("duty", "concept", "Pflicht"), ("cpr", "work", "Critique of the Pure Reason"), ("eth", "area", "ethics"), ("eth", "area", "moral philosophy")]
+    args = make(aliases, "entity string, kind string, alias string"), make([("kant", "E"), ("duty", "E"), ("eth", "E")], "entity string, area string"), make([("duty", "deber", 0.9), ("duty", "Pflicht", 0.9)], "entity string, label string, weight double")
+    rows = understanding.understood(make([(1, "Kant on duty and the critique of the pure reason"), (2, "nothing"), (3, None)], "id long, query string"), *args, {"area": 1.0, "concept": 0.55, "person": 0.15})
+    got = {r.id: understanding.as_understood(r) for r in rows.collect()}
+    want = ranking.Understood(
+        original="kant on duty and the critique of the pure reason", expansions=(("kant on deber and the critique of the pure reason", 0.9), ("kant on pflicht and the critique of the pure reason", 0.9)),
+        persons=(("immanuel kant", "kant"),), concepts=(("duty", "pflicht"),), works=("critique of the pure reason",), areas=((("ethics", "moral philosophy"), 0.7),),
+    )
+    assert got[1] == want and got[2] == ranking.Understood(original="nothing") and got[3] == ranking.Understood(original="")
+    titles = make([("kant on duty",), ("the critique of the pure reason",), ("soul",)], "t string").withColumn("w", F.split("t", " "))
+    assert titles.select(ranking.query_match(F.col("t"), F.col("w"), got[1])).collect() == titles.select(ranking.query_match(F.col("t"), F.col("w"), want)).collect()
