@@ -146,3 +146,14 @@ def violations(checks: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
         row = df.agg(F.lit(name).alias("rule"), F.count("*").alias("n_rows"), F.count(F.when(~F.coalesce(holds, F.lit(False)), 1)).alias("n_violations"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+#: Rows of a small table that every row of another meets, by a broadcast.
+SMALL_ROWS = 1_000
+
+
+def join_rows(df: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of df with every row of a table of at most SMALL_ROWS rows, which are counted first; ValueError beyond."""
+    if few.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError(f"a table of more than {SMALL_ROWS} rows is no small table")
+    return df.crossJoin(F.broadcast(few))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmill.functions import ids, text
-from lexmill.operators import layout
+from lexmill.operators import curation, layout
 from lexmill.plans.inputs import WORKS, registry, relation
 from lexmill.session import table
 
@@ -103,10 +103,9 @@ _EXPANSIONS = (("small ring", 1.0), ("large gear", 0.9), ("promo bolt", 0.5))
 WITH e(q, weight) AS (VALUES {', '.join(f"('{q}', {w})" for q, w in _EXPANSIONS)}), s AS (SELECT DISTINCT provider FROM ({WORKS}))
 SELECT q, CAST(weight AS DOUBLE) AS weight, provider, (SELECT count(*) FROM ({WORKS}) w WHERE w.provider = s.provider AND contains(w.title, q)) AS hits FROM e, s""")
 def expansion_sources(spark, d):
-    """Every expansion asked of every source: a few rows each, broadcast, then one pass over the works."""
-    rows = relation(spark, d, WORKS).select("provider", "title")
-    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(w).alias("weight")) for q, w in _EXPANSIONS])).alias("e")
-    return rows.select("provider", "title", asked).groupBy("e.q", "e.weight", "provider").agg(F.count(F.when(C("title").contains(C("e.q")), 1)).alias("hits"))
+    """Every expansion asked of every source."""
+    asked = spark.createDataFrame(_EXPANSIONS, "query string, weight double")
+    return curation.source_hits(relation(spark, d, WORKS), "provider", C("title"), asked).withColumnRenamed("query", "q")
 
 
 _RELATED = "SELECT l_orderkey AS seed, l_partkey AS target, l_quantity AS score FROM lineitem"
@@ -136,8 +135,9 @@ def keyword_evidence(spark, d):
 WITH w AS (SELECT id, author, topic FROM ({WORKS})) SELECT id, CAST(CASE WHEN topic IN ('economy', 'promo') THEN 1 ELSE 0 END AS INT) AS concept_overlap FROM w WHERE author IN ('Author Brand#1 1', 'Author Brand#2 2', 'Author Brand#3 0')""")
 def canonical_works(spark, d):
     """Works of the query's persons, and whether they share one of its concepts."""
-    persons, concepts = ("Author Brand#1 1", "Author Brand#2 2", "Author Brand#3 0"), ("economy", "promo")
-    return relation(spark, d, WORKS).filter(C("author").isin(*persons)).select("id", F.when(C("topic").isin(*concepts), 1).otherwise(0).alias("concept_overlap"))
+    persons = spark.createDataFrame([(x,) for x in ("Author Brand#1 1", "Author Brand#2 2", "Author Brand#3 0")], "person string")
+    concepts = spark.createDataFrame([("economy",), ("promo",)], "concept string")
+    return curation.related_canon(relation(spark, d, WORKS).select("id", "author", "topic"), "author", "topic", persons, concepts).select("id", "concept_overlap")
 
 
 _RUNS = "SELECT event_id, user_id, event_type AS provider, value, CAST(event_id % 5 AS INT) AS run FROM events"
@@ -255,8 +255,8 @@ _ROLES = "SELECT l_orderkey AS work, concat('person ', CAST(l_suppkey % 9 AS STR
 @query(f"SELECT work, name, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(DISTINCT role) > 1 AS collision FROM ({_ROLES}) GROUP BY work, name")
 def contribution_roles(spark, d):
     """Contributions once a role and name, and names that are both author and supervisor."""
-    roles = F.array_sort(F.collect_set("role"))
-    return relation(spark, d, _ROLES).groupBy("work", "name").agg(F.array_join(roles, ",").alias("roles"), (F.size(roles) > 1).alias("collision"))
+    found = curation.contributions(relation(spark, d, _ROLES), "work", C("name"), "role")
+    return found.withColumn("roles", F.array_join("roles", ","))
 
 
 @query(f"""
@@ -264,11 +264,8 @@ SELECT id, CASE WHEN score > 0 THEN variant ELSE 'first' END AS variant, score F
   SELECT id, 'title' AS variant, CAST(contains(title, 'studies') AS INT) * 2 + CAST(contains(title, 'vol') AS INT) AS score, length(title) AS n FROM ({WORKS}) UNION ALL SELECT id, 'abstract', CAST(contains(abstract, 'economy') AS INT) * 2, length(abstract) FROM ({WORKS}))) WHERE r = 1""")
 def record_variants(spark, d):
     """The variant with the best hint score, then the longest; the first where none has a hint."""
-    hint = lambda c, word, n: C(c).contains(word).cast("int") * n
-    title, abstract = hint("title", "studies", 2) + hint("title", "vol", 1), hint("abstract", "economy", 2)
-    variants = F.array(*[F.struct((-s).alias("s"), (-F.length(v)).alias("n"), F.lit(v).alias("v")) for v, s in (("title", title), ("abstract", abstract))])
-    best = F.array_min(variants)
-    return relation(spark, d, WORKS).select("id", F.when(best["s"] < 0, best["v"]).otherwise("first").alias("variant"), (-best["s"]).alias("score"))
+    hints = {"title": (("studies", 2), ("vol", 1)), "abstract": (("economy", 2),)}
+    return curation.best_variant(relation(spark, d, WORKS), "id", {"title": C("title"), "abstract": C("abstract")}, hints)
 
 
 _ISSUES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN concat('vol ', CAST(o_custkey % 12 AS STRING)) END AS issue, CAST(year(o_orderdate) AS INT) AS y FROM orders"
@@ -277,8 +274,7 @@ _ISSUES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN concat('vo
 @query(f"SELECT issue, count(*) AS n, max(y) AS newest, CAST(row_number() OVER (ORDER BY issue IS NULL, max(y) DESC, count(*) DESC, issue) AS INT) AS place FROM ({_ISSUES}) GROUP BY issue")
 def issue_groups(spark, d):
     """Issues in the order of a catalogue: identified ones first, newest first. One row an issue, so the window is small."""
-    per = relation(spark, d, _ISSUES).groupBy("issue").agg(F.count("*").alias("n"), F.max("y").alias("newest"))
-    return per.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(C("issue").isNull(), F.desc("newest"), F.desc("n"), "issue")))
+    return curation.issue_order(relation(spark, d, _ISSUES), "issue", "y")
 
 
 _TOPIC_RULES = ((r"\beconomy\b", "economics"), (r"\b(promo|standard)\b", "trade"), ("gear|bolt", "machines"), (r"\bring\b", "jewels"))
@@ -288,18 +284,18 @@ _TOPIC_RULES = ((r"\beconomy\b", "economics"), (r"\b(promo|standard)\b", "trade"
 SELECT id, CASE WHEN id % 9 = 0 THEN 'editorial' WHEN len(l) > 0 THEN 'derived' ELSE 'none' END AS provenance, CASE WHEN id % 9 = 0 THEN topic ELSE array_to_string(l, ',') END AS labels FROM (SELECT id, topic, list_filter([{', '.join(f"CASE WHEN regexp_matches(title, '{r}') THEN '{x}' END" for r, x in _TOPIC_RULES)}], lambda x: x IS NOT NULL) AS l FROM ({WORKS}))""")
 def topic_rules(spark, d):
     """Labels by ordered patterns, the first eight; editorial ones prevail."""
-    labels = F.slice(F.array_compact(F.array(*[F.when(C("title").rlike(r), x) for r, x in _TOPIC_RULES])), 1, 8)
-    editorial = C("id") % 9 == 0
-    return relation(spark, d, WORKS).select("id", F.when(editorial, "editorial").when(F.size(labels) > 0, "derived").otherwise("none").alias("provenance"), F.when(editorial, C("topic")).otherwise(F.array_join(labels, ",")).alias("labels"))
+    works = relation(spark, d, WORKS).select("id", "title", "topic")
+    found = curation.label_by_rules(works, C("title"), _TOPIC_RULES, F.when(C("id") % 9 == 0, F.array("topic")))
+    return found.select("id", "provenance", F.array_join("labels", ",").alias("labels"))
 
 
 @query(f"""
-SELECT topic, name, score, works FROM (SELECT topic, p_name AS name, 4 * CAST(max(id % 5) = 0 AS INT) + 8 * (CAST(contains(topic, 'economy') AS INT) + CAST(contains(p_name, 'small ring') AS INT)) + least(2, count(DISTINCT author)) AS score, count(*) AS works FROM (SELECT w.*, p_name FROM ({WORKS}) w JOIN part ON p_partkey = id) GROUP BY topic, p_name) WHERE score >= 8""")
+SELECT topic, name, score, works FROM (SELECT topic, p_name AS name, 4 * CAST(bool_and(id % 5 = 0) AS INT) + 8 * (CAST(contains(topic, 'economy') AS INT) + CAST(contains(p_name, 'small ring') AS INT)) + least(2, count(DISTINCT author)) AS score, count(*) AS works FROM (SELECT w.*, p_name FROM ({WORKS}) w JOIN part ON p_partkey = id) GROUP BY topic, p_name) WHERE score >= 8""")
 def topic_candidates(spark, d):
     """Topics by signal phrases in their names, at most two points for what surrounds them; eight points are needed."""
     name = table(spark, d, "part").select(C("p_partkey").alias("id"), C("p_name").alias("name"))
-    score = 4 * (F.max(C("id") % 5) == 0).cast("int") + 8 * (F.max(C("topic").contains("economy").cast("int")) + F.max(C("name").contains("small ring").cast("int"))) + F.least(F.lit(2), F.countDistinct("author"))
-    return relation(spark, d, WORKS).join(name, "id").groupBy("topic", "name").agg(score.alias("score"), F.count("*").alias("works")).filter("score >= 8")
+    rows = relation(spark, d, WORKS).join(name, "id")
+    return curation.topic_scores(rows, ["topic", "name"], [(C("topic"), "economy"), (C("name"), "small ring")], C("author"), C("id") % 5 == 0)
 
 
 @query(f"""
@@ -308,19 +304,15 @@ SELECT 'exists already' AS rule, count(*) AS n FROM cand SEMI JOIN base USING (i
 def effective_corpus(spark, d):
     """Why candidates may not join a corpus, and how many may."""
     w = relation(spark, d, WORKS).select("id", "title", "year")
-    base, cand = w.filter("id % 2 = 0"), w.filter("id % 2 = 1").select((C("id") + C("id") % 7).alias("id"), "title", F.when(C("id") % 10 != 1, C("year")).alias("year"))
-    per = cand.groupBy("id").agg(F.count("*").alias("n"), F.max("year").alias("year"))
-    count = lambda rule, df: df.agg(F.lit(rule).alias("rule"), F.count("*").alias("n"))
-    parts = [count("exists already", cand.join(base, "id", "left_semi")), count("incomplete", cand.filter("year is null")), per.filter("n > 1").agg(F.lit("repeated").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")), count("admitted", per.filter("n = 1 and year is not null").join(base, "id", "left_anti"))]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    candidates = w.filter("id % 2 = 1").select((C("id") + C("id") % 7).alias("id"), "title", F.when(C("id") % 10 != 1, C("year")).alias("year"))
+    return curation.admission(candidates, w.filter("id % 2 = 0"), "id", ["year"])
 
 
-_PROFILES = "SELECT c_custkey AS id, CAST(c_custkey * 13 % 64 AS INT) AS bucket, CAST(count(o_orderkey) AS INT) AS works FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
+_PROFILES = "SELECT c_custkey AS id, CAST((c_custkey * 13 + CASE WHEN c_custkey % 90 = 7 THEN 5 ELSE 0 END) % 64 AS INT) AS bucket, CAST(count(o_orderkey) AS INT) AS works FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
 
 
 @query(f"""
 SELECT bucket, count(*) AS n, count(*) FILTER (bucket <> (id * 13) % 64) AS misplaced, CAST(sum(works) AS BIGINT) AS works, round(avg(CASE WHEN works > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage, avg(CASE WHEN works > 0 THEN 1.0 ELSE 0.0 END) >= 0.95 AS enough FROM ({_PROFILES}) GROUP BY bucket""")
 def index_validation(spark, d):
-    """Per bucket: rows in the wrong one, works counted, and whether enough rows have works."""
-    share = F.avg(F.when(C("works") > 0, 1.0).otherwise(0.0))
-    return relation(spark, d, _PROFILES).groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(C("bucket") != (C("id") * 13) % 64, 1)).alias("misplaced"), F.sum("works").alias("works"), F.round(share, 6).alias("coverage"), (share >= 0.95).alias("enough"))
+    """Per bucket: rows in the wrong one (some are put there), works counted, and whether enough rows have works."""
+    return curation.index_state(relation(spark, d, _PROFILES), "bucket", C("id") * 13 % 64, "works")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ranking as K
 from lexmill.functions import scoring, text
+from lexmill.operators import curation
 from lexmill.plans.documents import sql_fold
 from lexmill.plans.inputs import WORKS, registry, relation
 
@@ -188,3 +189,24 @@ def archive_preranking(spark, d):
     """Points of an archive's items for queries, before the profile ranks them."""
     rows = relation(spark, d, _ITEMS)
     return rows.select("id", K.archive_score(*[text.fold(C(c)) for c in ("query", "title", "author", "topic", "abstract")]).alias("score"))
+
+
+_PERSONS_NAMED, _CONCEPTS_NAMED, _WORKS_NAMED = {"Ring": ("ring", "rings"), "Gear": ("gear",)}, {"economy": ("economy", "economics")}, ("small ring of economy",)
+_SEEN = f"SELECT *, CASE WHEN id % 4 = 0 THEN '' ELSE author END AS people, id % 9 = 0 AS asked, CAST(id * 7 % 60 AS INT) AS topics, CAST(id * 11 % 50 AS INT) AS journal, CAST(id % 3 AS INT) AS outside, CASE id % 3 WHEN 0 THEN provider ELSE concat(provider, '; other') END AS providers, id % 6 = 1 AS is_open FROM ({WORKS})"
+
+
+@query(f"""
+WITH s AS (SELECT *, {sql_fold("title")} AS ft, list_filter(string_split(people, '; '), lambda x: x <> '') AS a, string_split(providers, '; ') AS p, {' + '.join(f"CAST({_cov(x)} >= 0.5 AS INT)" for x in ASKED)} AS n FROM (SELECT *, list_distinct(string_split({sql_fold("title")}, ' ')) AS t FROM ({_SEEN}))),
+r AS (SELECT id, list_filter([CASE WHEN asked AND len(a) > 0 THEN 'by the person asked for: ' || array_to_string(a, ', ') END,
+  {', '.join(f"CASE WHEN {_has('ft', names)} THEN 'title names {who}' END" for who, names in _PERSONS_NAMED.items())}, {', '.join(f"CASE WHEN {_has('ft', names)} THEN 'title has the concept {what}' END" for what, names in _CONCEPTS_NAMED.items())}, {', '.join(f"CASE WHEN contains(ft, '{w}') THEN 'is the work {w}' END" for w in _WORKS_NAMED)},
+  CASE WHEN topics >= 35 THEN 'topics of the discipline' END, CASE WHEN journal >= 30 THEN 'journal of the discipline' END, CASE WHEN outside > 0 THEN 'signals of other disciplines' END,
+  CASE WHEN n = 1 THEN 'found by q' WHEN n > 1 THEN 'found by ' || n || ' variants of the query' END, CASE WHEN len(p) = 1 THEN 'from ' || p[1] ELSE 'identified by ' || array_to_string(p, ' and ') END,
+  CASE WHEN doi IS NOT NULL THEN 'has a DOI' END, CASE WHEN len(a) > 0 AND year IS NOT NULL THEN 'authors and date are known' END, CASE WHEN is_open THEN 'open access' END], lambda x: x IS NOT NULL)[1:6] AS l FROM s)
+SELECT id, array_to_string(l, ' | ') AS reasons FROM r""")
+def explanations(spark, d):
+    """Why a work is shown: at most six reasons, in the order of their builders."""
+    rows = relation(spark, d, _SEEN).withColumn("ft", text.fold(C("title"))).withColumn("t", F.array_distinct(F.split("ft", " ")))
+    found = F.array_repeat(F.lit("q"), sum(((K.covered(x, C("t")) >= 0.5).cast("int") for x in ASKED), F.lit(0)))
+    people = F.filter(F.split("people", "; "), lambda x: x != "")
+    builders = curation.result_reasons(C("ft"), people, C("asked"), _PERSONS_NAMED, _CONCEPTS_NAMED, _WORKS_NAMED, C("topics"), C("journal"), C("outside"), found, F.split("providers", "; "), C("doi"), C("year"), C("is_open"))
+    return rows.select("id", F.array_join(curation.reasons(builders), " | ").alias("reasons"))
