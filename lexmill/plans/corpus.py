@@ -64,25 +64,18 @@ def work_dates(spark, d):
     return relation(spark, d, _DATES).select("id", ids.work_date(C("raw"), C("y"), C("m")).alias("w")).select("id", "w.*")
 
 
+_ORDERS = {"oldest": "coalesce(y, 9999), id", "newest": "coalesce(y, 0) DESC, id", "cited": "citations DESC, id", "by_title": "title, id"}
+
+
 @query(f"""
 WITH s AS (SELECT id, title, citations, CASE WHEN id % 6 > 0 THEN year END AS y FROM ({WORKS}))
-SELECT id, CAST(row_number() OVER (ORDER BY coalesce(y, 9999), id) AS INT) AS oldest, CAST(row_number() OVER (ORDER BY coalesce(y, 0) DESC, id) AS INT) AS newest, CAST(row_number() OVER (ORDER BY citations DESC, id) AS INT) AS cited, CAST(row_number() OVER (ORDER BY title, id) AS INT) AS by_title FROM s QUALIFY least(oldest, newest, cited, by_title) <= 20""")
+{' UNION ALL '.join(f"(SELECT '{name}' AS sort, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place, id FROM s QUALIFY place <= 20)" for name, order in _ORDERS.items())}""")
 def result_sorts(spark, d):
-    """Places of the first twenty works of each of four orders (a page's worth; null years last)."""
+    """The first twenty works of each of four orders (null years last): a top-k each, whose places are numbered among its twenty rows."""
     s = relation(spark, d, WORKS).select("id", "title", "citations", F.when(C("id") % 6 > 0, C("year")).alias("y"))
-    orders = {"oldest": [F.coalesce("y", F.lit(9999)).asc()], "newest": [F.coalesce("y", F.lit(0)).desc()], "cited": [F.desc("citations")], "by_title": [F.asc("title")]}
-    tops = None
-    for keys in orders.values():
-        top = s.orderBy(*keys, "id").limit(20).select("id")
-        tops = top if tops is None else tops.union(top)
-    out = tops.distinct()
-    # a place is one more than the number of works before it: counted in one pass against at most eighty works
-    wanted = s.join(F.broadcast(out), "id")
-    for name, keys in {"oldest": F.coalesce("y", F.lit(9999)), "newest": -F.coalesce("y", F.lit(0)), "cited": -C("citations"), "by_title": C("title")}.items():
-        mine = wanted.select("id", F.struct(keys.alias("k"), C("id").alias("i")).alias("me"))
-        before = s.select(F.struct(keys.alias("k"), C("id").alias("i")).alias("other")).join(F.broadcast(mine), C("other") <= C("me")).groupBy("id").agg(F.count("*").cast("int").alias(name))
-        out = out.join(F.broadcast(before), "id")
-    return out
+    orders = {"oldest": F.coalesce("y", F.lit(9999)).asc(), "newest": F.coalesce("y", F.lit(0)).desc(), "cited": F.desc("citations"), "by_title": F.asc("title")}
+    pages = [s.orderBy(key, "id").limit(20).select(F.lit(name).alias("sort"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key, "id")).alias("place"), "id") for name, key in orders.items()]
+    return reduce(lambda x, y: x.unionByName(y), pages)
 
 
 @query(f"""
