@@ -19,6 +19,8 @@ from lexmill.functions import text
 
 # The least ratio of a damaged title, its least length, and the most characters that it may have lost.
 RATIO, SHORTEST, MOST_LOST = 0.94, 27, 7
+#: Stretches of a text that may be a piece of another's, about: what a row costs, in comparisons.
+STRETCHES = 400
 #: Stands for a character that was lost in a folded text, which has no other marks.
 LOST = "?"
 REPLACEMENT = "�"
@@ -42,20 +44,21 @@ def _piece(n: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
 
 
 def candidates(left: DataFrame, right: DataFrame, on: Sequence[str], share: float) -> DataFrame:
-    """a, b, x, y: every pair, equal on `on`, whose texts are within share * (m + n) edits, and some that are not.
+    """x, y: every pair of texts that some rows equal on `on` have and that are within share * (m + n) edits, and some
+    that are not.
 
-    left: a, x, `on`; right: b, y, `on`; ids of each are unique. Empty texts pair with nothing. From a third on a text
-    could be edited away as a whole, so share must be less.
+    left: x, `on`; right: y, `on`. Empty texts pair with nothing. From a third on a text could be edited away as a
+    whole, so share must be less.
     """
     if not 0 <= share < 1 / 3:
         raise ValueError("share must be at least 0 and under 1/3")
     wide = (1 + share) / (1 - share)  # no partner is longer than that, relative to the shorter
     pieces = lambda n: F.least(n, _within(n, F.floor(n * wide + 1e-6), share) + 1)
-    r = right.select("b", "y", *on, F.length("y").alias("n")).filter("n > 0").withColumn("k", pieces(F.col("n")))
+    r = right.select("y", *on, F.length("y").alias("n")).filter("n > 0").withColumn("k", pieces(F.col("n")))
     r = r.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     start, length = _piece(F.col("n"), F.col("k"), F.col("i"))
-    keyed = r.select("b", "y", *on, "n", "i", F.substring("y", start + 1, length).alias("piece"))
-    m = left.select("a", "x", *on, F.length("x").alias("m")).filter("m > 0")
+    keyed = r.select("y", *on, "n", "i", F.substring("y", start + 1, length).alias("piece"))
+    m = left.select("x", *on, F.length("x").alias("m")).filter("m > 0")
     m = m.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("m") / wide - 1e-6).cast("int")), F.floor(F.col("m") * wide + 1e-6).cast("int"))))
     m = m.withColumn("t", _within(F.col("m"), F.col("n"), share)).filter(F.abs(F.col("m") - F.col("n")) <= F.col("t")).withColumn("k", pieces(F.col("n")))
     m = m.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -64,30 +67,59 @@ def candidates(left: DataFrame, right: DataFrame, on: Sequence[str], share: floa
     back, ahead = F.floor((F.col("t") - (F.col("m") - F.col("n"))) / 2), F.floor((F.col("t") + (F.col("m") - F.col("n"))) / 2)
     low, high = F.greatest(F.lit(0), F.col("start") - back).cast("int"), F.least(F.col("m") - F.col("length"), F.col("start") + ahead).cast("int")
     m = m.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
-    stretches = m.select("a", "x", *on, "n", "i", F.substring("x", F.col("at") + 1, F.col("length")).alias("piece")).distinct()
-    return stretches.join(keyed, [*on, "n", "i", "piece"]).select("a", "b", "x", "y").distinct()
+    stretches = m.select("x", *on, "n", "i", F.substring("x", F.col("at") + 1, F.col("length")).alias("piece")).distinct()
+    keys, parts = [*on, "n", "i", "piece"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few and short rows make many pairs: without a stated number of tasks their size would leave them to one
+    pairs = stretches.repartition(parts, *keys).join(keyed.repartition(parts, *keys), keys)
+    return pairs.select("x", "y").repartition(parts, "x", "y").distinct()
+
+
+def text_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], share: float) -> DataFrame:
+    """x, y: the candidates, each pair of different rows' texts once, whatever the copies.
+
+    Texts that recur under many values of `on` are compared without regard to it, if that costs less; what
+    joins the pairs to the rows is equal on `on` again.
+    """
+    l, r = (df.select(c, *on).na.drop().distinct().persist() for df, c in ((left, "x"), (right, "y")))
+    per = l.groupBy(*on).agg(F.count("*").cast("double").alias("n")).join(r.groupBy(*on).agg(F.count("*").alias("k")), list(on)) if on else None
+    within = STRETCHES * l.count() + (per.agg(F.sum(F.col("n") * F.col("k"))).first()[0] or 0) if on else None
+    texts = l.select("x").distinct(), r.select("y").distinct()
+    n = texts[0].count()
+    if within is None or within <= n * (STRETCHES + texts[1].count()):
+        return candidates(l, r, on, share)
+    return candidates(*texts, [], share)
 
 
 def edit_join(left: DataFrame, right: DataFrame, on: Sequence[str], share: float) -> DataFrame:
-    """a, b, distance of the pairs within share * (m + n) single-character edits."""
-    found = candidates(left, right, on, share).withColumn("distance", F.levenshtein("x", "y"))
-    return found.filter(F.col("distance") <= _within(F.length("x"), F.length("y"), share)).select("a", "b", "distance")
+    """a, b, distance of the pairs within share * (m + n) single-character edits.
+
+    Distances are found between different texts once; the rows that have them are joined at the end.
+    """
+    found = text_pairs(left, right, on, share).withColumn("distance", F.levenshtein("x", "y"))
+    near = found.filter(F.col("distance") <= _within(F.length("x"), F.length("y"), share))
+    return near.join(left.select("a", "x", *on), "x").join(right.select("b", "y", *on), ["y", *on]).select("a", "b", "distance")
 
 
-def ratio_join(left: DataFrame, right: DataFrame, on: Sequence[str], ratio: float = RATIO) -> DataFrame:
-    """a, b, ratio: pairs whose matching blocks cover at least `ratio` of both texts.
+def text_ratios(left: DataFrame, right: DataFrame, on: Sequence[str], ratio: float = RATIO) -> DataFrame:
+    """x, y, ratio: pairs of texts whose matching blocks cover at least `ratio` of both.
 
-    Such blocks are a common subsequence, so at most (1 - ratio) of all characters are inserted or deleted.
+    Such blocks are a common subsequence, so at most (1 - ratio) of all characters are inserted or deleted, and no more
+    are edits; blocks are looked for where edits allow them.
     """
-    kinds = {c: dict(df.dtypes)[c] for c, df in (("a", left), ("b", right))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [SequenceMatcher(None, x, y).ratio() for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["a", "b", "ratio"])
+            scores = [SequenceMatcher(None, x, y).ratio() for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["x", "y", "ratio"])
             yield whole.filter(pa.array([s >= ratio for s in scores], pa.bool_()))
 
-    return candidates(left, right, on, 1 - ratio).mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, ratio double")
+    near = text_pairs(left, right, on, 1 - ratio).filter(F.levenshtein("x", "y") <= _within(F.length("x"), F.length("y"), 1 - ratio))
+    return near.mapInArrow(run, "x string, y string, ratio double")
+
+
+def ratio_join(left: DataFrame, right: DataFrame, on: Sequence[str], ratio: float = RATIO) -> DataFrame:
+    """a, b, ratio: the pairs of rows, equal on `on`, whose texts have that ratio."""
+    return text_ratios(left, right, on, ratio).join(left.select("a", "x", *on), "x").join(right.select("b", "y", *on), ["y", *on]).select("a", "b", "ratio")
 
 
 def damaged_match(records: DataFrame, catalogue: DataFrame, id_col: str, primary: str) -> DataFrame:
@@ -102,15 +134,16 @@ def damaged_match(records: DataFrame, catalogue: DataFrame, id_col: str, primary
     lost = F.length("x") - F.length(F.replace("x", F.lit(LOST), F.lit("")))
     fit = folded.filter((F.length("x") >= SHORTEST) & (lost <= MOST_LOST))
     entries = catalogue.select(F.col("entry").alias("b"), "source", "ref", "issue", "author", fold_damaged(F.col("title")).alias("y")).filter(~F.col("y").contains(LOST))
-    found = ratio_join(fit.select("a", "x", "issue"), entries.select("b", "y", "issue"), ["issue"]).join(entries.drop("issue", "y"), "b")
+    asked = fit.select("x", "issue").distinct()  # all records of a title and issue have one answer
+    found = text_ratios(asked, entries, ["issue"]).join(asked, "x").join(entries, ["y", "issue"])
     # the winner, and among the rest the first with an author if the winner has none
     rank = F.struct((F.col("source") != primary).alias("other"), (-F.col("ratio")).alias("far"), F.col("author").isNull().alias("bare"), "ref", "source")
     first, authored = F.min_by(F.struct("ref", "author", "ratio"), rank), F.min_by(F.struct("ref", "author", "ratio"), F.when(F.col("author").isNotNull(), rank))
-    per = found.groupBy("a").agg(
+    per = found.groupBy("x", "issue").agg(
         F.count("*").alias("n"), F.countDistinct("source", "ref").alias("ids"), F.countDistinct("author").alias("authors"), F.count(F.when(F.col("source") == primary, 1)).alias("main"), first.alias("w"), authored.alias("v")
     )
     status = F.when(F.col("n").isNull(), "no verified match").when(F.col("ids") < F.col("n"), "repeated identity").when(F.col("authors") > 1, "conflicting authors").when(F.col("main") > 1, "ambiguous").otherwise("verified")
     best = F.when(F.col("w.author").isNull(), F.coalesce("v", "w")).otherwise(F.col("w"))
-    out = folded.select("a").join(per, "a", "left").withColumn("status", status).withColumn("best", best)
+    out = folded.select("a", "x", "issue").join(per, ["x", "issue"], "left").withColumn("status", status).withColumn("best", best)
     good = F.col("status") == "verified"
     return out.select(F.col("a").alias(id_col), "status", F.when(good, F.col("best.ref")).alias("ref"), F.when(good, F.round("best.ratio", 6)).alias("ratio"))

@@ -63,6 +63,17 @@ def test_joins_on_two_letters(spark, pairs, share):
     assert {(r.a, r.b) for r in edits.edit_join(a, b, ["issue"], share).collect()} == want
 
 
+def test_copies_are_compared_once(spark):
+    texts = ["small ring of brass", "small rings of brass", "large gear in context"]
+    rows = [(t, i % 5) for t in texts for i in range(40)]
+    a, b = frames(spark, rows, rows)
+    found = edits.text_pairs(a.select("x", "issue"), b.select("y", "issue"), ["issue"], 0.06).collect()
+    assert len(found) == len(set(found)) <= 5
+    got = edits.edit_join(a, b, ["issue"], 0.06).collect()
+    want = {(i, j) for i, (x, p) in enumerate(rows) for j, (y, q) in enumerate(rows) if p == q and levenshtein(x, y) <= int(round((len(x) + len(y)) * 0.06, 6))}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
 TITLE = "La recepción de la fenomenología en América Latina"
 BROKEN = "La recepci�n de la fenomenolog�a en Am�rica Latina"
 
