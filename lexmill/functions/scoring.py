@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def exact(x: float) -> Column:
+    """A decimal, so that sums and products of such constants and whole numbers carry no error of doubles."""
+    return F.lit(Decimal(str(x)))
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
 def consensus(queries: Column, providers: Column) -> Column:
-    """Agreement of queries and providers that found a record."""
-    return 0.75 * F.least(F.lit(1.0), 0.2 + 0.25 * (queries - 1)) + 0.25 * F.least(F.lit(1.0), 0.5 * (providers - 1))
+    """Agreement of queries and providers that found a record; a decimal of whole numbers."""
+    return exact(0.75) * F.least(exact(1.0), exact(0.2) + exact(0.25) * (queries - 1)) + exact(0.25) * F.least(exact(1.0), exact(0.5) * (providers - 1))
 
 
 def completeness(present: dict[str, tuple[float, Column]]) -> Column:
@@ -26,7 +33,7 @@ def impact(citations: Column) -> Column:
 
 def total(parts: dict[str, Column], weights: dict[str, float], penalty: Column) -> Column:
     """0 to 100, whole."""
-    mean = sum((parts[k] * w for k, w in weights.items()), F.lit(0.0))
+    mean = sum((parts[k] * exact(w) for k, w in weights.items()), F.lit(0.0))
     return F.greatest(F.lit(0), F.least(F.lit(100), F.round((mean - penalty) * 100, 0))).cast("int")
 
 
@@ -35,8 +42,8 @@ def level(score: Column) -> Column:
 
 
 def dispersion_penalty(title_tokens: Column, coverage: Column) -> Column:
-    """Long titles that cover little of the query."""
-    return F.when(title_tokens >= 20, 0.05).otherwise(0.0) + F.when((title_tokens >= 14) & (coverage < 1), 0.10).otherwise(0.0)
+    """Long titles that cover little of the query; a decimal."""
+    return F.when(title_tokens >= 20, exact(0.05)).otherwise(exact(0.0)) + F.when((title_tokens >= 14) & (coverage < 1), exact(0.10)).otherwise(exact(0.0))
 
 
 def curation_priority(n: Column, lexical: Column, unit: Column, extras: Column) -> Column:

@@ -116,3 +116,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "snap.json").write_text('{"records": [{"id": 1}, {"id": 2}]}')
     assert S.read_snapshot(spark, str(tmp_path / "snap.json"), "id: long").count() == 2
     assert S.pick_evenly([str(i) for i in range(10)], 4) == ["0", "3", "6", "9"]
+
+
+def test_totals_at_half_points(spark):
+    """A total that decimals put just under a half, and a penalty that doubles put over .15."""
+    found, cover, full = F.lit(1), F.lit(0.0), F.lit(13292)
+    parts = {"title": cover, "consensus": scoring.consensus(found, found), "impact": scoring.impact(full)}
+    total = scoring.total(parts, {"title": 0.5, "consensus": 0.3, "impact": 0.2}, scoring.dispersion_penalty(F.lit(14), cover))
+    assert one(spark, total, scoring.dispersion_penalty(F.lit(20), cover).cast("double")) == (14, 0.15)
