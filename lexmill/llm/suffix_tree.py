@@ -35,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexmill.llm.common import map_batches, materialise, text_bytes
+from lexmill.llm.common import give_back, map_batches, materialise, text_bytes
 
 DEPTH, END = 5, 0xFF
 LEAST_GAIN, CELLS, HOT_WORDS = 16.0, 8_000_000, 300_000
 _CHUNK, _SLICE = 800_000, 400_000
+_ROWS = 8192  # nodes whose probabilities are made at once
 _SYMBOLS = 8 * (DEPTH + 1)  # bits of a code
 
 
@@ -240,26 +241,34 @@ def plant(grams: DataFrame, least_gain: float = LEAST_GAIN, cells: int = CELLS)
     root = levels[0].toArrow()
     column = np.full(256, len(symbols), np.int32)
     column[symbols] = np.arange(len(symbols))
-    keys, nodes, tables = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+    keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     base = np.ones(len(symbols) + 1)
     base[column[root["sym"].to_numpy()]] += root["n"].to_numpy()
-    tables.append((base / (base[:-1].sum() + 256 - len(symbols)))[None].astype(np.float32))
     length_of, ctx, sym, n = (found[c].to_numpy() for c in ("length", "ctx", "sym", "n"))
-    start = 1
-    for length in range(1, DEPTH + 1):
-        at = length_of == length
-        contexts, row = np.unique(ctx[at], return_inverse=True)
-        counts = np.zeros((len(contexts), len(symbols) + 1), np.float32)
-        counts[row, column[sym[at]]] = n[at]
-        kinds, total = (counts > 0).sum(1, keepdims=True, dtype=np.float32), counts.sum(1, keepdims=True, dtype=np.float32)
-        parents = np.zeros(len(contexts), np.int64) if length == 1 else np.searchsorted(keys[-1], contexts & mask(length - 1))
-        smoothed = (counts + kinds * tables[-1][parents]) / np.maximum(total + kinds, 1)
-        keys.append(contexts.astype(np.int64))
+    del found
+    places = [np.flatnonzero(length_of == length) for length in range(1, DEPTH + 1)]
+    keys += [np.unique(ctx[at]) for at in places]
+    logs = np.empty((1 + sum(map(len, keys)), len(symbols) + 1), np.float32)  # probabilities until all levels are done
+    logs[0] = base / (base[:-1].sum() + 256 - len(symbols))
+    start, above = 1, 0  # the first nodes of the level and of the one above
+    for length, at in enumerate(places, 1):
+        contexts = keys[length]
+        at = at[np.argsort(ctx[at], kind="stable")]
+        edges = np.searchsorted(ctx[at], contexts)
+        for low in range(0, len(contexts), _ROWS):  # a bounded part at a time, so the table has no copies
+            some = contexts[low : low + _ROWS]
+            own = at[edges[low] : edges[low + _ROWS] if low + _ROWS < len(contexts) else len(at)]
+            counts = np.zeros((len(some), len(symbols) + 1), np.float32)
+            counts[np.searchsorted(some, ctx[own]), column[sym[own]]] = n[own]
+            kinds, total = (counts > 0).sum(1, keepdims=True, dtype=np.float32), counts.sum(1, keepdims=True, dtype=np.float32)
+            parents = np.zeros(len(some), np.int64) if length == 1 else above + np.searchsorted(keys[length - 1], some & mask(length - 1))
+            logs[start + low : start + low + len(some)] = (counts + kinds * logs[parents]) / np.maximum(total + kinds, 1)
         nodes.append(np.arange(start, start + len(contexts), dtype=np.int32))
-        tables.append(smoothed.astype(np.float32))
-        start += len(contexts)
+        start, above = start + len(contexts), start
     lengths = np.repeat(np.arange(DEPTH + 1), [1, *map(len, keys[1:])])
-    tree = Tree(keys, nodes, column, np.log10(np.concatenate(tables)), lengths)
+    tree = Tree(keys, nodes, column, np.log10(logs, out=logs), lengths)
+    del length_of, ctx, sym, n, places
+    give_back()
     far = retained.filter(~near)
     if far.isEmpty():
         return tree, None

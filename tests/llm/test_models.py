@@ -173,3 +173,18 @@ def test_lm_awkward(spark):
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in nothing)
     repeated = [tuple(r)[1:] for r in S.score(awkward(spark)).filter("doc_id in (7, 8)").collect()]
     assert len(repeated) == 5 and len(set(repeated)) == 2  # four rows of equal texts, in training, and one of another
+
+
+def test_planting_holds_no_copies_of_the_table(spark):
+    """The driver makes the probabilities of the nodes that travel in one table, a part of it at a time."""
+    import tracemalloc
+
+    from lexmill.llm import suffix_tree
+
+    grams = spark.range(400_000).selectExpr("(xxhash64(id % 60000) & 1099511627775L) << 8 | (65 + id % 60) as code", "id % 5 + 20 as n")
+    tracemalloc.start()
+    tree = suffix_tree.grow(grams, least_gain=0.0, cells=10**9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tree.logs.nbytes > 10_000_000 and peak < 2 * tree.logs.nbytes
+    assert abs((10.0 ** tree.logs[1:, :-1].astype(float)).sum(1).max() - 1) < 0.01
