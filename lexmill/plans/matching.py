@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexmill.functions import ranking, text
 from lexmill.operators import works
@@ -129,14 +128,7 @@ WITH s AS ({_AUTHORITY}), y AS ({_YEARS}), p AS (SELECT a.work, b.work AS other,
 SELECT p.work, p.other, p.shared, CAST(row_number() OVER (PARTITION BY p.work ORDER BY shared DESC, abs(l.y - r.y), p.other) AS INT) AS place FROM p JOIN y l ON l.work = p.work JOIN y r ON r.work = p.other QUALIFY place <= 24""")
 def authority_candidates(spark, d):
     """For each twentieth work, the 24 that share most authorities; then nearest in years, then by id."""
-    s, y = relation(spark, d, _AUTHORITY), relation(spark, d, _YEARS)
-    asked = s.filter("work % 20 = 0")
-    pairs = asked.join(s.select(C("work").alias("other"), "authority"), "authority").filter("work <> other").groupBy("work", "other").agg(F.count("*").alias("shared"))
-    dated = pairs.join(y.select("work", C("y").alias("yw")), "work").join(y.select(C("work").alias("other"), C("y").alias("yo")), "other")
-    place = F.row_number().over(W.partitionBy("work").orderBy(F.desc("shared"), F.abs(C("yw") - C("yo")), "other"))
-    return dated.withColumn("place", place).filter("place <= 24").select("work", "other", "shared", "place")
-
-
+    return works.most_shared(relation(spark, d, _AUTHORITY), relation(spark, d, _YEARS), C("work") % 20 == 0, 24)
 
 
 #: Saved works of forty people, by several authors, with tags.
