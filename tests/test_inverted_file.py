@@ -94,3 +94,26 @@ def test_no_rows(spark, tmp_path):
     found = I.lay_out(none, I.train(none, 4), f"{tmp_path}/t")
     assert found.read(spark).count() == 0
     assert I.search(none.select(F.col("id").alias("query_id"), F.col("v").alias("q")), found, 3, 2, exact=True).count() == 0
+
+
+def test_a_block_of_neighbours_holds_few_scores():
+    """Two thousand queries against twenty thousand rows once took a matrix of 320 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lexmill.operators.vectors import block_best
+
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(20_000, 4)), 1)  # with ties
+    ids, queries = rng.permutation(20_000), np.arange(0, 20_000, 10)
+    q = v[np.argsort(ids)[queries]]
+    tracemalloc.start()
+    found = block_best(queries, q, ids, v, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 2**20 and len(found) == 5 * len(queries)
+    for n in range(0, len(queries), 400):
+        s = q[n] @ v.T
+        order = [i for i in np.lexsort((ids, -np.round(s, 9))) if ids[i] != queries[n]][:5]
+        assert found["id"][5 * n : 5 * n + 5].tolist() == ids[order].tolist()
