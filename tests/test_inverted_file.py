@@ -117,3 +117,23 @@ def test_a_block_of_neighbours_holds_few_scores():
         s = q[n] @ v.T
         order = [i for i in np.lexsort((ids, -np.round(s, 9))) if ids[i] != queries[n]][:5]
         assert found["id"][5 * n : 5 * n + 5].tolist() == ids[order].tolist()
+
+
+def test_probed_clusters_are_searched_without_a_row_for_each_pair(spark):
+    import numpy as np
+
+    from lexmill.operators import vectors
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 5))
+    centres = v[:7]
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    found = vectors.ivf_search(base.filter("id % 20 = 0"), base, centres, 4, 3)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    near = np.argsort(-(v @ centres.T), axis=1, kind="stable")
+    for n in range(0, 400, 20):
+        probed = [i for i in range(400) if i != n and near[i, 0] in near[n, :3]]
+        assert got.get(n, []) == sorted(probed, key=lambda i: (-round(float(v[n] @ v[i]), 9), i))[:4]
