@@ -185,8 +185,11 @@ def csv_records(answers: DataFrame, body: str, keep: list[str]) -> DataFrame:
     bare = lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
     # a comma before the line gives each cell one, so that empty cells count
     cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*+"\s*|[^,]*)'), F.lit(1)), lambda c: F.trim(bare(c)))
-    rows = F.filter(F.transform(lines, cells), lambda r: F.exists(r, lambda c: c != ""))
-    split = answers.select(*keep, F.explode(F.array(rows)).alias("rows")).select(*keep, F.transform(F.get("rows", F.lit(0)), F.lower).alias("head"), F.posexplode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("_at", "cells"))
+    kept = F.filter(lines, lambda line: F.exists(cells(line), lambda c: c != ""))
+    whole = answers.select(*keep, F.explode(F.array(kept)).alias("lines"))
+    # header and lines are columns before lines become rows: what is read from the list after that is copied to each row
+    parts = whole.select(*keep, F.transform(cells(F.get("lines", F.lit(0))), F.lower).alias("head"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("tail"))
+    split = parts.select(*keep, "head", F.posexplode("tail").alias("_at", "line")).select(*keep, "head", "_at", F.explode(F.array(cells(F.col("line")))).alias("cells"))
     # a name that stands twice in a header keeps its last cell, as a record would
     pairs = F.array_sort(F.transform(F.array_distinct("head"), lambda h: F.struct(h.alias("key"), F.coalesce(F.get("cells", F.size("head") - F.array_position(F.reverse("head"), h).cast("int")), F.lit("")).alias("value"))))
     return split.select(*keep, (F.col("_at") + 1).alias("rank"), F.map_from_entries(pairs).alias("cell"))

@@ -104,3 +104,10 @@ def test_empty_tables(spark):
         assert found.count() == 0
     with pytest.raises(KeyError):
         R.unreadable(none, "body", "other")
+
+
+def test_lines_of_a_long_csv_answer_do_not_carry_the_answer(spark):
+    """One page of 200,000 lines, of 14 MB: a copy of it beside each line would be terabytes."""
+    many = spark.range(1).select(F.concat(F.lit("orcid,credit-name\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("0000-0000-0000-"), F.lpad(i % 10_000, 4, "0"), F.lit(',"A long name, of number '), i, F.lit('"'))), "\n")).alias("body"), F.lit("s").alias("source"))
+    found = R.profile_records(many, "body", ["source"])
+    assert found.agg(F.count("*"), F.max("rank"), F.max(F.length("name"))).first()[:] == (200_000, 200_000, len("A long name, of number 200000"))
