@@ -35,6 +35,11 @@ def test_memory_of_edges_does_not_grow_with_the_table(spark):
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
 
 
+def test_inverted_index_deals_whole_texts_once(spark):
+    plan = catalog.QUERIES["inverted_index_rebuild"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_degree_capped_edges_equal_a_loop(spark):
     from lexmill.operators.graph import degree_capped
 
