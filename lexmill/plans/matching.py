@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import ranking, text
-from lexmill.operators import works
+from lexmill.operators import saved_works, works
 from lexmill.plans.documents import sql_fold
 from lexmill.plans.inputs import WORKS, registry, relation
 
@@ -145,7 +145,7 @@ def saved_work_similarity(spark, d):
     s = relation(spark, d, _SAVED)
     words = lambda x: F.filter(x, lambda t: t != "")
     saved = s.select("project", "id", words(text.tokens(C("title"))).alias("words"), words(F.split(F.lower("authors"), "; ")).alias("authors"), F.split("tags", "; ").alias("tags"))
-    return works.saved_similarity(saved, "project", "id")
+    return saved_works.saved_similarity(saved, "project", "id")
 
 
 @query(f"""
