@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators.merge import cut_lineage
-from lexmill.operators.vectors import ranked
+from lexmill.operators.vectors import block_best, ranked
 
 #: Rows of a block, and queries that meet it at once.
 BLOCK, QUERIES = 20_000, 2_000
@@ -162,14 +162,7 @@ def _scan(asked: DataFrame, index: Index, k: int) -> DataFrame:
             return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})
         q = np.frombuffer(b"".join(left["p"]), np.int8).reshape(len(left), -1).astype(np.float64)
         v = np.frombuffer(b"".join(right["payload"]), np.int8).reshape(len(right), -1).astype(np.float64)
-        ids, out = right["id"].to_numpy(), []
-        for own, s in zip(left["query_id"], q @ v.T, strict=True):
-            some = np.argpartition(-s, min(k, len(s) - 1))[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-            some = np.flatnonzero(s >= s[some].min())
-            some = some[ids[some] != own]
-            order = some[np.lexsort((ids[some], -s[some]))][:k]
-            out.append(pd.DataFrame({"query_id": own, "id": ids[order], "score": s[order]}))
-        return pd.concat(out)
+        return block_best(left["query_id"].to_numpy(), q, right["id"].to_numpy(), v, k)
 
     key = ["cluster", "block", "chunk"]
     return dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
