@@ -97,6 +97,13 @@ def test_title_lexical_edges_equal_all_pairs(spark, tmp_path):
     assert any(100 * s < 60 * n for *_, s, n in want)
 
 
+def test_title_lexical_edges_join_copies_and_all_their_partners(spark, tmp_path):
+    titles = ["stone river", "river stone", "stone river", "stone river bank", "other", "", ""]
+    spark.createDataFrame([(i, f"{t}\nbody") for i, t in enumerate(titles)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["title_lexical_edges"](spark, str(tmp_path)).collect()))
+    assert got == [(0, 1, 2, 2), (0, 2, 2, 2), (0, 3, 2, 3), (1, 2, 2, 2), (1, 3, 2, 3), (2, 3, 2, 3)]
+
+
 def test_tfidf_edges_of_all_languages_equal_all_pairs(spark, tmp_path):
     docs = titles_of(spark, tmp_path, 4)
     df = Counter(w for words in docs.values() for w in set(words))
